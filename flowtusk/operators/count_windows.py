@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,30 +14,34 @@ MAX_FLOW_ROWS = 5_000_000   # above this a flow is split over tasks
 CHUNK_ROWS = 1_000_000
 BROADCAST_FLOWS = 100_000   # hot flow ids of 8 bytes each: below 1 MB
 
-_COLUMNS = ["flow_id", "pkt_id", "dst_ip", "acc_bytes", "ts_us"]
+_ORDER = ("ts_us", "pkt_id")
+
+
+def _columns(order: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(["flow_id", "pkt_id", "dst_ip", "acc_bytes", "ts_us", *order]))
 
 
-def _by_flow(tagged: DataFrame, n: int) -> DataFrame:
-    frame = Window.partitionBy("flow_id").orderBy("ts_us", "pkt_id").rowsBetween(-(n - 1), 0)
-    return tagged.select("flow_id", "pkt_id", "dst_ip", F.sum("pkt_len").over(frame).alias("acc_bytes"), "ts_us")
+def _by_flow(tagged: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    frame = Window.partitionBy("flow_id").orderBy(*order).rowsBetween(-(n - 1), 0)
+    return tagged.withColumn("acc_bytes", F.sum("pkt_len").over(frame)).select(*_columns(order))
 
 
-def _by_chunk(tagged: DataFrame, n: int, chunk_rows: int) -> DataFrame:
+def _by_chunk(tagged: DataFrame, n: int, order: Sequence[str], chunk_rows: int) -> DataFrame:
     """Equal chunks of the rows in (flow, time) order; the last n-1 rows of each chunk are
     also given to the next one, where they only complete the frames of its first rows."""
     size = max(chunk_rows, n)
-    placed = with_global_position(
-        tagged.select("flow_id", "ts_us", "pkt_id", "dst_ip", "pkt_len"), ["flow_id", "ts_us", "pkt_id"])
+    needed = dict.fromkeys(["flow_id", *order, "pkt_id", "dst_ip", "pkt_len", "ts_us"])
+    placed = with_global_position(tagged.select(*needed), ["flow_id", *order])
     chunks = placed.withColumn("home", F.expr(f"position div {size}")).withColumn("chunk", F.explode(
         F.when(F.pmod(F.col("position"), F.lit(size)) >= size - (n - 1), F.array("home", F.col("home") + 1))
         .otherwise(F.array("home"))))
     frame = Window.partitionBy("chunk", "flow_id").orderBy("position").rowsBetween(-(n - 1), 0)
     return (chunks.withColumn("acc_bytes", F.sum("pkt_len").over(frame))
-            .filter(F.col("chunk") == F.col("home")).select(*_COLUMNS))
+            .filter(F.col("chunk") == F.col("home")).select(*_columns(order)))
 
 
 def count_window_bytes(tagged: DataFrame, n: int, strategy: str = "auto", max_flow_rows: int = MAX_FLOW_ROWS,
-                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                       chunk_rows: int = CHUNK_ROWS, order: Sequence[str] = _ORDER) -> DataFrame:
     """For each tagged packet, the bytes of its flow's last `n` packets including itself.
 
     `by_flow` is one window per flow. `by_chunk` splits all flows evenly whatever their size,
@@ -45,15 +51,15 @@ def count_window_bytes(tagged: DataFrame, n: int, strategy: str = "auto", max_fl
     if n < 1:
         raise ValueError("n must be positive")
     if strategy == "by_flow":
-        return _by_flow(tagged, n)
+        return _by_flow(tagged, n, order)
     if strategy == "by_chunk":
-        return _by_chunk(tagged, n, chunk_rows)
+        return _by_chunk(tagged, n, order, chunk_rows)
     if strategy != "auto":
         raise ValueError("strategy must be 'auto', 'by_flow' or 'by_chunk'")
     hot = store(tagged.groupBy("flow_id").count().filter(F.col("count") > max_flow_rows).select("flow_id"), "hot")
     found = hot.count()
     if not found:
-        return _by_flow(tagged, n)
+        return _by_flow(tagged, n, order)
     side = F.broadcast(hot) if found <= BROADCAST_FLOWS else hot
-    cold = _by_flow(tagged.join(side, "flow_id", "left_anti"), n)
-    return cold.unionByName(_by_chunk(tagged.join(side, "flow_id", "left_semi"), n, chunk_rows))
+    cold = _by_flow(tagged.join(side, "flow_id", "left_anti"), n, order)
+    return cold.unionByName(_by_chunk(tagged.join(side, "flow_id", "left_semi"), n, order, chunk_rows))

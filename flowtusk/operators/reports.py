@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _first_pair(df: DataFrame, by: list[str], seen: str, peak: str) -> DataFrame:
@@ -78,18 +80,10 @@ def host_report_lines(hits: DataFrame) -> DataFrame:
     return titles.unionByName(hosts)
 
 
-def _six_digits(value: str) -> Column:
-    """Six significant digits without trailing zeros."""
-    v = F.col(value)
-    power = F.floor(F.log10(F.abs(v)))
-    scale = F.pow(F.lit(10.0), F.lit(5) - power)
-    rounded = F.round(v * scale) / scale
-    plain = F.regexp_replace(F.format_string("%.10f", rounded), "\\.?0+$", "")
-    exponent = F.regexp_replace(
-        F.regexp_replace(F.lower(F.format_string("%.5e", v)), "\\.?0+e", "e"), "\\.e", "e")
-    return (F.when(v == 0, F.lit("0"))
-            .when((power >= -4) & (power < 6), plain)
-            .otherwise(exponent))
+@F.pandas_udf(StringType())
+def _six_digits(values: pd.Series) -> pd.Series:
+    """Six significant digits; only ever applied to one row per result group."""
+    return values.map("{:g}".format)
 
 
 def latency_report_lines(stats: DataFrame) -> DataFrame:

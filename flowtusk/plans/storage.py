@@ -46,12 +46,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder written by this package, if it exists."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(files.delete(target, True))
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Delete the intermediate tables this process wrote; call it when their results are consumed."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
     while _stored:
-        path = hadoop(_stored.pop())
-        dropped += bool(path.getFileSystem(conf).delete(path, True))
+        dropped += delete_path(spark, _stored.pop())
     return dropped

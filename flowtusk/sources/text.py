@@ -22,16 +22,18 @@ def parse_packet_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Lines (column `value`) to packets; rows with too few fields are dropped.
 
     With `strict` a non-numeric value in a column that is used fails the query; otherwise it
-    becomes NULL, and `rejected_lines` lists the line.
+    becomes NULL, and `rejected_lines` lists the line. `pkt_id` follows line order within a file
+    split; a stream has no such numbers and takes a hash of the line.
     """
-    split = lines.select(_fields().alias("f")).filter(valid_row(F.col("f")))
+    pkt_id = F.xxhash64("value") if lines.isStreaming else F.monotonically_increasing_id()
+    split = lines.select("value", _fields().alias("f")).filter(valid_row(F.col("f")))
     typed = []
     for at, (name, kind) in enumerate(PACKET_FIELDS):
         raw = F.get(F.col("f"), F.lit(at))
         if kind != "string":
             raw = raw.cast(kind) if strict else raw.try_cast(kind)
         typed.append(raw.alias(name))
-    return split.select(F.monotonically_increasing_id().alias("pkt_id"), *typed)
+    return split.select(pkt_id.alias("pkt_id"), *typed)
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
@@ -48,10 +50,7 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_packets_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Packets of delimited files.
-
-    `pkt_id` is unique and follows line order within a file split.
-    """
+    """Packets of delimited files."""
     return parse_packet_lines(spark.read.text(path), strict)
 
 
