@@ -21,8 +21,8 @@ def _text_hash(text: Column) -> Column:
 
 
 def _signed32(value: Column) -> Column:
-    wrapped = value % _WRAP
-    return wrapped - F.when(wrapped >= 2147483648, F.lit(_WRAP)).otherwise(F.lit(0))
+    """Wrap a non-negative value to a signed 32-bit number."""
+    return (value + 2147483648) % _WRAP - 2147483648
 
 
 def flow_id_poly17(src: Column | str, dst: Column | str) -> Column:

@@ -7,15 +7,15 @@ The pane plan works in three steps:
    length and slide long; this aggregates before the shuffle and before the flow id is computed;
 2. panes are placed into blocks of consecutive window starts and shuffled by (flow, block);
    a block holds a bounded number of panes per address pair, however hot the flow;
-3. inside its block, each pane is expanded to the windows it lies in, and summed, without a
-   further shuffle.
+3. inside its block, running sums over the sorted panes give all windows without a further
+   shuffle, and without expanding panes to the windows they lie in.
 """
 
 from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtusk.functions.keys import PAIR, FlowKey, flow_key
@@ -111,35 +111,49 @@ def _as_result(merged: DataFrame, start: str, length_us: int) -> DataFrame:
 
 
 def windows_of_panes(panes: DataFrame, length_us: int, slide_us: int, carry: str = "first",
-                     key: str | FlowKey = "poly17", windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
-    """Steps 2 and 3 of the pane plan."""
-    extreme, at_extreme = _edge(carry)
-    spec = flow_key(key)
-    # Two panes of one pair share no time, unless the key tells the pair's packets further apart.
-    edge = "edge_ts" if set(spec.inputs) <= set(PAIR) else F.struct("edge_ts", "edge_pkt")
+                     windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
+    """Steps 2 and 3 of the pane plan.
+
+    Within a block the window starts are swept in one direction: a pane is added at the first
+    start it counts for and taken off after the last. Between two such events all windows have
+    the same sum, so each non-empty window is produced once. Sweeping backwards for
+    `carry="first"`, and forwards for "last", the pane added last holds the carried packet.
+    """
+    _edge(carry)
     block_us = slide_us * windows_per_block
     pane = F.col("pane")
     spans = panes.withColumns({
-        "first_start": floor_to(pane - F.lit(length_us).cast("bigint"), slide_us) + F.lit(slide_us),
-        "last_start": floor_to(pane, slide_us),
+        "low": floor_to(pane - F.lit(length_us).cast("bigint"), slide_us) + F.lit(slide_us),
+        "high": floor_to(pane, slide_us),
     })
     if slide_us > length_us:  # panes between two windows belong to none
-        spans = spans.filter(F.col("first_start") <= F.col("last_start"))
-    step = F.lit(block_us).cast("bigint")
+        spans = spans.filter(F.col("low") <= F.col("high"))
     blocks = spans.withColumn("block", F.explode(F.sequence(
-        floor_to(F.col("first_start"), block_us), floor_to(F.col("last_start"), block_us), step)))
-    placed = blocks.repartition("flow_id", "block")
-    expanded = placed.withColumn("start", F.explode(F.sequence(
-        F.greatest("first_start", "block"),
-        F.least(F.col("last_start"), F.col("block") + F.lit(block_us - slide_us)),
-        F.lit(slide_us).cast("bigint"))))
-    per_pair = (expanded.groupBy("flow_id", "block", "start", "src_ip", "dst_ip")
-                .agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"),
-                     at_extreme("edge_pkt", edge).alias("edge_pkt"),
-                     extreme("edge_ts").alias("edge_ts")))
-    if not spec.determines_pair:
-        per_pair = _merge_pairs(per_pair, ["flow_id", "block", "start"], carry)
-    return _as_result(per_pair, "start", length_us)
+        floor_to(F.col("low"), block_us), floor_to(F.col("high"), block_us), F.lit(block_us).cast("bigint"))))
+    low = F.greatest("low", "block")
+    high = F.least(F.col("high"), F.col("block") + F.lit(block_us - slide_us))
+    forwards = carry == "last"
+    step = slide_us if forwards else -slide_us
+    enter, leave = (low, high + F.lit(slide_us)) if forwards else (high, low - F.lit(slide_us))
+    swept = blocks.select("flow_id", "block", "src_ip", "dst_ip", "bytes", "packets", "edge_ts", "edge_pkt",
+                          enter.alias("enter"), leave.alias("leave")).repartition("flow_id", "block")
+    entering = F.col("sign") == 1
+    events = swept.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).select(
+        "flow_id", "block", F.when(entering, F.col("enter")).otherwise(F.col("leave")).alias("start"),
+        (F.col("sign") * F.col("bytes")).alias("bytes"), (F.col("sign") * F.col("packets")).alias("packets"),
+        "edge_ts", "edge_pkt", F.when(entering, F.struct("src_ip", "dst_ip", "edge_ts")).alias("edge"))
+    order = [F.col(c).asc() if forwards else F.col(c).desc() for c in ("start", "edge_ts", "edge_pkt")]
+    sweep = Window.partitionBy("flow_id", "block").orderBy(*order)
+    so_far = sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = events.select(
+        "flow_id", "start", F.lead("start").over(sweep).alias("next"),
+        F.sum("bytes").over(so_far).alias("bytes"), F.sum("packets").over(so_far).alias("packets"),
+        F.last("edge", ignorenulls=True).over(so_far).alias("edge"),
+    ).filter((F.col("packets") > 0) & (F.col("next") != F.col("start")))
+    return _as_result(held.select(
+        "flow_id", "bytes", "packets", "edge.*",
+        F.explode(F.sequence(F.col("start"), F.col("next") - F.lit(step), F.lit(step).cast("bigint"))).alias("at"),
+    ), "at", length_us)
 
 
 def _tumbling(packets: DataFrame, length_us: int, key, carry: str, pkt_id_bound) -> DataFrame:
@@ -181,7 +195,7 @@ def sliding_bytes(packets: DataFrame, length_us: int = WINDOW_US, slide_us: int
     if length_us == slide_us:
         return _tumbling(packets, length_us, key, carry, pkt_id_bound)
     panes = flow_panes(packets, gcd(length_us, slide_us), key, carry, pkt_id_bound)
-    return windows_of_panes(panes, length_us, slide_us, carry, key)
+    return windows_of_panes(panes, length_us, slide_us, carry)
 
 
 def sliding_bytes_reduce(packets: DataFrame, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,
@@ -204,7 +218,7 @@ def sliding_bytes_microbatch(packets: DataFrame, batch_us: int = BATCH_US, lengt
     if batch_us <= 0 or length_us % batch_us or slide_us % batch_us:
         raise ValueError("window length and slide must be multiples of the batch interval")
     panes = flow_panes(packets, batch_us, key, "first", pkt_id_bound)
-    return windows_of_panes(panes, length_us, slide_us, "first", key).drop("src_ip", "packets")
+    return windows_of_panes(panes, length_us, slide_us, "first").drop("src_ip", "packets")
 
 
 def sliding_bytes_last(packets: DataFrame, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,

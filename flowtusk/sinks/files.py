@@ -28,7 +28,10 @@ def write_packets_csv(packets: DataFrame, path: str, dotted: bool = True, mode:
 
 def write_slides(hits: DataFrame, path: str, text: bool = False, mode: str = "error") -> None:
     """One result set per window end, as Parquet or as text."""
-    slides = hits.withColumn("slide", F.col("window_end_us"))
+    # Ranges of slides per task: about as many files as slides, and a crowded slide is split.
+    # The number is given, as few rows may still mean many files, which tasks should share.
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slides = hits.withColumn("slide", F.col("window_end_us")).repartitionByRange(tasks, "slide", "flow_id")
     if not text:
         slides.write.mode(mode).partitionBy("slide").parquet(path)
         return
