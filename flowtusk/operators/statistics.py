@@ -28,6 +28,16 @@ def _shape(measure, x: Column) -> Column:
     return F.when(_variance(x) == 0, F.lit(0.0)).otherwise(_zero_if_undefined(measure(x)))
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation of the rows that have both values, 0 where undefined.
+
+    The built-in function divides by zero for constant columns in ANSI mode.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return _zero_if_undefined(F.try_divide(F.covar_pop(x, y), spread))
+
+
 def sample_mean(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(x).alias("mean"))
 
@@ -106,7 +116,7 @@ def cov2(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 def pearson_corr2(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation; 0 where undefined."""
-    return df.groupBy(*by).agg(_zero_if_undefined(F.corr(x, y)).alias("corr"))
+    return df.groupBy(*by).agg(_corr(x, y).alias("corr"))
 
 
 def average_ranks(df: DataFrame, x: str) -> DataFrame:
@@ -150,7 +160,7 @@ def cov_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None
 
 
 def pearson_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None) -> DataFrame:
-    return _matrix(df, list(product(xs, ys or xs)), F.corr)
+    return _matrix(df, list(product(xs, ys or xs)), _corr)
 
 
 def spearman_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None) -> DataFrame:
