@@ -312,7 +312,7 @@ SELECT sink_id, '[Sink' || sink_id || '-REPORT]' AS line FROM sink_peaks GROUP B
 UNION ALL SELECT sink_id, dst_ip || ' from ' || src_ip || ' : max peak ' || peak_bytes || ' exchanged bytes' FROM sink_peaks""",
     "k5_host_report": f"""{_hits()} SELECT DISTINCT dst_ip AS line FROM hits
 UNION ALL SELECT '[Heavy Hitters - GLOBAL REPORT]' UNION ALL SELECT 'List of destination hosts targeted:'""",
-    "k6_latency_reports": f"{_LATENCY_HITS}, stats AS ({_STATS.format(r='', e='')}) SELECT sink_id, {_LATENCY_LINE} AS line FROM stats",
+    "k6_latency_reports": f"{_LATENCY_HITS}, stats AS ({_STATS.format(r='round(', e=', 9)')}) SELECT sink_id, {_LATENCY_LINE} AS line FROM stats",
     "k7_run_metrics": f"""{_LATENCY_HITS}, {_THROUGHPUT}, means AS (SELECT avg(latency_ms) AS m FROM samples GROUP BY sink_id)
 SELECT {_THROUGHPUT_COLUMNS}, (SELECT count(*) FROM windows) AS processed, (SELECT count(*) FROM hits) AS detected,
   round((SELECT avg(m) FROM means), 6) AS average_latency_ms, (SELECT count(DISTINCT dst_ip) FROM hits) AS hosts

@@ -91,5 +91,6 @@ def latency_report_lines(stats: DataFrame) -> DataFrame:
     parts = [F.format_string("[Sink%d] latency (ms): ", "sink_id")]
     for column, label in [("mean_ms", "mean"), ("min_ms", "min"), ("p5_ms", "5th"), ("p25_ms", "25th"),
                           ("p50_ms", "50th"), ("p75_ms", "75th"), ("p95_ms", "95th"), ("max_ms", "max")]:
-        parts += [_six_digits(column), F.lit(f" ({label}){'.' if label == 'max' else ' '}")]
+        # Rounded first, so that the last bits of a sum or an interpolation cannot tip a digit.
+        parts += [_six_digits(F.round(column, 9)), F.lit(f" ({label}){'.' if label == 'max' else ' '}")]
     return stats.select("sink_id", F.concat(*parts).alias("line"))
