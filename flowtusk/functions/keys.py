@@ -16,8 +16,7 @@ _WRAP = 4294967296  # 2^32
 
 def _text_hash(text: Column) -> Column:
     """Base-31 polynomial of the characters modulo 2^32 (ASCII text)."""
-    codes = F.transform(F.split(text, ""), lambda ch: F.ascii(ch).cast("bigint"))
-    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, code: (acc * 31 + code) % _WRAP)
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda acc, ch: (acc * 31 + F.ascii(ch)) % _WRAP)
 
 
 def _signed32(value: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtusk.functions.keys import FlowKey, flow_key
 from flowtusk.plans.ordering import with_global_position
 from flowtusk.plans.storage import store
 
@@ -40,13 +41,21 @@ def _by_chunk(tagged: DataFrame, n: int, order: Sequence[str], chunk_rows: int)
             .filter(F.col("chunk") == F.col("home")).select(*_columns(order)))
 
 
+def flow_sizes(packets: DataFrame, key: str | FlowKey = "poly17") -> DataFrame:
+    """Packets per flow, counted by the key's columns first so that the key is computed rarely."""
+    spec = flow_key(key)
+    pairs = packets.groupBy(*spec.inputs).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(spec.column().alias("flow_id")).agg(F.sum("n").alias("packets"))
+
+
 def count_window_bytes(tagged: DataFrame, n: int, strategy: str = "auto", max_flow_rows: int = MAX_FLOW_ROWS,
-                       chunk_rows: int = CHUNK_ROWS, order: Sequence[str] = _ORDER) -> DataFrame:
+                       chunk_rows: int = CHUNK_ROWS, order: Sequence[str] = _ORDER,
+                       sizes: DataFrame | None = None) -> DataFrame:
     """For each tagged packet, the bytes of its flow's last `n` packets including itself.
 
     `by_flow` is one window per flow. `by_chunk` splits all flows evenly whatever their size,
     through a stored, globally ordered table. `auto` counts packets per flow first and sends
-    only the flows above `max_flow_rows` the second way.
+    only the flows above `max_flow_rows` the second way; `sizes` passes counts already at hand.
     """
     if n < 1:
         raise ValueError("n must be positive")
@@ -56,10 +65,13 @@ def count_window_bytes(tagged: DataFrame, n: int, strategy: str = "auto", max_fl
         return _by_chunk(tagged, n, order, chunk_rows)
     if strategy != "auto":
         raise ValueError("strategy must be 'auto', 'by_flow' or 'by_chunk'")
-    hot = store(tagged.groupBy("flow_id").count().filter(F.col("count") > max_flow_rows).select("flow_id"), "hot")
+    if sizes is None:
+        sizes = tagged.groupBy("flow_id").agg(F.count(F.lit(1)).alias("packets"))
+    hot = sizes.filter(F.col("packets") > max_flow_rows).select("flow_id")
     found = hot.count()
     if not found:
         return _by_flow(tagged, n, order)
+    hot = store(hot, "hot")
     side = F.broadcast(hot) if found <= BROADCAST_FLOWS else hot
     cold = _by_flow(tagged.join(side, "flow_id", "left_anti"), n, order)
     return cold.unionByName(_by_chunk(tagged.join(side, "flow_id", "left_semi"), n, order, chunk_rows))

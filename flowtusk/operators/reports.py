@@ -57,21 +57,24 @@ def total_hits(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("hits"))
 
 
+# The wording of the reports.
+PEAK_REPORT_TITLE = "[Sink%d-REPORT]"
+PEAK_REPORT_LINE = "%s from %s : max peak %d exchanged bytes"
+HOST_REPORT_TITLE = ["[Heavy Hitters - GLOBAL REPORT]", "List of destination hosts targeted:"]
+LATENCY_REPORT_LINE = ("[Sink%d] latency (ms): %s (mean) %s (min) %s (5th) %s (25th) %s (50th) %s (75th) "
+                       "%s (95th) %s (max).")
+
+
 def peak_report_lines(peaks: DataFrame) -> DataFrame:
     """Text of each group's peak report: `sink_id, line_no, flow_id, line`; the title is line 0."""
     title = peaks.select("sink_id").distinct().select(
         "sink_id", F.lit(0).alias("line_no"), F.lit(None).cast("bigint").alias("flow_id"),
-        F.format_string("[Sink%d-REPORT]", "sink_id").alias("line"))
-    entry = F.concat("dst_ip", F.lit(" from "), "src_ip", F.lit(" : max peak "),
-                     F.col("peak_bytes").cast("string"), F.lit(" exchanged bytes"))
+        F.format_string(PEAK_REPORT_TITLE, "sink_id").alias("line"))
+    entry = F.format_string(PEAK_REPORT_LINE, "dst_ip", "src_ip", "peak_bytes")
     body = peaks.select("sink_id", F.lit(1).alias("line_no"), "flow_id", entry.alias("line"))
     return title.unionByName(body)
 
 
-# The two title lines of the host report.
-HOST_REPORT_TITLE = ["[Heavy Hitters - GLOBAL REPORT]", "List of destination hosts targeted:"]
-
-
 def host_report_lines(hits: DataFrame) -> DataFrame:
     """Text of the host report: `line_no, line`; titles are lines 0 and 1, hosts share line 2."""
     spark = hits.sparkSession
@@ -88,9 +91,7 @@ def _six_digits(values: pd.Series) -> pd.Series:
 
 def latency_report_lines(stats: DataFrame) -> DataFrame:
     """One line per group with its latency statistics."""
-    parts = [F.format_string("[Sink%d] latency (ms): ", "sink_id")]
-    for column, label in [("mean_ms", "mean"), ("min_ms", "min"), ("p5_ms", "5th"), ("p25_ms", "25th"),
-                          ("p50_ms", "50th"), ("p75_ms", "75th"), ("p95_ms", "95th"), ("max_ms", "max")]:
-        # Rounded first, so that the last bits of a sum or an interpolation cannot tip a digit.
-        parts += [_six_digits(F.round(column, 9)), F.lit(f" ({label}){'.' if label == 'max' else ' '}")]
-    return stats.select("sink_id", F.concat(*parts).alias("line"))
+    columns = ["mean_ms", "min_ms", "p5_ms", "p25_ms", "p50_ms", "p75_ms", "p95_ms", "max_ms"]
+    # Rounded first, so that the last bits of a sum or an interpolation cannot tip a digit.
+    numbers = [_six_digits(F.round(c, 9)) for c in columns]
+    return stats.select("sink_id", F.format_string(LATENCY_REPORT_LINE, "sink_id", *numbers).alias("line"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from flowtusk.functions.keys import FlowKey
-from flowtusk.operators.count_windows import count_window_bytes
+from flowtusk.operators.count_windows import count_window_bytes, flow_sizes
 from flowtusk.operators.packets import heavy_hitters, tag_flow
 from flowtusk.operators.windows import sliding_bytes
 from flowtusk.schema import SLIDE_US, THRESHOLD_BYTES, WINDOW_US
@@ -34,7 +34,7 @@ class DetectionPlan:
             return sliding_bytes(packets, self.length_us, self.slide_us, self.key, self.carry,
                                  pkt_id_bound=self.pkt_id_bound)
         if self.window == "count":
-            return count_window_bytes(tag_flow(packets, self.key), self.count)
+            return count_window_bytes(tag_flow(packets, self.key), self.count, sizes=flow_sizes(packets, self.key))
         raise ValueError("window must be 'time' or 'count'")
 
     def detect(self, packets: DataFrame) -> DataFrame:

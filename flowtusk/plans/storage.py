@@ -9,12 +9,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
 _stored: list[str] = []
+_scope = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,10 +38,27 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _stored.append(path)
+    getattr(_scope, "paths", _stored).append(path)
     return path
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what this thread stores inside the block when it ends: use where results are
+    written out inside, as in a micro-batch."""
+    outer = getattr(_scope, "paths", None)
+    _scope.paths = []
+    try:
+        yield
+    finally:
+        for path in _scope.paths:
+            delete_path(spark, path)
+        if outer is None:
+            del _scope.paths
+        else:
+            _scope.paths = outer
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet and return the written table."""
     spark = df.sparkSession

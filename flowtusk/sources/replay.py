@@ -23,7 +23,7 @@ def replay(packets: DataFrame, generations: int, replicas: int = 1, span_us: int
         copies = copies.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
     else:
         copies = copies.withColumn("replica", F.lit(0))
-    return copies.withColumn("ts_us", F.col("ts_us") + F.col("gen") * span)
+    return copies.withColumn("ts_us", F.col("ts_us") + F.col("gen").cast("bigint") * span)
 
 
 def with_ingress_time(packets: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowtusk.operators.count_windows import CHUNK_ROWS, MAX_FLOW_ROWS, count_window_bytes
-from flowtusk.plans.storage import delete_path
+from flowtusk.plans.storage import delete_path, passing_tables
 
 OUTPUT = "flow_id bigint, pkt_id bigint, dst_ip string, acc_bytes bigint, ts_us bigint"
 
@@ -87,9 +87,10 @@ def count_window_batches(tagged: DataFrame, n: int, folder: str, trigger: dict |
         rows = batch.select(*columns).withColumn("arrived", F.lit(batch_id).cast("bigint"))
         if batch_id > 0:
             rows = spark.read.parquet(tails(batch_id - 1)).unionByName(rows)
-        sums = count_window_bytes(rows, n, max_flow_rows=max_flow_rows, chunk_rows=chunk_rows, order=_ARRIVAL)
-        (sums.filter(F.col("arrived") == batch_id).drop("arrived")
-         .write.mode("overwrite").parquet(f"{folder}/results/batch_id={batch_id}"))
+        with passing_tables(spark):
+            sums = count_window_bytes(rows, n, max_flow_rows=max_flow_rows, chunk_rows=chunk_rows, order=_ARRIVAL)
+            (sums.filter(F.col("arrived") == batch_id).drop("arrived")
+             .write.mode("overwrite").parquet(f"{folder}/results/batch_id={batch_id}"))
         _tail(rows, n, ttl_us).write.mode("overwrite").parquet(tails(batch_id))
         delete_path(spark, tails(batch_id - 2))  # the previous batch may still be repeated, older ones not
         batch.unpersist()

@@ -105,3 +105,8 @@ def test_replay(packets):
     assert replay(table, 2, replicas=3).groupBy("gen", "replica").count().count() == 6
     assert [r.ts_us for r in replay(table, 2, span_us=1000).orderBy("ts_us").collect()] == [100, 150, 1100, 1150]
     assert with_ingress_time(table).filter(F.col("ingress_us") > 0).count() == 2
+
+
+def test_replay_of_a_long_trace(packets):
+    table = packets((0, "a", "b", 1))
+    assert replay(table, 100, span_us=60_000_000).agg(F.max("ts_us")).first()[0] == 99 * 60_000_000

@@ -168,3 +168,38 @@ def test_paced_trigger_and_restart(spark, trace, table, tmp_path):
     query.stop()
     got, _ = run(spark, build(), tmp_path)
     assert same(got, sliding_bytes(table).filter(F.col("window_end_us") <= watermark(table)))
+
+
+def test_idle_state_is_removed():
+    import pandas as pd
+    from flowtusk.streaming.counts import _moving_sum
+
+    class State:
+        def __init__(self, timed_out=False, kept=None):
+            self.hasTimedOut, self.exists, self.get, self.removed = timed_out, kept is not None, (kept,), False
+            self.timeout = None
+
+        def remove(self):
+            self.removed = True
+
+        def update(self, value):
+            self.get = value
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+    idle = State(timed_out=True)
+    assert list(_moving_sum(3, 100)((1,), iter([]), idle)) == [] and idle.removed
+    rows = pd.DataFrame({"flow_id": [1, 1], "pkt_id": [2, 1], "dst_ip": "d", "pkt_len": [30, 20], "ts_us": [9, 8]})
+    active = State(kept=[7, 10])
+    out = next(_moving_sum(3, 100)((1,), iter([rows]), active))
+    assert list(out.acc_bytes) == [37, 60] and active.get == ([20, 30],) and active.timeout == 100
+
+
+def test_passing_tables_are_deleted(spark):
+    from flowtusk.plans.storage import passing_tables, store
+    with passing_tables(spark):
+        kept = store(spark.range(3), "passing")
+        path = kept.inputFiles()[0].removeprefix("file:").replace("///", "/")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
