@@ -13,7 +13,7 @@ from flowtusk.plans.storage import store
 
 MAX_FLOW_ROWS = 5_000_000   # above this a flow is split over tasks
 CHUNK_ROWS = 1_000_000
-BROADCAST_FLOWS = 100_000   # hot flow ids of 8 bytes each: below 1 MB
+BROADCAST_FLOWS = 1_000_000  # hot flow ids of 8 bytes each; enough for 5e12 packets
 
 _ORDER = ("ts_us", "pkt_id")
 

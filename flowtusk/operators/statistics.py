@@ -16,6 +16,16 @@ from flowtusk.functions.addresses import _col
 from flowtusk.plans.ordering import with_running_total
 
 
+SALTS = 32
+
+
+def _join_groups(values: DataFrame, groups: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """Join one row per group to the group's distinct values, a large group over `SALTS` tasks."""
+    salted = values.withColumn("__salt", F.pmod(F.xxhash64(x), F.lit(SALTS)).cast("int"))
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*by, "__salt"]).drop("__salt")
+
+
 def _zero_if_undefined(value: Column) -> Column:
     return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
 
@@ -69,11 +79,11 @@ def sample_adev(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     if not by:
         mean = df.agg(F.avg(x).alias("m")).scalar()
         return df.agg(F.avg(F.abs(F.col(x) - mean)).alias("adev"))
-    # Equal values are merged before the means are joined, so a hot group stays small.
+    # Equal values are merged before the means are joined.
     counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
     means = df.groupBy(*by).agg(F.avg(x).alias("m"))
     away = F.abs(F.col(x) - F.col("m")) * F.col("n")
-    return counts.join(means, list(by)).groupBy(*by).agg((F.sum(away) / F.sum("n")).alias("adev"))
+    return _join_groups(counts, means, by, x).groupBy(*by).agg((F.sum(away) / F.sum("n")).alias("adev"))
 
 
 def sample_percentile(df: DataFrame, x: str, percentiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -88,7 +98,7 @@ def sample_percentile(df: DataFrame, x: str, percentiles: Sequence[float], by: S
     ranked = with_running_total(counts, [*by, x], "n")
     groups = ranked.groupBy(*by).agg(F.min("before").alias("start"), F.sum("n").alias("size"))
     if by:
-        placed = ranked.join(groups, list(by)).withColumn("before", F.col("before") - F.col("start"))
+        placed = _join_groups(ranked, groups, by, x).withColumn("before", F.col("before") - F.col("start"))
     else:
         placed = ranked.withColumn("size", groups.select("size").scalar())
     chosen, result = [], []

@@ -172,3 +172,13 @@ def test_dominating_flow_is_split(spark):
     tagged = rows.withColumn("flow_id", F.when(F.col("cold") == 1, F.col("pkt_id")).otherwise(F.lit(-1))).drop("cold")
     split = count_window_bytes(tagged, 20, max_flow_rows=500, chunk_rows=300)
     assert same(split, count_window_bytes(tagged, 20, "by_flow"))
+
+
+def test_filter_and_columns_reach_the_scan(spark, packets, tmp_path):
+    from flowtusk.operators.packets import tcp_only
+    noisy(packets).withColumns({"seq": F.lit(1), "win": F.lit(2)}).write.parquet(str(tmp_path / "packets"))
+    table = tcp_only(spark.read.parquet(str(tmp_path / "packets")))
+    plan = sliding_bytes(table)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(protocol,6)" in plan
+    read = plan.split("ReadSchema:")[1]
+    assert "pkt_len" in read and "seq" not in read and "win:" not in read
