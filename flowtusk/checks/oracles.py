@@ -295,7 +295,7 @@ SELECT vec_id, CAST(pos - 1 AS INTEGER) AS feature,
   len(list_filter(e, lambda y: y < e[pos])) + (len(list_filter(e, lambda y: y = e[pos])) - 1) / 2.0::DOUBLE AS rank FROM t""",
     "t1_stream_sliding_bytes": f"{_closed()} SELECT {_FULL} FROM closed",
     "t1_stream_with_closing_batch": f"{_windows()} SELECT {_FULL} FROM windows",
-    "t2_stream_pane_bytes": f"{_closed()} SELECT {_BASE} FROM closed",
+    "t2_stream_pane_bytes": f"{_closed(carry='last')} SELECT {_FULL} FROM closed",
     "t3_alert_early": f"{_hits()} SELECT flow_id, window_start_us FROM hits",
     "t4_stream_count_window_bytes": f"{_flows()} {_COUNTED}",
     "t4_count_window_batches": f"{_flows()} {_COUNTED}",
@@ -317,6 +317,10 @@ UNION ALL SELECT '[Heavy Hitters - GLOBAL REPORT]' UNION ALL SELECT 'List of des
 SELECT {_THROUGHPUT_COLUMNS}, (SELECT count(*) FROM windows) AS processed, (SELECT count(*) FROM hits) AS detected,
   round((SELECT avg(m) FROM means), 6) AS average_latency_ms, (SELECT count(DISTINCT dst_ip) FROM hits) AS hosts
 FROM sent, received""",
+    "window_extra_aggregates": f"""{_windows()}, extra AS (
+  SELECT flow_id, ws AS window_start_us, max(pkt_len) AS largest, count(DISTINCT dst_ip) AS hosts FROM expanded GROUP BY 1, 2)
+SELECT flow_id, window_start_us, acc_bytes, largest, hosts FROM windows JOIN extra USING (flow_id, window_start_us)""",
+    "detect_stream": f"{_closed()} SELECT {_FULL} FROM closed WHERE acc_bytes > {HIGH_THRESHOLD}",
     "detect_count_window": f"{_flows()}, sums AS ({_COUNTED}) SELECT * FROM sums WHERE acc_bytes > 25000",
     "detect_objects31_sparse": f"{_hits(key='objects31', hosts=SPARSE_HOSTS)} SELECT {_BASE_SRC} FROM hits",
     "hits_by_sink": f"""{_hits()} SELECT CAST(((flow_id % {SINKS}) + {SINKS}) % {SINKS} AS INTEGER) AS sink_id, count(*) AS hits,

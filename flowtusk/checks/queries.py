@@ -21,7 +21,7 @@ from flowtusk.operators.windows import (
     sliding_bytes, sliding_bytes_last, sliding_bytes_microbatch, sliding_bytes_reduce, sliding_bytes_window,
     tumbling_bytes,
 )
-from flowtusk.plans.detect import detect_heavy_flows
+from flowtusk.plans.detect import DetectionPlan, detect_heavy_flows
 from flowtusk.plans.storage import new_path
 from flowtusk.schema import PACKET_COLUMNS
 from flowtusk.sinks import files
@@ -574,7 +574,7 @@ def t1_stream_with_closing_batch(spark, folder):
 
 @query
 def t2_stream_pane_bytes(spark, folder):
-    return _written(spark, stream_pane_bytes(_tcp_stream(spark, folder)))
+    return _written(spark, stream_pane_bytes(_tcp_stream(spark, folder), carry="last"))
 
 
 @query
@@ -677,6 +677,18 @@ def k7_run_metrics(spark, folder):
 
 # --- further keys and parameters of the whole analysis -----------------------------------------
 
+@query
+def window_extra_aggregates(spark, folder):
+    extra = [F.max("pkt_len").alias("largest"), F.size(F.collect_set("dst_ip")).cast("bigint").alias("hosts")]
+    sums = sliding_bytes(_tcp(spark, folder), aggs=extra)
+    return sums.select("flow_id", "window_start_us", "acc_bytes", "largest", "hosts")
+
+
+@query
+def detect_stream(spark, folder):
+    return _written(spark, DetectionPlan(threshold=HIGH_THRESHOLD).detect_stream(_tcp_stream(spark, folder)))
+
+
 @query
 def detect_count_window(spark, folder):
     return detect_heavy_flows(_tcp(spark, folder), window="count", count=COUNT_WINDOW, threshold=25_000)

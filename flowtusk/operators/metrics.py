@@ -90,6 +90,15 @@ def detector_counts(windows: DataFrame, threshold: int = THRESHOLD_BYTES) -> Dat
                        F.count_if(F.col("acc_bytes") > threshold).alias("detected"))
 
 
+def observe_detector(windows: DataFrame, name: str = "detector", threshold: int = THRESHOLD_BYTES) -> DataFrame:
+    """The same counts, observed while the windows flow on to a sink, in a batch or a stream.
+
+    A stream shows them under `name` in the `observedMetrics` of its progress.
+    """
+    return windows.observe(name, F.count(F.lit(1)).alias("processed"),
+                           F.count_if(F.col("acc_bytes") > threshold).alias("detected"))
+
+
 def generation_counts(replayed: DataFrame) -> DataFrame:
     """Packets generated and times the dataset was replayed."""
     return replayed.agg(F.count(F.lit(1)).alias("generated"), F.countDistinct("gen").alias("generations"))

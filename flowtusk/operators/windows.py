@@ -13,6 +13,7 @@ The pane plan works in three steps:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,7 +165,7 @@ def _tumbling(packets: DataFrame, length_us: int, key, carry: str, pkt_id_bound)
     return _as_result(panes, "pane", length_us)
 
 
-def _direct(packets: DataFrame, length_us: int, slide_us: int, key, carry: str) -> DataFrame:
+def _direct(packets: DataFrame, length_us: int, slide_us: int, key, carry: str, aggs: Sequence[Column]) -> DataFrame:
     """The built-in window function: every packet is expanded to all its windows."""
     extreme, at_extreme = _edge(carry)
     stamped = packets.withColumn("flow_id", flow_key(key).column())
@@ -173,23 +174,24 @@ def _direct(packets: DataFrame, length_us: int, slide_us: int, key, carry: str)
     return (stamped.groupBy("flow_id", window.alias("w"))
             .agg(F.sum("pkt_len").cast("bigint").alias("acc_bytes"), extreme("ts_us").alias("ts_us"),
                  at_extreme(pair, F.struct("ts_us", "pkt_id")).alias("pair"),
-                 F.count(F.lit(1)).alias("packets"))
+                 F.count(F.lit(1)).alias("packets"), F.struct(*(aggs or [F.lit(0)])).alias("extra"))
             .select("flow_id", F.unix_micros("w.start").alias("window_start_us"),
                     F.unix_micros("w.end").alias("window_end_us"), "pair.src_ip", "pair.dst_ip",
-                    "acc_bytes", "ts_us", "packets"))
+                    "acc_bytes", "ts_us", "packets", *(["extra.*"] if aggs else [])))
 
 
 def sliding_bytes(packets: DataFrame, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,
                   key: str | FlowKey = "poly17", carry: str = "first", plan: str = "panes",
-                  pkt_id_bound: int | None = None) -> DataFrame:
+                  pkt_id_bound: int | None = None, aggs: Sequence[Column] = ()) -> DataFrame:
     """Bytes per flow and window, with the addresses and time of the first or last packet.
 
     Packets need `pkt_id, ts_us, src_ip, dst_ip, pkt_len` and the key's columns. Ties in time
-    are ordered by `pkt_id`. `plan="direct"` uses the built-in window function instead.
+    are ordered by `pkt_id`. `plan="direct"` uses the built-in window function instead, and so
+    do further aggregates of the packets in a window, `aggs`, which panes cannot hold in general.
     """
     _check(length_us, slide_us)
-    if plan == "direct":
-        return _direct(packets, length_us, slide_us, key, carry)
+    if plan == "direct" or aggs:
+        return _direct(packets, length_us, slide_us, key, carry, aggs)
     if plan != "panes":
         raise ValueError("plan must be 'panes' or 'direct'")
     if length_us == slide_us:

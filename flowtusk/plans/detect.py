@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from flowtusk.functions.keys import FlowKey
 from flowtusk.operators.count_windows import count_window_bytes, flow_sizes
 from flowtusk.operators.packets import heavy_hitters, tag_flow
 from flowtusk.operators.windows import sliding_bytes
 from flowtusk.schema import SLIDE_US, THRESHOLD_BYTES, WINDOW_US
+from flowtusk.streaming.counts import stream_count_window_bytes
+from flowtusk.streaming.windows import stream_pane_bytes
 
 
 @dataclass(frozen=True)
@@ -18,7 +20,7 @@ class DetectionPlan:
     """Parameters of the analysis.
 
     `window="time"` sums over `length_us` every `slide_us`; `window="count"` sums the last
-    `count` packets of a flow for every packet.
+    `count` packets of a flow for every packet. `predicate` replaces the test against `threshold`.
     """
     key: str | FlowKey = "poly17"
     window: str = "time"
@@ -27,6 +29,7 @@ class DetectionPlan:
     slide_us: int = SLIDE_US
     count: int = 2000
     threshold: int = THRESHOLD_BYTES
+    predicate: Column | None = None
     pkt_id_bound: int | None = None
 
     def sums(self, packets: DataFrame) -> DataFrame:
@@ -38,7 +41,18 @@ class DetectionPlan:
         raise ValueError("window must be 'time' or 'count'")
 
     def detect(self, packets: DataFrame) -> DataFrame:
-        return heavy_hitters(self.sums(packets), self.threshold)
+        return heavy_hitters(self.sums(packets), self.threshold, self.predicate)
+
+    def sums_stream(self, packets: DataFrame, delay: str = "1 second") -> DataFrame:
+        """The sums over a stream; append mode. `delay` is the watermark's."""
+        if self.window == "time":
+            return stream_pane_bytes(packets, delay, None, self.length_us, self.slide_us, self.key, self.carry)
+        if self.window == "count":
+            return stream_count_window_bytes(tag_flow(packets, self.key), self.count)
+        raise ValueError("window must be 'time' or 'count'")
+
+    def detect_stream(self, packets: DataFrame, delay: str = "1 second") -> DataFrame:
+        return heavy_hitters(self.sums_stream(packets, delay), self.threshold, self.predicate)
 
 
 def detect_heavy_flows(packets: DataFrame, **parameters) -> DataFrame:

@@ -6,6 +6,8 @@ when the input ends are computed by `closing_windows`.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +40,27 @@ def stream_sliding_bytes(packets: DataFrame, delay: str = "1 second", length_us:
                     "acc_bytes", "ts_us", "packets"))
 
 
-def stream_pane_bytes(packets: DataFrame, delay: str = "1 second", batch_us: int = SLIDE_US,
-                      length_us: int = WINDOW_US, slide_us: int = SLIDE_US,
-                      key: str | FlowKey = "poly17") -> DataFrame:
-    """Two chained aggregations: panes first, then windows of panes. Append mode only.
+def stream_pane_bytes(packets: DataFrame, delay: str = "1 second", batch_us: int | None = None,
+                      length_us: int = WINDOW_US, slide_us: int = SLIDE_US, key: str | FlowKey = "poly17",
+                      carry: str = "first") -> DataFrame:
+    """Two chained aggregations: panes of `batch_us` first, then windows of panes. Append mode only.
 
     State holds one row per (flow, pane) and packets are not multiplied by the number of
-    windows they lie in.
+    windows they lie in. Panes are the common divisor of length and slide unless given.
     """
+    extreme, _ = _edge(carry)
+    batch_us = batch_us or gcd(length_us, slide_us)
+    if length_us % batch_us or slide_us % batch_us:
+        raise ValueError("window length and slide must be multiples of the batch interval")
     timed = with_event_time(packets, delay).withColumn("flow_id", flow_key(key).column())
     panes = (timed.groupBy("flow_id", F.window("event_time", _us(batch_us)).alias("pane"))
-             .agg(F.sum("pkt_len").cast("bigint").alias("bytes"),
-                  F.min(F.struct("ts_us", "pkt_id", "dst_ip")).alias("edge")))
+             .agg(F.sum("pkt_len").cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("packets"),
+                  extreme(F.struct("ts_us", "pkt_id", "src_ip", "dst_ip")).alias("edge")))
     return (panes.groupBy("flow_id", F.window("pane", _us(length_us), _us(slide_us)).alias("w"))
-            .agg(F.sum("bytes").alias("acc_bytes"), F.min("edge").alias("edge"))
+            .agg(F.sum("bytes").alias("acc_bytes"), F.sum("packets").alias("packets"), extreme("edge").alias("edge"))
             .select("flow_id", F.unix_micros("w.start").alias("window_start_us"),
-                    F.unix_micros("w.end").alias("window_end_us"), F.col("edge.dst_ip").alias("dst_ip"),
-                    "acc_bytes", F.col("edge.ts_us").alias("ts_us")))
+                    F.unix_micros("w.end").alias("window_end_us"), "edge.src_ip", "edge.dst_ip",
+                    "acc_bytes", "edge.ts_us", "packets"))
 
 
 def closing_windows(packets: DataFrame, watermark_us: int, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,

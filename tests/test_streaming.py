@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtusk.operators.count_windows import count_window_bytes
+from flowtusk.operators.metrics import observe_detector
 from flowtusk.operators.packets import heavy_hitters, tag_flow, tcp_only
 from flowtusk.operators.reports import flow_peaks
 from flowtusk.operators.windows import sliding_bytes
+from flowtusk.plans.detect import DetectionPlan
 from flowtusk.sources.events import read_event_packets
 from flowtusk.sources.text import stream_packets_csv, stream_packets_parquet
 from flowtusk.streaming import outputs
@@ -16,7 +18,6 @@ from flowtusk.streaming.counts import count_window_batches, count_window_results
 from flowtusk.streaming.windows import closing_windows, stream_pane_bytes, stream_sliding_bytes
 
 DELAY_US = 1_000_000
-COLUMNS = ["flow_id", "window_start_us", "window_end_us", "dst_ip", "acc_bytes", "ts_us"]
 
 
 def same(left, right):
@@ -71,10 +72,33 @@ def test_stream_equals_batch_on_closed_windows(spark, stream, table, tmp_path, c
     assert outputs.progress_metrics(query)["rows_dropped_by_watermark"] == 0
 
 
-def test_pane_stream_equals_window_stream(spark, stream, table, tmp_path):
-    got, _ = run(spark, stream_pane_bytes(stream), tmp_path)
-    assert same(got.select(*COLUMNS),
-                sliding_bytes(table).filter(F.col("window_end_us") <= watermark(table)).select(*COLUMNS))
+@pytest.mark.parametrize("carry,slide", [("first", 100_000), ("last", 300_000)])
+def test_pane_stream_equals_batch(spark, stream, table, tmp_path, carry, slide):
+    got, _ = run(spark, stream_pane_bytes(stream, carry=carry, slide_us=slide), tmp_path)
+    want = sliding_bytes(table, carry=carry, slide_us=slide)
+    assert same(got, want.filter(F.col("window_end_us") <= watermark(table)))
+
+
+def test_panes_must_divide_the_window(stream):
+    with pytest.raises(ValueError):
+        stream_pane_bytes(stream, batch_us=300_000)
+
+
+def test_whole_analysis_as_a_stream(spark, stream, table, tmp_path):
+    plan = DetectionPlan(predicate=F.col("acc_bytes") % 2 == 0)
+    got, _ = run(spark, plan.detect_stream(stream), tmp_path / "time")
+    assert same(got, plan.detect(table).filter(F.col("window_end_us") <= watermark(table)))
+    counted = DetectionPlan(window="count", count=3, threshold=1000)
+    got, _ = run(spark, counted.detect_stream(stream), tmp_path / "count")
+    assert same(got, counted.detect(table).select(*got.columns))
+
+
+def test_observed_counts(spark, stream, table, tmp_path):
+    observed = observe_detector(stream_pane_bytes(stream), threshold=1500)
+    got, query = run(spark, observed, tmp_path)
+    seen = [p["observedMetrics"]["detector"] for p in query.recentProgress if "detector" in p["observedMetrics"]]
+    assert sum(m["processed"] for m in seen) == got.count()
+    assert sum(m["detected"] for m in seen) == heavy_hitters(got).count()
 
 
 def test_alerts_come_once_and_completely(spark, stream, table, tmp_path):
