@@ -6,7 +6,8 @@ The pane plan works in three steps:
 1. packets are summed per (key columns, pane), where panes are the greatest common divisor of
    length and slide long; this aggregates before the shuffle and before the flow id is computed;
 2. panes are placed into blocks of consecutive window starts and shuffled by (flow, block);
-   a block holds a bounded number of panes per address pair, however hot the flow;
+   a block holds a bounded number of panes per address pair, however hot the flow, and only
+   panes near its edge lie in two;
 3. inside its block, running sums over the sorted panes give all windows without a further
    shuffle, and without expanding panes to the windows they lie in.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from flowtusk.functions.keys import PAIR, FlowKey, flow_key
 from flowtusk.schema import BATCH_US, SLIDE_US, WINDOW_US
 
-WINDOWS_PER_BLOCK = 128
+MIN_WINDOWS_PER_BLOCK = 128
 _WIDE = "20000000000000000000"  # larger than the range of a bigint
 
 RESULT = ["flow_id", "window_start_us", "window_end_us", "src_ip", "dst_ip", "acc_bytes", "ts_us", "packets"]
@@ -112,7 +113,7 @@ def _as_result(merged: DataFrame, start: str, length_us: int) -> DataFrame:
 
 
 def windows_of_panes(panes: DataFrame, length_us: int, slide_us: int, carry: str = "first",
-                     windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
+                     windows_per_block: int | None = None) -> DataFrame:
     """Steps 2 and 3 of the pane plan.
 
     Within a block the window starts are swept in one direction: a pane is added at the first
@@ -121,6 +122,8 @@ def windows_of_panes(panes: DataFrame, length_us: int, slide_us: int, carry: str
     `carry="first"`, and forwards for "last", the pane added last holds the carried packet.
     """
     _edge(carry)
+    # At least four window lengths per block, so that few panes lie in two blocks.
+    windows_per_block = windows_per_block or max(MIN_WINDOWS_PER_BLOCK, 4 * -(-length_us // slide_us))
     block_us = slide_us * windows_per_block
     pane = F.col("pane")
     spans = panes.withColumns({

@@ -53,6 +53,16 @@ def test_pane_plan_against_brute_force(spark, packets, length, slide, carry, bou
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("blocks", [1, 3, None])
+@pytest.mark.parametrize("carry", ["first", "last"])
+def test_block_size_does_not_show(packets, blocks, carry):
+    from flowtusk.operators.windows import flow_panes, windows_of_panes
+    table = noisy(packets, seed=13)
+    panes = flow_panes(table, 100_000, carry=carry)
+    assert same(windows_of_panes(panes, 20 * S, S // 10, carry, blocks),
+                sliding_bytes(table, 20 * S, carry=carry, plan="direct"))
+
+
 @pytest.mark.parametrize("key", ["poly17", "objects31", "xor", "pair"])
 @pytest.mark.parametrize("carry", ["first", "last"])
 def test_pane_plan_equals_the_window_function(packets, key, carry):
