@@ -74,4 +74,6 @@ def count_window_bytes(tagged: DataFrame, n: int, strategy: str = "auto", max_fl
     hot = store(hot, "hot")
     side = F.broadcast(hot) if found <= BROADCAST_FLOWS else hot
     cold = _by_flow(tagged.join(side, "flow_id", "left_anti"), n, order)
-    return cold.unionByName(_by_chunk(tagged.join(side, "flow_id", "left_semi"), n, order, chunk_rows))
+    # Stored once, as finding the bounds of a range partitioning reads its input twice.
+    large = store(tagged.join(side, "flow_id", "left_semi"), "large-flows")
+    return cold.unionByName(_by_chunk(large, n, order, chunk_rows))
