@@ -29,10 +29,10 @@ def _ordered(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True) if len(df) else df
 
 
-def difference(spark, con, folder: str, name: str) -> str | None:
+def difference(spark, con, folder: str, name: str, queries=QUERIES, oracles=ORACLES) -> str | None:
     """None when both sides agree, else what differs."""
-    ours = _ordered(QUERIES[name](spark, folder).toPandas())
-    theirs = _ordered(con.execute(ORACLES[name]).fetch_df())
+    ours = _ordered(queries[name](spark, folder).toPandas())
+    theirs = _ordered(con.execute(oracles[name]).fetch_df())
     if list(ours.columns) != list(theirs.columns):
         return f"columns {list(ours.columns)} / {list(theirs.columns)}"
     if len(ours) != len(theirs):
