@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtusk.llm import bpe, chat, packing, quality_rules, separators
+from flowtusk.llm import bpe, chat, packing, quality_model, quality_rules, separators, toxicity, training
 from flowtusk.llm.common import read_table
 from flowtusk.plans.storage import new_path
 
@@ -52,6 +52,23 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def _classified(spark: SparkSession, sf_dir: str, method) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = method.fit(docs, labels)
+    score = method.quality if method is quality_model else method.toxicity
+    scored = docs.select("doc_id", training.held_out("doc_id", *method.HELD_OUT).alias("held_out"),
+                         score("text", model, spark).alias("score"))
+    return scored.select("*", (F.col("score") >= training.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality_model)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORDS)
 
@@ -61,5 +78,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
