@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtusk.llm import bpe, chat, packing, quality_model, quality_rules, separators, toxicity, training
+from flowtusk.llm import bpe, chat, packing, quality_model, quality_rules, separators, toxicity, training, vectors
 from flowtusk.llm.common import read_table
 from flowtusk.plans.storage import new_path
 
@@ -25,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode_documents(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return bpe.digest_documents(bpe.decode_pieces(ids, RANKS, public_tokenizers.PATTERN))
@@ -75,6 +79,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
