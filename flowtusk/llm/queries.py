@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtusk.llm import bpe, chat, packing, quality_model, quality_rules, separators, toxicity, training, vectors
+from flowtusk.llm import bpe, chat, jaccard, packing, quality_model, quality_rules, separators, toxicity, training, vectors
 from flowtusk.llm.common import read_table
 from flowtusk.plans.storage import new_path
 
@@ -34,6 +34,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(bpe.decode_pieces(ids, RANKS, public_tokenizers.PATTERN))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_documents(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *[f"quality.{name}" for name in (
@@ -81,6 +85,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_classifier": op8_quality_classifier,
