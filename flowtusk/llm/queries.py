@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtusk.llm import bpe, chat, jaccard, packing, quality_model, quality_rules, separators, toxicity, training, vectors
+from flowtusk.llm import (bpe, chat, jaccard, packing, pages, quality_model, quality_rules, separators, toxicity, training,
+                          vectors)
 from flowtusk.llm.common import read_table
 from flowtusk.plans.storage import new_path
 
@@ -38,6 +39,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_documents(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *[f"quality.{name}" for name in (
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_html_extraction": op5_html_extraction,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_classifier": op8_quality_classifier,
