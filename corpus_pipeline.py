@@ -1,27 +1,62 @@
-"""A corpus pipeline over `documents`: each stage takes what its predecessor kept."""
+"""A corpus pipeline over `documents`: each stage works on all that its predecessor kept.
+
+The stages are functions of (spark, docs, sf_dir); the caller may write and reread between them.
+All but the last return the columns of documents, whatever these are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowtusk.llm import packing
+from flowtusk.llm import jaccard, packing, quality_rules, toxicity
+from flowtusk.llm.common import read_table
 from flowtusk.llm.queries import WORDS
+from flowtusk.llm.training import THRESHOLD
+from flowtusk.plans.storage import store
+
+#: Near-duplicates of the corpus: words of an n-gram and least similarity (per cent).
+WORDS_OF_NGRAM, SIMILARITY = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject. It learns from the table `labels`
+    and the texts of `documents` in `sf_dir`."""
+    model = toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return docs.filter(toxicity.toxicity(F.col("text"), model, spark) < THRESHOLD)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break no quality rule."""
+    return quality_rules.kept_documents(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id. Of rows of one id
+    one stays; rows without id have no group and stay."""
+    groups = jaccard.jaccard_components(docs, words=WORDS_OF_NGRAM, numerator=SIMILARITY, denominator=100)
+    heads = store(groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "heads")
+    kept = docs.join(heads, "doc_id").select(*[docs[c] for c in docs.columns], heads["count"].alias("__rows"))
+    once = kept.filter("__rows = 1").drop("__rows")
+    repeated = kept.filter("__rows > 1").drop("__rows").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, packed into sequences."""
+    """Every document that is left, packed into sequences: one row per piece."""
     return packing.pack_documents(docs, WORDS)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality rules", keep_quality), ("n-gram Jaccard join", drop_near_duplicates),
+          ("best-fit packing", pack)]
 
-#: SQL cannot express the stages; tests/llm holds them against brute force.
+#: SQL cannot express the classifier, the join and the packing; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages applied to `documents`. What a stage keeps is written and reread."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -148,3 +148,14 @@ def judge_documents(docs: DataFrame, text: str = "text", keep: Sequence[str] | N
         F.col("__n_symbols").alias("n_symbols"), F.col("__n_dup_lines").alias("n_dup_lines"),
         F.col("__n_repeat_words").alias("n_repeat_words"), base_failed.alias("base_failed"), broken.alias("broken"),
         (~base_failed & (F.size(broken) == 0)).alias("kept")).alias("quality"))
+
+
+def kept_documents(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of `docs`, with its columns, whose text keeps the base rule and all others."""
+    # The row travels as one column, so none of its names can clash with the rules' own.
+    whole = docs.select(F.col(text).alias("__source"), F.struct(*[docs[c] for c in docs.columns]).alias("document"))
+    judged = judge_documents(whole, "__source", ["document"], rules)
+    # A row number in the condition keeps the optimizer from pushing it down: it would repeat every
+    # intermediate array inside the expressions over its elements.
+    numbered = judged.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.filter(F.col("quality.kept") & (F.col("__row") >= 0)).select("document.*")

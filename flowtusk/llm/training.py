@@ -66,8 +66,9 @@ def score_column(text: str | Column, model: dict, score: Callable[[dict, list[st
     """A model's score of each text. The model has a fixed size, whatever the corpus."""
     shared = spark.sparkContext.broadcast(model)
 
+    @F.pandas_udf(DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(score(shared.value, batch.fillna("").tolist()), dtype=np.float64)
 
-    return F.pandas_udf(scored, DoubleType(), functionType=F.PandasUDFType.SCALAR_ITER)(text)
+    return scored(text)
