@@ -224,8 +224,8 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """The main text of every row: page_id, url, text, n_chars (code points).
 
     Character references are decoded, white space inside a block becomes one space, blocks are
-    joined by line ends. A null or empty page has no text. A page without url, or alone on its
-    host, has no neighbour and loses no open line. Pages of equal path are neighbours in the
+    joined by line ends. A null or empty page has no text and is no neighbour. A page without url,
+    or alone on its host, has no neighbour and loses no open line. Pages of equal path are neighbours in the
     order of page_id; repeated rows are repeated, and share all open lines with each other.
     With `structure` off, only differencing is used. Other columns are not read. Runs jobs.
     """
@@ -234,7 +234,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     parsed = _parsed(named, structure)
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
-    slim = parsed.filter(F.col("url").isNotNull()).select("row", "page_id", host.alias("host"), path.alias("path"), "lines")
+    slim = parsed.filter(F.col("url").isNotNull() & (F.size("lines") > 0)).select("row", "page_id", host.alias("host"), path.alias("path"), "lines")
     placed = with_global_position(slim, ["host", "path", "page_id", "row"])
     side = placed.select("host", "position", "path", "lines")
     wanted = placed.join(parsed.filter(F.col("open").isNotNull()).select("row", "open"), "row")

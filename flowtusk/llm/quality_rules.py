@@ -140,10 +140,12 @@ def judge_documents(docs: DataFrame, text: str = "text", keep: Sequence[str] | N
     rows without id are no special case; a column `quality` of the input is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "quality"]
-    counts = base_counts(docs, text, keep)
+    # What is kept travels as one column, so none of its names can clash with those used here.
+    kept = F.struct(*[docs[c] for c in keep]) if keep else F.lit(0)
+    counts = base_counts(docs.select(docs[text].alias("__source"), kept.alias("__kept")), "__source", ["__kept"])
     base_failed = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
     broken = broken_rules(rules)
-    return counts.select(*keep, F.struct(
+    return counts.select(*[F.col("__kept")[c].alias(c) for c in keep], F.struct(
         F.col("__n_words").alias("n_words"), F.col("__word_chars").alias("word_chars"),
         F.col("__n_symbols").alias("n_symbols"), F.col("__n_dup_lines").alias("n_dup_lines"),
         F.col("__n_repeat_words").alias("n_repeat_words"), base_failed.alias("base_failed"), broken.alias("broken"),
@@ -152,8 +154,7 @@ def judge_documents(docs: DataFrame, text: str = "text", keep: Sequence[str] | N
 
 def kept_documents(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of `docs`, with its columns, whose text keeps the base rule and all others."""
-    # The row travels as one column, so none of its names can clash with the rules' own.
-    whole = docs.select(F.col(text).alias("__source"), F.struct(*[docs[c] for c in docs.columns]).alias("document"))
+    whole = docs.select(docs[text].alias("__source"), F.struct(*[docs[c] for c in docs.columns]).alias("document"))
     judged = judge_documents(whole, "__source", ["document"], rules)
     # A row number in the condition keeps the optimizer from pushing it down: it would repeat every
     # intermediate array inside the expressions over its elements.
