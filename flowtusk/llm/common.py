@@ -50,3 +50,18 @@ def arrow_slices(batches: Iterable, text: str, size: int = 4_000_000) -> Iterato
             end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+def sorted_runs(frames: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The runs of equal `key` of a sorted partition, across its batches."""
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        values = frame[key]
+        cuts = np.flatnonzero((values.iloc[1:].to_numpy() != values.iloc[:-1].to_numpy()).any(axis=1)) + 1
+        edges = [0, *cuts.tolist()]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            yield frame.iloc[begin:end]
+        held = frame.iloc[edges[-1]:]
+    if held is not None and len(held):
+        yield held

@@ -8,6 +8,7 @@ which cuts the lineage; the round before is then deleted.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +68,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError("components did not settle; raise max_rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def connected(adjacent: np.ndarray) -> np.ndarray:
+    """The first row that each row of a symmetric link matrix is connected to."""
+    roots = np.arange(len(adjacent))
+    while True:
+        least = np.minimum(roots, np.where(adjacent, roots[None], len(roots)).min(axis=1, initial=len(roots)))
+        least = least[least]
+        if (least == roots).all():
+            return roots
+        roots = least

@@ -8,10 +8,11 @@ and checks would; it is taken from the table's own lists.
 
 Rarity comes from a sketch of all n-grams of fixed size (any common order gives the same links).
 A list is not paired with itself. First each member is checked against one member of its list;
-what is found connects most of a group. Then only members outside a list's largest component are
-paired, and only with other components. Checks have two steps, both exact: counts of n-grams by
-hash give an upper bound of the overlap that rejects nearly all pairs that merely share a passage;
-the sets of the rest are compared. So a group of copies, however large, costs rows in proportion.
+what is found connects most of a group. After that only members outside a list's largest component
+are compared, and only with other components: in short lists as pairs, in long ones in blocks, of
+which no pair leaves the task but one link per member. A sketch of 128 bits per set rejects pairs
+that merely share a passage (a linked pair with a chance below 1e-13); all others are decided by
+the sets themselves. So a group of copies, however large, costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -26,18 +27,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtusk.llm.common import slices, text_or_empty
-from flowtusk.llm.graph import components
+from flowtusk.llm.common import slices, sorted_runs, text_or_empty
+from flowtusk.llm.graph import components, connected
 from flowtusk.plans.storage import store
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Sets up to this size are kept whole, so that the boundary may lie anywhere below.
 SMALL = 24
 #: What a check of a pair costs, in rows of a list.
 CHECK_COST = 4.0
 #: Ids up to this number are sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
+#: A list with more members outside its largest component is compared in blocks of so many members.
+SHORT, BLOCK = 32, 1024
+#: Bits of the sketch in which linked sets may differ: 10 are expected at a similarity of 0.85.
+SKETCH_DIFFERENCE = 40
 _SLABS = 64
 
 
@@ -91,46 +96,38 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
         if total.any():
-            yield pd.DataFrame({"slab": np.arange(_SLABS), "counts": [part.tobytes() for part in total.reshape(_SLABS, slab)]})
+            few = np.minimum(total, 65535).astype("<u2")
+            yield pd.DataFrame({"slab": np.arange(_SLABS), "counts": [part.tobytes() for part in few.reshape(_SLABS, slab)]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(counts, dtype=np.int64) for counts in frame["counts"]], axis=0)
-        return pd.DataFrame({"slab": frame["slab"].iloc[:1], "counts": [total.tobytes()]})
+        total = np.zeros(slab, dtype=np.int64)
+        for counts in frame["counts"]:
+            total += np.frombuffer(counts, dtype="<u2" if len(counts) == 2 * slab else "<u4")
+        return pd.DataFrame({"slab": frame["slab"].iloc[:1], "counts": [np.minimum(total, 2 ** 31 - 1).astype("<u4").tobytes()]})
 
     parts = docs.select("text").mapInPandas(count, "slab int, counts binary").withColumn("branch", F.spark_partition_id() % 64)
     sums = parts.groupBy("slab", "branch").applyInPandas(add, "slab int, counts binary")
     rows = sums.groupBy("slab").applyInPandas(add, "slab int, counts binary").collect()  # _SLABS rows of fixed size
-    total = np.zeros((_SLABS, slab), dtype=np.int64)
+    total = np.zeros((_SLABS, slab), dtype=np.int32)
     for row in rows:
-        total[row["slab"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    return np.minimum(total.ravel(), 2 ** 31 - 1).astype(np.int32)
+        total[row["slab"]] = np.frombuffer(row["counts"], dtype="<u4")
+    return total.ravel()
 
 
-def _profile(hashes: np.ndarray) -> bytes:
-    """Number of n-grams in each of m hash classes, m a power of two of at least a quarter of the set."""
-    m = 16
-    while m * 4 < len(hashes):
-        m *= 2
-    counts = np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m)
-    return np.minimum(counts, 65535).astype("<u2" if counts.max(initial=0) > 255 else "u1").tobytes()
+_CLASSES = np.arange(128, dtype=np.uint64) << np.uint64(57)
 
 
-def _counts(profile: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(profile, dtype="<u2" if wide else "u1").astype(np.int64)
-
-
-def _most_common(a: bytes, b: bytes, wide_a: bool, wide_b: bool) -> int:
-    """An upper bound of the overlap of two sets, from their profiles."""
-    x, y = _counts(a, wide_a), _counts(b, wide_b)
-    while len(x) > len(y):
-        x = x.reshape(2, -1).sum(axis=0)
-    while len(y) > len(x):
-        y = y.reshape(2, -1).sum(axis=0)
-    return int(np.minimum(x, y).sum())
+def _sketch(hashes: np.ndarray) -> tuple[int, int]:
+    """One bit for each of 128 classes of n-grams: a bit of the class's smallest hash."""
+    first = np.searchsorted(hashes, _CLASSES)
+    least = hashes[np.minimum(first, len(hashes) - 1)] if len(hashes) else np.zeros(128, dtype=np.uint64)
+    own = (first < len(hashes)) & ((least >> np.uint64(57)) == np.arange(128, dtype=np.uint64))
+    bits = np.where(own, (least >> np.uint64(3)) & np.uint64(1), 0).astype(np.uint8)
+    return tuple(np.packbits(bits).view("<i8").tolist())
 
 
 def _signatures(docs: DataFrame, kind: str, words: int, limit: Threshold) -> DataFrame:
-    """Per document: n, a fingerprint of the set, its rarest n-grams (all of a small set), profile."""
+    """Per document: n, a fingerprint of the set, its rarest n-grams (all of a small set), sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(_rarity(docs, words))
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,15 +140,11 @@ def _signatures(docs: DataFrame, kind: str, words: int, limit: Threshold) -> Dat
                 order = np.lexsort((hashes, rarity[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 first = hashes[order[:n if n <= SMALL else limit.prefix(n)]].view(np.int64)
                 mark = xxhash.xxh3_128_digest(hashes.tobytes())
-                profile = _profile(hashes)
-                m = 16
-                while m * 4 < n:
-                    m *= 2
-                rows.append((n, mark, first, profile, len(profile) > m))
-            yield frame.assign(**dict(zip(["n", "mark", "first", "profile", "wide"], map(list, zip(*rows)), strict=True)))
+                rows.append((n, mark, first, *_sketch(hashes)))
+            yield frame.assign(**dict(zip(["n", "mark", "first", "s1", "s2"], map(list, zip(*rows)), strict=True)))
 
     return store(docs.mapInPandas(
-        sign, f"doc_id {kind}, n int, mark binary, first array<bigint>, profile binary, wide boolean"), "signatures")
+        sign, f"doc_id {kind}, n int, mark binary, first array<bigint>, s1 bigint, s2 bigint"), "signatures")
 
 
 def _boundary(sizes: dict[int, int], list_length: float, limit: Threshold) -> int:
@@ -190,35 +183,22 @@ def _small_links(sets: DataFrame, kind: str, boundary: int, limit: Threshold) ->
 
 
 def _may_link(limit: Threshold, a: str, b: str):
-    """Whether two members of a list can link, from sizes and the n-gram's places in their orders."""
+    """Whether two members of a list can link, by sizes, the n-gram's places in their orders, sketches."""
     n_a, n_b = F.col(f"n{a}"), F.col(f"n{b}")
     small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
     needed = F.ceil(limit.num * (n_a + n_b) / (limit.num + limit.den))
     rest = F.least(n_a - F.col(f"at{a}"), n_b - F.col(f"at{b}"))
-    return (limit.den * small >= limit.num * large) & (rest >= needed)
+    differing = sum(F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in ("s1", "s2"))
+    return (limit.den * small >= limit.num * large) & (rest >= needed) & (differing <= SKETCH_DIFFERENCE)
 
 
 class _Checker:
-    """Exact checks of candidate pairs (a, b)."""
+    """Exact comparisons of sets, built again from the texts of those documents that need it."""
 
-    def __init__(self, docs: DataFrame, signatures: DataFrame, kind: str, words: int, limit: Threshold):
+    def __init__(self, docs: DataFrame, kind: str, words: int, limit: Threshold):
         self.docs, self.kind, self.words, self.limit = docs, kind, words, limit
-        self.profiles = signatures.select(F.col("doc_id").alias("node"), "n", "profile", "wide")
-
-    def _by_profile(self, pairs: DataFrame) -> DataFrame:
-        limit = self.limit
-
-        def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                keep = [_most_common(r.profile_a, r.profile_b, r.wide_a, r.wide_b) >= limit.overlap(r.n_a, r.n_b)
-                        for r in frame.itertuples(index=False)]
-                yield frame.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
-        side = lambda s: self.profiles.toDF(s, f"n_{s}", f"profile_{s}", f"wide_{s}")
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        return store(joined.mapInPandas(bound, f"a {self.kind}, b {self.kind}").distinct(), "candidates")
 
-    def _sets(self, nodes: DataFrame) -> DataFrame:
+    def sets(self, nodes: DataFrame) -> DataFrame:
         """node, grams (bytes of the sorted set) of the given nodes."""
         words = self.words
 
@@ -229,10 +209,10 @@ class _Checker:
         wanted = store(nodes, "nodes")
         few = wanted.count() <= BROADCAST_IDS
         texts = self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi")
-        return texts.mapInPandas(build, f"node {self.kind}, grams binary")
+        return store(texts.mapInPandas(build, f"node {self.kind}, grams binary"), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link."""
+        """The pairs (a, b) that link."""
         limit = self.limit
 
         def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,9 +232,9 @@ class _Checker:
                             found.append((a, b))
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-        pairs = self._by_profile(pairs)
+        pairs = store(pairs, "pairs")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = store(self._sets(nodes), "sets")
+        sets = self.sets(nodes)
         partners = pairs.join(sets.withColumnRenamed("node", "a"), "a").select("a", "b", "grams")
         own = pairs.select("b").distinct().join(sets.withColumnRenamed("node", "b"), "b").select(
             F.lit(None).cast(self.kind).alias("a"), "b", "grams")
@@ -265,34 +245,78 @@ class _Checker:
         rows = partners.unionByName(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
         return store(rows.select("a", "b", "grams").mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "checked")
 
+    def links_in_blocks(self, members: DataFrame) -> DataFrame:
+        """Links that connect what links within long lists (gram, node): one per member and block."""
+        limit, key = self.limit, ["gram", "low", "high"]
+
+        def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for run in sorted_runs(frames, key):
+                side = (run["part"] == run["low"]).to_numpy()
+                across = run["low"].iloc[0] != run["high"].iloc[0]
+                grams = [np.frombuffer(g, dtype=np.uint64) for g in run["grams"]]
+                near = _near(grams, side, ~side if across else side, limit)
+                roots, nodes = connected(near), run["node"].to_numpy()
+                linked = roots != np.arange(len(roots))
+                yield pd.DataFrame({"a": nodes[linked], "b": nodes[roots[linked]]})
+
+        counts = members.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        rows = members.join(counts, "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("gram", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node")
+        rows = rows.join(self.sets(members.select("node").distinct()), "node").repartition(*key).sortWithinPartitions(*key)
+        return store(rows.mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "blocks")
+
+
+def _near(grams: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, limit: Threshold) -> np.ndarray:
+    """Which sets link, as a symmetric matrix; only pairs of a set in `rows` and one in `columns`."""
+    sizes = np.array([len(g) for g in grams])
+    owner = np.repeat(np.arange(len(grams)), sizes)
+    _, place, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    # An n-gram of one set adds to no overlap; the others are counted a slice of columns at a time.
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[place]
+    shared = np.zeros((int(rows.sum()), int(columns.sum())), dtype=np.float32)
+    for begin in range(0, int(column.max(initial=-1)) + 1, 2048):
+        inside = (column >= begin) & (column < begin + 2048)
+        dense = np.zeros((len(grams), 2048), dtype=np.float32)
+        dense[owner[inside], column[inside] - begin] = 1
+        shared += dense[rows] @ dense[columns].T
+    common = shared.astype(np.int64)
+    near = np.zeros((len(grams), len(grams)), dtype=bool)
+    near[np.ix_(rows, columns)] = limit.den * common >= limit.num * (sizes[rows][:, None] + sizes[columns][None] - common)
+    near |= near.T
+    np.fill_diagonal(near, False)
+    return near
+
 
 def _list_links(lists: DataFrame, boundary: int, limit: Threshold, checker: _Checker, known: DataFrame) -> DataFrame:
     """Links `known`, and those that connect all sets larger than the boundary that link."""
     members = lists.filter(F.col("n") > boundary)
-    head = members.groupBy("gram").agg(
-        F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "at")).alias("p")).filter("c > 1")
-    pairs = members.join(head.select("gram", F.col("p.node").alias("head"), F.col("p.n").alias("n_head"),
-                                     F.col("p.at").alias("at_head")), "gram")
-    pairs = pairs.withColumnsRenamed({"n": "n_own", "at": "at_own"})
-    pairs = pairs.filter((F.col("node") != F.col("head")) & _may_link(limit, "_own", "_head"))
+    head = members.groupBy("gram").agg(F.count("*").alias("c"), F.min(F.struct(
+        F.xxhash64("node").alias("h"), "node", "n", "at", "s1", "s2")).alias("p")).filter("c > 1")
+    pairs = members.toDF(*[c if c == "gram" else f"{c}_own" for c in members.columns]).join(
+        head.select("gram", *[F.col(f"p.{c}").alias(f"{c}_head") for c in ("node", "n", "at", "s1", "s2")]), "gram")
+    pairs = pairs.filter((F.col("node_own") != F.col("node_head")) & _may_link(limit, "_own", "_head"))
     # The head is the `b` of its pairs, so that its set is held once for all of them.
-    first = checker.links(pairs.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    first = checker.links(pairs.select(F.col("node_own").alias("a"), F.col("node_head").alias("b")).distinct())
     links = known.unionByName(first)
 
     labels = components(links)
     part = F.coalesce("component", "node")
     labelled = store(members.join(labels, "node", "left").withColumn("part", part).drop("component"), "labelled")
-    major = (labelled.groupBy("gram", "part").count().groupBy("gram")
-             .agg(F.max_by("part", F.struct("count", "part")).alias("major"), F.count("*").alias("parts")).filter("parts > 1"))
-    marked = labelled.join(major.select("gram", "major"), "gram")
-    outside = marked.filter("part <> major").select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"),
-                                                    F.col("at").alias("at_a"), F.col("part").alias("part_a"))
-    others = marked.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"),
-                           F.col("part").alias("part_b"), (F.col("part") == F.col("major")).alias("in_major"))
+    sizes = labelled.groupBy("gram", "part").agg(F.count("*").alias("c"))
+    major = sizes.groupBy("gram").agg(F.max_by("part", F.struct("c", "part")).alias("major"),
+                                      (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
+    marked = store(labelled.join(major, "gram"), "marked")
+    short = marked.filter(F.col("outside") <= SHORT)
+    columns = ["node", "n", "at", "s1", "s2", "part"]
+    outside = short.filter("part <> major").select("gram", *[F.col(c).alias(f"{c}_a") for c in columns])
+    others = short.select("gram", *[F.col(c).alias(f"{c}_b") for c in columns], (F.col("part") == F.col("major")).alias("in_major"))
     rest = outside.join(others, "gram").filter(
-        (F.col("part_a") != F.col("part_b")) & (F.col("in_major") | (F.col("a") < F.col("b"))) & _may_link(limit, "_a", "_b"))
-    second = checker.links(rest.select("a", "b").distinct())
-    return links.unionByName(second)
+        (F.col("part_a") != F.col("part_b")) & (F.col("in_major") | (F.col("node_a") < F.col("node_b")))
+        & _may_link(limit, "_a", "_b"))
+    second = checker.links(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    long = checker.links_in_blocks(marked.filter(F.col("outside") > SHORT).select("gram", "node"))
+    return links.unionByName(second).unionByName(long)
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -323,7 +347,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.expr(f"at < n - ceil({limit.num} * n / {limit.den}) + 1"))
     several = grams.groupBy("gram").count().filter("count > 1").select("gram")
     lists = grams.join(several, "gram").join(moved, "doc_id", "left")
-    lists = store(lists.select("gram", F.coalesce("node", "doc_id").alias("node"), "n", "at").distinct(), "lists")
+    lists = lists.select("gram", F.coalesce("node", "doc_id").alias("node"), "n", "at").distinct()
+    sketches = usable.select(F.col("doc_id").alias("node"), "s1", "s2").dropDuplicates(["node"])
+    lists = store(lists.join(sketches, "node"), "lists")
 
     sizes = {r["n"]: r["c"] for r in usable.filter(F.col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     mean = lists.groupBy("gram").count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
@@ -331,7 +357,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     nodes = usable.join(moved, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
     small = store(_small_links(nodes, kind, boundary, limit), "small")
-    checker = _Checker(named, signatures, kind, words, limit)
+    checker = _Checker(named, kind, words, limit)
     links = _list_links(lists, boundary, limit, checker, small)
     joined = components(links)
     result = (signatures.select("doc_id", "n").join(members, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))

@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtusk.llm.graph import components
+from flowtusk.llm.common import sorted_runs
+from flowtusk.llm.graph import components, connected
 from flowtusk.plans.storage import store
 
 THRESHOLD = 0.93
@@ -99,17 +100,6 @@ def _keyed(nodes: DataFrame, width: str, size: int, tables: int) -> DataFrame:
     return nodes.mapInPandas(hashed, schema)
 
 
-def _roots(adjacent: np.ndarray) -> np.ndarray:
-    """The first row that each row of a symmetric link matrix is connected to."""
-    roots = np.arange(len(adjacent))
-    while True:
-        least = np.minimum(roots, np.where(adjacent, roots[None], len(roots)).min(axis=1, initial=len(roots)))
-        least = least[least]
-        if (least == roots).all():
-            return roots
-        roots = least
-
-
 def _compare(threshold: float, width: str):
     """Link counts and connecting links of sorted runs of (label, tab, bucket, low, high)."""
     def linked(run: pd.DataFrame) -> pd.DataFrame | None:
@@ -127,7 +117,7 @@ def _compare(threshold: float, width: str):
             near &= side[:, None] != side[None]
         if not near.any():
             return None
-        roots = _roots(near)
+        roots = connected(near)
         first = near
         for earlier in range(tab):
             first = first & (keys[:, earlier][:, None] != keys[:, earlier][None])
@@ -136,19 +126,17 @@ def _compare(threshold: float, width: str):
         return out[near.any(axis=1)]
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            key = frame[["tab", "bucket", "low", "high", "label"]]
-            cuts = np.flatnonzero((key.iloc[1:].to_numpy() != key.iloc[:-1].to_numpy()).any(axis=1)) + 1
-            edges = [0, *cuts.tolist()]
-            out = [linked(frame.iloc[a:b]) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
-            out = [x for x in out if x is not None]
-            if out:
+        out, rows = [], 0
+        for run in sorted_runs(frames, ["tab", "bucket", "low", "high", "label"]):
+            found = linked(run) if len(run) > 1 else None
+            if found is not None:
+                out.append(found)
+                rows += len(found)
+            if rows > 10_000:
                 yield pd.concat(out)
-            held = frame.iloc[edges[-1]:]
-        if held is not None and len(held) > 1 and (last := linked(held)) is not None:
-            yield last
+                out, rows = [], 0
+        if out:
+            yield pd.concat(out)
 
     return compare
 
