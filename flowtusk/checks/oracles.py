@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowtusk.checks.queries import COUNT_WINDOW, DELAY_US, HIGH_THRESHOLD, PREVIEW, SINKS, SPARSE_HOSTS
+from flowtusk.checks.queries import COUNT_WINDOW, HIGH_THRESHOLD, LONG_COUNT_WINDOW, PREVIEW, SINKS, SPARSE_HOSTS
 
 LENGTH, SLIDE, THRESHOLD = 2_000_000, 100_000, 1500
 
@@ -53,6 +53,7 @@ _KEY = {
     "objects31": _signed(f"(({_hash('src_ip')} + 31) * 31 + {_hash('dst_ip')})"),
     "xor": f"xor({_num('src_ip')}, {_num('dst_ip')})",
     "five_tuple_xor": f"xor(xor(xor(xor({_num('src_ip')}, {_num('dst_ip')}), src_port), dst_port), protocol)",
+    "destination": _num("dst_ip"),
     "pair": f"({_num('src_ip')} << 32) | {_num('dst_ip')}",
 }
 
@@ -81,21 +82,20 @@ def _hits(threshold: int = THRESHOLD, **options) -> str:
     return f"{_windows(**options)},\nhits AS (SELECT * FROM windows WHERE acc_bytes > {threshold})"
 
 
-def _closed(**options) -> str:
-    return (f"{_windows(**options)},\nclosed AS (SELECT * FROM windows WHERE window_end_us <= "
-            f"(SELECT max(ts_us) // 1000 * 1000 - {DELAY_US} FROM flows))")
-
-
 _BASE = "flow_id, window_start_us, window_end_us, dst_ip, acc_bytes, ts_us"
 _BASE_SRC = "flow_id, window_start_us, window_end_us, src_ip, dst_ip, acc_bytes, ts_us"
 _FULL = _BASE_SRC + ", packets"
 
-_COUNTED = f"""SELECT flow_id, pkt_id, dst_ip,
+def _counts(n: int) -> str:
+    return f"""SELECT flow_id, pkt_id, dst_ip,
   CAST(sum(pkt_len) OVER (PARTITION BY flow_id ORDER BY ts_us, pkt_id
-       ROWS BETWEEN {COUNT_WINDOW - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS acc_bytes, ts_us FROM flows"""
+       ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS acc_bytes, ts_us FROM flows"""
+
 
+_COUNTED = _counts(COUNT_WINDOW)
 
-def _sample(source: str, cap: int = 1_000_000) -> str:
+
+def _sample(source: str, every: int = 1, cap: int | None = None) -> str:
     return f"""ranked AS (
   SELECT CAST(((flow_id % {SINKS}) + {SINKS}) % {SINKS} AS INTEGER) AS sink_id, window_end_us, flow_id,
          (window_end_us - ts_us) / 1000.0 AS latency_ms,
@@ -103,7 +103,7 @@ def _sample(source: str, cap: int = 1_000_000) -> str:
                             ORDER BY window_end_us, flow_id) AS rn
   FROM {source}),
 samples AS (SELECT sink_id, window_end_us, flow_id, latency_ms::DOUBLE AS latency_ms FROM ranked
-            WHERE (rn - 1) % 16 = 0 AND rn <= 16 * {cap})"""
+            WHERE (rn - 1) % {every} = 0{f" AND rn <= {every} * {cap}" if cap else ""})"""
 
 
 _LATENCY_HITS = f"{_hits(carry='last')},\n{_sample('hits')}"
@@ -200,6 +200,14 @@ ORACLES: dict[str, str] = {
 spoiled AS (SELECT pkt_id, CASE WHEN pkt_id % 3 = 0 THEN 'x' || line[length(ts_us::VARCHAR) + 1:] ELSE line END AS value
             FROM lines)
 SELECT value, CASE WHEN pkt_id % 7 = 0 THEN 'too few fields' ELSE 'bad time' END AS reason
+FROM spoiled WHERE pkt_id % 7 = 0 OR pkt_id % 3 = 0""",
+    "s1_read_packets_csv_raw_addresses": _source(f"SELECT {_ALL} FROM lengths WHERE protocol = 6"),
+    "s1_rejected_numbers": f"""WITH {_packets()}, spoiled AS (
+  SELECT pkt_id, {", ".join(f"{c}::VARCHAR AS {c}" if c != "dst_port" else
+                            "CASE WHEN pkt_id % 3 = 0 THEN 'port' ELSE dst_port::VARCHAR END AS dst_port"
+                            for c in _ALL.split(", "))} FROM lengths)
+SELECT CASE WHEN pkt_id % 7 = 0 THEN {_SHORT} || ',,,,' WHEN pkt_id % 5 = 0 THEN {_NO_TAIL} || ',,,,' ELSE {_WHOLE} END AS value,
+  CASE WHEN pkt_id % 7 = 0 THEN 'too few fields' ELSE 'bad dst_port' END AS reason
 FROM spoiled WHERE pkt_id % 7 = 0 OR pkt_id % 3 = 0""",
     "s2_stream_packets_csv": _parsed_lines(),
     "s3_read_packets_pcap": f"""WITH {_packets()}
@@ -209,6 +217,7 @@ SELECT ts_us, src_ip, dst_ip, protocol, pkt_len, ip_len, ip_hdr_len, ip_payload_
 FROM lengths WHERE protocol = 6 AND pkt_id % 11 <> 0""",
     "s4_to_tuple_dataset": _source(f"SELECT pkt_id, ts_us, src_ip, dst_ip, pkt_len FROM packets WHERE protocol = 6 "
                                    f"ORDER BY ts_us, pkt_id LIMIT {PREVIEW}"),
+    "s4_to_tuple_dataset_all": _source("SELECT pkt_id, ts_us, src_ip, dst_ip, pkt_len FROM packets WHERE protocol = 6"),
     "s5_replay": f"""WITH {_packets()}, tcp AS (SELECT * FROM packets WHERE protocol = 6),
 span AS (SELECT max(ts_us) - min(ts_us) + 1 AS span FROM tcp)
 SELECT pkt_id, CAST(g AS INTEGER) AS gen, CAST(r AS INTEGER) AS replica, ts_us + g * span AS ts_us, pkt_len
@@ -232,18 +241,20 @@ SELECT event_id, a || '.' || b || '.' || c || '.' || d AS ip, d || '.' || c || '
     "p13_tcp_fields": _source("""SELECT pkt_id, tr_hdr_len, src_port, dst_port, seq,
   CASE WHEN pkt_id % 2 = 0 THEN seq + 7 ELSE 0 END AS ack, win,
   CAST(CASE WHEN pkt_id % 2 = 0 THEN 0 ELSE 1 END AS SMALLINT) AS syn
-FROM lengths WHERE protocol = 6 AND pkt_id % 4 <> 0"""),
+FROM lengths WHERE protocol = 6"""),
     "f1_valid_row": _source("SELECT count(*) AS valid, CAST(sum(pkt_len) AS BIGINT) AS bytes FROM packets WHERE pkt_id % 7 <> 0"),
     "f2_tcp_only": _source("SELECT pkt_id, protocol FROM packets WHERE protocol = 6"),
     "f3_heavy_hitters": f"{_hits()} SELECT {_BASE}, packets FROM hits",
     "f3_heavy_hitters_high": f"{_hits(HIGH_THRESHOLD)} SELECT {_BASE}, packets FROM hits",
     "f4_non_empty_window": f"{_windows()} SELECT {_BASE} FROM windows WHERE acc_bytes % 3 <> 0",
-    "f5_latency_sample": f"{_windows(carry='last')},\n{_sample('windows')} SELECT * FROM samples",
-    "f5_latency_sample_capped": f"{_windows(carry='last')},\n{_sample('windows', 200)} SELECT * FROM samples",
+    "f5_latency_sample": f"{_windows(carry='last')},\n{_sample('windows', 16)} SELECT * FROM samples",
+    "f5_latency_sample_capped": f"{_windows(carry='last')},\n{_sample('windows', 16, 200)} SELECT * FROM samples",
     "a1_sliding_bytes_reduce": f"{_windows()} SELECT {_BASE} FROM windows",
     "a1_sliding_bytes_sparse": f"{_windows(hosts=SPARSE_HOSTS)} SELECT {_BASE} FROM windows",
     "a1_sliding_bytes_uneven": f"{_windows(slide=300_000)} SELECT {_BASE} FROM windows",
     "a1_sliding_bytes_direct": f"{_windows()} SELECT {_BASE} FROM windows",
+    "a1_sliding_bytes_destination": f"{_windows('destination', hosts=SPARSE_HOSTS)} SELECT flow_id, window_start_us, src_ip, "
+                                    "dst_ip, acc_bytes, ts_us, packets FROM windows",
     "a1_sliding_bytes_pair": f"{_windows('pair')} SELECT {_BASE} FROM windows",
     "a2_sliding_bytes_window": f"{_windows()} SELECT {_BASE}, packets FROM windows",
     "a3_sliding_bytes_microbatch": f"{_windows()} SELECT {_BASE} FROM windows",
@@ -251,6 +262,8 @@ FROM lengths WHERE protocol = 6 AND pkt_id % 4 <> 0"""),
     "a4_sliding_bytes_five_tuple": f"{_windows('five_tuple_xor', 'last')} SELECT {_BASE_SRC} FROM windows",
     "a5_count_window_bytes": f"{_flows()} {_COUNTED}",
     "a5_count_window_bytes_split": f"{_flows()} {_COUNTED}",
+    "a5_count_window_bytes_long": f"{_flows()} {_counts(LONG_COUNT_WINDOW)}",
+    "a5_count_window_bytes_long_split": f"{_flows()} {_counts(LONG_COUNT_WINDOW)}",
     "a6_tumbling_bytes": f"{_windows(slide=LENGTH)} SELECT {_BASE} FROM windows",
     "a7_flow_peaks": f"{_hits(key='xor', carry='last')} {_PEAKS.format(source='hits')}",
     "a8_merge_sink_peaks": f"{_hits()} {_PEAKS.format(source='hits')}",
@@ -293,15 +306,15 @@ SELECT l_returnflag, round(avg(abs(l_quantity - m)), 6) AS adev FROM lineitem JO
     "d11_rank_array": """WITH t AS (SELECT vec_id, embedding AS e, generate_subscripts(embedding, 1) AS pos FROM embeddings)
 SELECT vec_id, CAST(pos - 1 AS INTEGER) AS feature,
   len(list_filter(e, lambda y: y < e[pos])) + (len(list_filter(e, lambda y: y = e[pos])) - 1) / 2.0::DOUBLE AS rank FROM t""",
-    "t1_stream_sliding_bytes": f"{_closed()} SELECT {_FULL} FROM closed",
-    "t1_stream_with_closing_batch": f"{_windows()} SELECT {_FULL} FROM windows",
-    "t2_stream_pane_bytes": f"{_closed(carry='last')} SELECT {_FULL} FROM closed",
+    "t1_stream_sliding_bytes": f"{_windows()} SELECT {_FULL} FROM windows",
+    "t2_stream_pane_bytes": f"{_windows(carry='last')} SELECT {_FULL} FROM windows",
+    "t6_micro_batches": f"{_flows()} SELECT pkt_id, flow_id, CAST(pkt_len AS BIGINT) AS pkt_len FROM flows",
     "t3_alert_early": f"{_hits()} SELECT flow_id, window_start_us FROM hits",
     "t4_stream_count_window_bytes": f"{_flows()} {_COUNTED}",
     "t4_count_window_batches": f"{_flows()} {_COUNTED}",
-    "t5_keep_flow_peaks": f"{_closed()}, hits AS (SELECT * FROM closed WHERE acc_bytes > {THRESHOLD}) {_PEAKS.format(source='hits')}",
-    "t7_result_sets": f"{_closed()} SELECT {_FULL} FROM closed WHERE acc_bytes > {THRESHOLD}",
-    "t8_stream_latency": f"{_closed(carry='last')} SELECT flow_id, window_end_us, ((window_end_us - ts_us) / 1000.0)::DOUBLE AS latency_ms FROM closed",
+    "t5_keep_flow_peaks": f"{_hits()} {_PEAKS.format(source='hits')}",
+    "t7_result_sets": f"{_hits()} SELECT {_FULL} FROM hits",
+    "t8_stream_latency": f"{_windows(carry='last')} SELECT flow_id, window_end_us, ((window_end_us - ts_us) / 1000.0)::DOUBLE AS latency_ms FROM windows",
     "k1_packets_csv_numeric": f"WITH {_packets()} SELECT " + _WHOLE.replace(
         "src_ip::VARCHAR", f"({_raw('src_ip')})::VARCHAR").replace("dst_ip::VARCHAR", f"({_raw('dst_ip')})::VARCHAR")
         + " AS line FROM lengths WHERE protocol = 6",
@@ -320,7 +333,7 @@ FROM sent, received""",
     "window_extra_aggregates": f"""{_windows()}, extra AS (
   SELECT flow_id, ws AS window_start_us, max(pkt_len) AS largest, count(DISTINCT dst_ip) AS hosts FROM expanded GROUP BY 1, 2)
 SELECT flow_id, window_start_us, acc_bytes, largest, hosts FROM windows JOIN extra USING (flow_id, window_start_us)""",
-    "detect_stream": f"{_closed()} SELECT {_FULL} FROM closed WHERE acc_bytes > {HIGH_THRESHOLD}",
+    "detect_stream": f"{_hits(HIGH_THRESHOLD)} SELECT {_FULL} FROM hits",
     "detect_count_window": f"{_flows()}, sums AS ({_COUNTED}) SELECT * FROM sums WHERE acc_bytes > 25000",
     "detect_objects31_sparse": f"{_hits(key='objects31', hosts=SPARSE_HOSTS)} SELECT {_BASE_SRC} FROM hits",
     "hits_by_sink": f"""{_hits()} SELECT CAST(((flow_id % {SINKS}) + {SINKS}) % {SINKS} AS INTEGER) AS sink_id, count(*) AS hits,

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtusk.functions import addresses, headers, keys
+from flowtusk.functions.keys import FlowKey
 from flowtusk.operators import metrics, reports, statistics
 from flowtusk.operators.count_windows import count_window_bytes
 from flowtusk.operators.packets import (
@@ -31,13 +32,14 @@ from flowtusk.sources.replay import replay, with_ingress_time
 from flowtusk.sources.text import parse_packet_lines, read_packets_csv, rejected_lines, stream_packets_csv
 from flowtusk.streaming import counts as stream_counts
 from flowtusk.streaming import outputs
-from flowtusk.streaming.windows import closing_windows, stream_pane_bytes, stream_sliding_bytes
+from flowtusk.streaming.windows import finish, stream_pane_bytes, stream_sliding_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Parameters shared with the SQL counterparts.
 COUNT_WINDOW = 50
+LONG_COUNT_WINDOW = 2000
 HIGH_THRESHOLD = 4000
 SPARSE_HOSTS = 150
 SINKS = 4
@@ -78,6 +80,13 @@ def _lines(packets: DataFrame) -> DataFrame:
                           .otherwise(whole).alias("value"))
 
 
+def _line_files(spark: SparkSession, packets: DataFrame) -> DataFrame:
+    """The lines written as files and read again."""
+    path = new_path(spark, "packet-lines")
+    _lines(packets).write.text(path)
+    return spark.read.text(path)
+
+
 def _filled(packets: DataFrame) -> DataFrame:
     """Missing fields as -1."""
     return packets.select(*PACKET_COLUMNS).na.fill(-1)
@@ -94,7 +103,21 @@ def s1_read_packets_csv(spark, folder):
 def s1_rejected_lines(spark, folder):
     packets = read_event_packets(spark, folder).withColumn(
         "ts_us", F.when(F.col("pkt_id") % 3 == 0, F.lit("x")).otherwise(F.col("ts_us").cast("string")))
-    return rejected_lines(_lines(packets))
+    return rejected_lines(_line_files(spark, packets))
+
+
+@query
+def s1_read_packets_csv_raw_addresses(spark, folder):
+    path = new_path(spark, "packet-lines")
+    files.write_packets_csv(_tcp(spark, folder), path, dotted=False)
+    return _filled(read_packets_csv(spark, path, addresses="raw"))
+
+
+@query
+def s1_rejected_numbers(spark, folder):
+    packets = read_event_packets(spark, folder)
+    port = F.when(F.col("pkt_id") % 3 == 0, F.lit("port")).otherwise(F.col("dst_port").cast("string"))
+    return rejected_lines(_line_files(spark, packets.withColumn("dst_port", port)))
 
 
 @query
@@ -154,6 +177,11 @@ def s4_to_tuple_dataset(spark, folder):
     return to_tuple_dataset(_tcp(spark, folder), PREVIEW).select("pkt_id", "ts_us", "src_ip", "dst_ip", "pkt_len")
 
 
+@query
+def s4_to_tuple_dataset_all(spark, folder):
+    return to_tuple_dataset(_tcp(spark, folder)).select("pkt_id", "ts_us", "src_ip", "dst_ip", "pkt_len")
+
+
 @query
 def s5_replay(spark, folder):
     return replay(_tcp(spark, folder), 3, 2).select("pkt_id", "gen", "replica", "ts_us", "pkt_len")
@@ -237,8 +265,9 @@ def p12_ts_from_pcap(spark, folder):
 
 @query
 def p13_tcp_fields(spark, folder):
-    frames = _frames(_tcp(spark, folder)).filter("pkt_id % 4 != 0").withColumn("frame", F.unhex("frame_hex"))
-    return frames.select("pkt_id", *[c.alias(n) for n, c in headers.tcp_fields("frame", 34).items()])
+    frames = _frames(_tcp(spark, folder)).withColumn("frame", F.unhex("frame_hex"))
+    tcp_at = F.when(headers.be_uint(F.col("frame"), 12, 2) == headers.ETHERTYPE_VLAN, 38).otherwise(34)
+    return frames.select("pkt_id", *[c.alias(n) for n, c in headers.tcp_fields("frame", tcp_at).items()])
 
 
 # --- filters ----------------------------------------------------------------------------------
@@ -273,7 +302,7 @@ def f4_non_empty_window(spark, folder):
 
 @query
 def f5_latency_sample(spark, folder):
-    return metrics.latency_sample(sliding_bytes_last(_tcp(spark, folder)), SINKS)
+    return metrics.latency_sample(sliding_bytes_last(_tcp(spark, folder)), SINKS, every=16)
 
 
 @query
@@ -323,6 +352,17 @@ def a4_sliding_bytes_five_tuple(spark, folder):
     return sliding_bytes_last(_tcp(spark, folder), key="five_tuple_xor")
 
 
+def _to_host(dst: Column | str) -> Column:
+    return addresses.ip_to_long(dst)
+
+
+@query
+def a1_sliding_bytes_destination(spark, folder):
+    key = FlowKey(("dst_ip",), _to_host)
+    return sliding_bytes(_tcp(spark, folder, SPARSE_HOSTS), key=key).select(
+        "flow_id", "window_start_us", "src_ip", "dst_ip", "acc_bytes", "ts_us", "packets")
+
+
 @query
 def a1_sliding_bytes_pair(spark, folder):
     return sliding_bytes_reduce(_tcp(spark, folder), key="pair")
@@ -338,6 +378,16 @@ def a5_count_window_bytes_split(spark, folder):
     return count_window_bytes(tag_flow(_tcp(spark, folder)), COUNT_WINDOW, max_flow_rows=115, chunk_rows=200)
 
 
+@query
+def a5_count_window_bytes_long(spark, folder):
+    return count_window_bytes(tag_flow(_tcp(spark, folder)), LONG_COUNT_WINDOW)
+
+
+@query
+def a5_count_window_bytes_long_split(spark, folder):
+    return count_window_bytes(tag_flow(_tcp(spark, folder)), LONG_COUNT_WINDOW, max_flow_rows=0, chunk_rows=3000)
+
+
 @query
 def a6_tumbling_bytes(spark, folder):
     return tumbling_bytes(_tcp(spark, folder))
@@ -552,29 +602,37 @@ def _tcp_stream(spark: SparkSession, folder: str) -> DataFrame:
     return tcp_only(stream_event_packets(spark, folder))
 
 
-def _written(spark: SparkSession, windows: DataFrame) -> DataFrame:
+def _written(spark: SparkSession, rows: DataFrame) -> DataFrame:
     out = new_path(spark, "stream")
-    outputs.write_windows(windows, out).awaitTermination()
+    outputs.write_windows(rows, out).awaitTermination()
     return spark.read.parquet(f"{out}/windows")
 
 
+def _whole(spark: SparkSession, folder: str, windows: DataFrame, **options) -> DataFrame:
+    """The windows that a stream emits, and those it leaves open."""
+    out = new_path(spark, "stream")
+    query_ = outputs.write_windows(windows, out)
+    open_ = finish(query_, _tcp(spark, folder), **options)
+    return spark.read.parquet(f"{out}/windows").unionByName(open_)
+
+
 @query
 def t1_stream_sliding_bytes(spark, folder):
-    return _written(spark, stream_sliding_bytes(_tcp_stream(spark, folder)))
+    return _whole(spark, folder, stream_sliding_bytes(_tcp_stream(spark, folder)))
 
 
 @query
-def t1_stream_with_closing_batch(spark, folder):
-    closed = _written(spark, stream_sliding_bytes(_tcp_stream(spark, folder)))
-    packets = _tcp(spark, folder)
-    last_us = packets.agg(F.max("ts_us")).first()[0]
-    watermark_us = last_us // 1000 * 1000 - DELAY_US
-    return closed.unionByName(closing_windows(packets, watermark_us))
+def t2_stream_pane_bytes(spark, folder):
+    return _whole(spark, folder, stream_pane_bytes(_tcp_stream(spark, folder), carry="last"), carry="last")
 
 
 @query
-def t2_stream_pane_bytes(spark, folder):
-    return _written(spark, stream_pane_bytes(_tcp_stream(spark, folder), carry="last"))
+def t6_micro_batches(spark, folder):
+    out = new_path(spark, "stream")
+    query_ = outputs.write_windows(tag_flow(_tcp_stream(spark, folder)), out, trigger=outputs.EVERY_BATCH)
+    query_.processAllAvailable()
+    query_.stop()
+    return spark.read.parquet(f"{out}/windows").select("pkt_id", "flow_id", "pkt_len")
 
 
 @query
@@ -601,22 +659,24 @@ def t4_count_window_batches(spark, folder):
 def t5_keep_flow_peaks(spark, folder):
     out = new_path(spark, "peaks")
     hits = heavy_hitters(stream_sliding_bytes(_tcp_stream(spark, folder)))
-    outputs.keep_flow_peaks(hits, out).awaitTermination()
-    return outputs.current_peaks(spark, out)
+    open_ = finish(outputs.keep_flow_peaks(hits, out), _tcp(spark, folder))
+    peaks = outputs.current_peaks(spark, out).unionByName(reports.flow_peaks(heavy_hitters(open_)))
+    return reports.merge_sink_peaks(peaks)
 
 
 @query
 def t7_result_sets(spark, folder):
     out = new_path(spark, "result-sets")
     hits = heavy_hitters(stream_sliding_bytes(_tcp_stream(spark, folder)))
-    outputs.write_result_sets(hits, out).awaitTermination()
-    return spark.read.parquet(f"{out}/results").drop("batch_id")
+    open_ = finish(outputs.write_result_sets(hits, out), _tcp(spark, folder))
+    return spark.read.parquet(f"{out}/results").drop("batch_id").unionByName(heavy_hitters(open_))
 
 
 @query
 def t8_stream_latency(spark, folder):
     windows = stream_sliding_bytes(_tcp_stream(spark, folder), carry="last")
-    return _written(spark, metrics.with_latency(windows)).select("flow_id", "window_end_us", "latency_ms")
+    whole = _whole(spark, folder, windows, carry="last")
+    return metrics.with_latency(whole).select("flow_id", "window_end_us", "latency_ms")
 
 
 # --- sinks ------------------------------------------------------------------------------------
@@ -679,14 +739,17 @@ def k7_run_metrics(spark, folder):
 
 @query
 def window_extra_aggregates(spark, folder):
-    extra = [F.max("pkt_len").alias("largest"), F.size(F.collect_set("dst_ip")).cast("bigint").alias("hosts")]
+    extra = [F.max("pkt_len").alias("largest"), F.count_distinct("dst_ip").alias("hosts")]
     sums = sliding_bytes(_tcp(spark, folder), aggs=extra)
     return sums.select("flow_id", "window_start_us", "acc_bytes", "largest", "hosts")
 
 
 @query
 def detect_stream(spark, folder):
-    return _written(spark, DetectionPlan(threshold=HIGH_THRESHOLD).detect_stream(_tcp_stream(spark, folder)))
+    plan, out = DetectionPlan(threshold=HIGH_THRESHOLD), new_path(spark, "stream")
+    query_ = outputs.write_windows(plan.detect_stream(_tcp_stream(spark, folder)), out)
+    open_ = heavy_hitters(finish(query_, _tcp(spark, folder)), plan.threshold)
+    return spark.read.parquet(f"{out}/windows").unionByName(open_)
 
 
 @query

@@ -59,6 +59,8 @@ class FlowKey:
     build: Callable[..., Column]
     # True when the key determines source and destination, so that no two pairs merge.
     determines_pair: bool = False
+    # True when only chance makes pairs merge, so that a flow has few of them.
+    few_pairs: bool = False
 
     def column(self) -> Column:
         return self.build(*self.inputs)
@@ -66,10 +68,10 @@ class FlowKey:
 
 PAIR = ("src_ip", "dst_ip")
 KEYS: dict[str, FlowKey] = {
-    "poly17": FlowKey(PAIR, flow_id_poly17),
-    "objects31": FlowKey(PAIR, flow_id_objects31),
+    "poly17": FlowKey(PAIR, flow_id_poly17, few_pairs=True),
+    "objects31": FlowKey(PAIR, flow_id_objects31, few_pairs=True),
     "xor": FlowKey(PAIR, flow_id_xor),
-    "pair": FlowKey(PAIR, flow_id_pair, determines_pair=True),
+    "pair": FlowKey(PAIR, flow_id_pair, determines_pair=True, few_pairs=True),
     "five_tuple_xor": FlowKey((*PAIR, "src_port", "dst_port", "protocol"), flow_id_5tuple_xor),
 }
 

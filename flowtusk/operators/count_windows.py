@@ -22,9 +22,19 @@ def _columns(order: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(["flow_id", "pkt_id", "dst_ip", "acc_bytes", "ts_us", *order]))
 
 
+def _last_n(rows: DataFrame, window, n: int) -> DataFrame:
+    """`acc_bytes` over the last `n` rows of a window: the running total now less that of `n` rows ago.
+
+    A frame of `n` rows would be summed again for every row; this costs the same for any `n`.
+    """
+    so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.withColumn("__total", F.sum("pkt_len").over(so_far))
+    before = F.coalesce(F.lag("__total", n).over(window), F.lit(0))
+    return totals.withColumn("acc_bytes", F.col("__total") - before).drop("__total")
+
+
 def _by_flow(tagged: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    frame = Window.partitionBy("flow_id").orderBy(*order).rowsBetween(-(n - 1), 0)
-    return tagged.withColumn("acc_bytes", F.sum("pkt_len").over(frame)).select(*_columns(order))
+    return _last_n(tagged, Window.partitionBy("flow_id").orderBy(*order), n).select(*_columns(order))
 
 
 def _by_chunk(tagged: DataFrame, n: int, order: Sequence[str], chunk_rows: int) -> DataFrame:
@@ -36,9 +46,8 @@ def _by_chunk(tagged: DataFrame, n: int, order: Sequence[str], chunk_rows: int)
     chunks = placed.withColumn("home", F.expr(f"position div {size}")).withColumn("chunk", F.explode(
         F.when(F.pmod(F.col("position"), F.lit(size)) >= size - (n - 1), F.array("home", F.col("home") + 1))
         .otherwise(F.array("home"))))
-    frame = Window.partitionBy("chunk", "flow_id").orderBy("position").rowsBetween(-(n - 1), 0)
-    return (chunks.withColumn("acc_bytes", F.sum("pkt_len").over(frame))
-            .filter(F.col("chunk") == F.col("home")).select(*_columns(order)))
+    window = Window.partitionBy("chunk", "flow_id").orderBy("position")
+    return _last_n(chunks, window, n).filter(F.col("chunk") == F.col("home")).select(*_columns(order))
 
 
 def flow_sizes(packets: DataFrame, key: str | FlowKey = "poly17") -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtusk.operators.packets import with_sink
+from flowtusk.operators.statistics import sample_percentile
 from flowtusk.plans.ordering import with_global_position
-from flowtusk.schema import SAMPLE_CAP, SAMPLE_EVERY, THRESHOLD_BYTES
+from flowtusk.plans.storage import store
+from flowtusk.schema import THRESHOLD_BYTES
 
 
 def with_latency(results: DataFrame) -> DataFrame:
@@ -15,20 +17,23 @@ def with_latency(results: DataFrame) -> DataFrame:
     return results.withColumn("latency_ms", (F.col("window_end_us") - F.col("ts_us")) / 1000.0)
 
 
-def latency_sample(results: DataFrame, n_sinks: int, every: int = SAMPLE_EVERY,
-                   cap: int = SAMPLE_CAP) -> DataFrame:
-    """Every `every`-th result of each of `n_sinks` result groups, at most `cap` per group.
+def latency_sample(results: DataFrame, n_sinks: int, every: int = 1, cap: int | None = None) -> DataFrame:
+    """The latencies of all results in `n_sinks` result groups; a sample of them if asked for.
 
-    Results are in order of window end, then flow. The row number within a group is taken from
-    a global order, since a handful of groups would make a handful of tasks.
+    `every` keeps every so many-th result of a group in order of window end, then flow, and `cap`
+    that many per group. The row number within a group is taken from a global order, since a
+    handful of groups would make a handful of tasks.
     """
     grouped = with_sink(with_latency(results), n_sinks).select(
         "sink_id", "window_end_us", "flow_id", "latency_ms")
-    placed = with_global_position(grouped, ["sink_id", "window_end_us", "flow_id"])
+    if every == 1 and cap is None:
+        return grouped
+    # Stored, as finding the bounds of a range partitioning reads its input twice.
+    placed = with_global_position(store(grouped, "latencies"), ["sink_id", "window_end_us", "flow_id"])
     starts = placed.groupBy("sink_id").agg(F.min("position").alias("start"))  # at most n_sinks rows
     rank = F.col("position") - F.col("start")
     return (placed.join(F.broadcast(starts), "sink_id")
-            .filter((F.pmod(rank, F.lit(every)) == 0) & (rank < every * cap))
+            .filter((F.pmod(rank, F.lit(every)) == 0) & (F.lit(True) if cap is None else rank < every * cap))
             .select("sink_id", "window_end_us", "flow_id", "latency_ms"))
 
 
@@ -39,16 +44,22 @@ LATENCY_PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 def latency_stats(samples: DataFrame, approximate: bool = False) -> DataFrame:
     """Per group: mean, minimum, percentiles (linear interpolation) and maximum.
 
-    The exact percentiles hold a group's distinct values in one buffer, so feed them the capped
-    samples; `approximate` uses a sketch and takes any size.
+    Exact percentiles come from an ordered table of values with running totals, so a group of any
+    size is spread over tasks; this runs a job. `approximate` uses a sketch instead.
     """
-    wanted = F.array(*[F.lit(p) for p in LATENCY_PERCENTILES])
-    ranks = F.percentile_approx("latency_ms", LATENCY_PERCENTILES) if approximate else F.percentile("latency_ms", wanted)
-    stats = samples.groupBy("sink_id").agg(
-        F.avg("latency_ms").alias("mean_ms"), F.min("latency_ms").alias("min_ms"),
-        ranks.alias("p"), F.max("latency_ms").alias("max_ms"))
-    percentiles = [F.col("p")[at].alias(f"p{round(p * 100)}_ms") for at, p in enumerate(LATENCY_PERCENTILES)]
-    return stats.select("sink_id", "mean_ms", "min_ms", *percentiles, "max_ms")
+    names = [f"p{round(p * 100)}_ms" for p in LATENCY_PERCENTILES]
+    edges = [F.avg("latency_ms").alias("mean_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms")]
+    columns = ["sink_id", "mean_ms", "min_ms", *names, "max_ms"]
+    if approximate:
+        sketch = F.percentile_approx("latency_ms", LATENCY_PERCENTILES).alias("p")
+        stats = samples.groupBy("sink_id").agg(*edges, sketch)
+        return stats.withColumns({name: F.col("p")[at] for at, name in enumerate(names)}).select(columns)
+    # Equal values are merged once; both parts read this smaller table.
+    counts = store(samples.groupBy("sink_id", "latency_ms").agg(F.count(F.lit(1)).alias("n")), "latency-counts")
+    ranks = sample_percentile(counts, "latency_ms", LATENCY_PERCENTILES, ["sink_id"], weight="n")
+    stats = counts.groupBy("sink_id").agg(
+        (F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n")).alias("mean_ms"), *edges[1:])
+    return stats.join(ranks.withColumnsRenamed({f"p{at}": name for at, name in enumerate(names)}), "sink_id").select(columns)
 
 
 def mean_of_sink_means(samples: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Descriptive statistics of table columns, whole or per group.
 
 Skewness and kurtosis are the population forms, kurtosis in excess of 3. Percentiles
-interpolate linearly. NULLs are left out.
+interpolate linearly. NULLs are left out. What too few rows or values without spread leave
+undefined is 0; NaN among the values stays NaN.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowtusk.functions.addresses import _col
 from flowtusk.plans.ordering import with_running_total
+from flowtusk.plans.storage import store
 
 
 SALTS = 32
@@ -26,16 +28,20 @@ def _join_groups(values: DataFrame, groups: DataFrame, by: Sequence[str], x: str
     return salted.join(copies, [*by, "__salt"]).drop("__salt")
 
 
-def _zero_if_undefined(value: Column) -> Column:
-    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
-
-
 def _variance(x: Column) -> Column:
-    return _zero_if_undefined(F.var_samp(x))
+    return F.when(F.count(x) < 2, F.lit(0.0)).otherwise(F.var_samp(x))
 
 
 def _shape(measure, x: Column) -> Column:
-    return F.when(_variance(x) == 0, F.lit(0.0)).otherwise(_zero_if_undefined(measure(x)))
+    return F.when(_variance(x) == 0, F.lit(0.0)).otherwise(measure(x))
+
+
+def _both(x: str, y: str) -> Column:
+    return F.col(x).isNotNull() & F.col(y).isNotNull()
+
+
+def _covariance(x: str, y: str) -> Column:
+    return F.when(F.count_if(_both(x, y)) < 2, F.lit(0.0)).otherwise(F.covar_samp(x, y))
 
 
 def _corr(x: str, y: str) -> Column:
@@ -43,9 +49,10 @@ def _corr(x: str, y: str) -> Column:
 
     The built-in function divides by zero for constant columns in ANSI mode.
     """
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    both = _both(x, y)
     spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
-    return _zero_if_undefined(F.try_divide(F.covar_pop(x, y), spread))
+    undefined = (F.count_if(both) < 2) | (spread == 0)
+    return F.when(undefined, F.lit(0.0)).otherwise(F.try_divide(F.covar_pop(x, y), spread))
 
 
 def sample_mean(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -86,15 +93,17 @@ def sample_adev(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     return _join_groups(counts, means, by, x).groupBy(*by).agg((F.sum(away) / F.sum("n")).alias("adev"))
 
 
-def sample_percentile(df: DataFrame, x: str, percentiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def sample_percentile(df: DataFrame, x: str, percentiles: Sequence[float], by: Sequence[str] = (),
+                      weight: str | None = None) -> DataFrame:
     """Exact percentiles, one row per group with columns `p0`, `p1`, ... in the order given.
 
     Values are counted, ordered globally and given running totals; no group is gathered in
-    one buffer. Runs one job.
+    one buffer. `weight` names a column that says how often a row counts. Runs one job.
     """
     if any(not 0 <= p <= 1 for p in percentiles):
         raise ValueError("percentiles must lie between 0 and 1")
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(times.alias("n"))
     ranked = with_running_total(counts, [*by, x], "n")
     groups = ranked.groupBy(*by).agg(F.min("before").alias("start"), F.sum("n").alias("size"))
     if by:
@@ -121,7 +130,7 @@ def sample_median(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
 
 def cov2(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Sample covariance; 0 for fewer than two rows."""
-    return df.groupBy(*by).agg(_zero_if_undefined(F.covar_samp(x, y)).alias("cov"))
+    return df.groupBy(*by).agg(_covariance(x, y).alias("cov"))
 
 
 def pearson_corr2(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -149,15 +158,14 @@ def spearman_corr2(df: DataFrame, x: str, y: str) -> DataFrame:
     middle = (both.agg(F.count(F.lit(1)).alias("c")).scalar() - 1) / 2.0
     n, dx, dy = F.col("n"), F.col("rx") - middle, F.col("ry") - middle
     sums = ranked.agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"))
-    return sums.select(_zero_if_undefined(
-        F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))).alias("corr"))
+    return sums.select(F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)).alias("corr"))
 
 
 def _matrix(df: DataFrame, pairs: list[tuple[str, str]], measure) -> DataFrame:
     """One aggregation of all distinct pairs, in long form `i, j, v`."""
     unordered = list(dict.fromkeys(tuple(sorted(p)) for p in pairs))
     names = {p: f"v{at}" for at, p in enumerate(unordered)}
-    row = df.agg(*[_zero_if_undefined(measure(*p)).alias(names[p]) for p in unordered])
+    row = df.agg(*[measure(*p).alias(names[p]) for p in unordered])
     cells = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(names[tuple(sorted((i, j)))]).alias("v"))
         for i, j in pairs])
@@ -166,7 +174,7 @@ def _matrix(df: DataFrame, pairs: list[tuple[str, str]], measure) -> DataFrame:
 
 def cov_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None) -> DataFrame:
     """Covariances of all columns `xs`, or of each `xs` with each `ys`."""
-    return _matrix(df, list(product(xs, ys or xs)), F.covar_samp)
+    return _matrix(df, list(product(xs, ys or xs)), _covariance)
 
 
 def pearson_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None) -> DataFrame:
@@ -174,41 +182,49 @@ def pearson_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None =
 
 
 def spearman_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None) -> DataFrame:
-    """Rank correlations, each unordered pair computed once."""
-    pairs = list(product(xs, ys or xs))
-    result = None
-    for i, j in dict.fromkeys(tuple(sorted(p)) for p in pairs):
-        value = spearman_corr2(df, i, j)
-        wanted = [p for p in dict.fromkeys(((i, j), (j, i))) if p in pairs]
-        cells = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col("corr").alias("v"))
-                          for a, b in wanted])
-        rows = value.select(F.inline(cells))
-        result = rows if result is None else result.unionByName(rows)
-    return result
+    """Rank correlations of the rows that have all columns.
+
+    Each column is ranked once, on its distinct values; all pairs are then one aggregation over
+    the rows with their ranks. Runs one job per column.
+    """
+    columns = list(dict.fromkeys([*xs, *(ys or xs)]))
+    rows = store(df.select(*columns).dropna(), "complete")
+    ranked = rows
+    for c in columns:
+        ranked = ranked.join(average_ranks(rows, c).withColumnRenamed("rank", f"__rank_{c}"), c)
+    ranks = ranked.select(*[F.col(f"__rank_{c}").alias(c) for c in columns])
+    return _matrix(ranks, list(product(xs, ys or xs)), _corr)
 
 
 def _row_ranks(values: Column) -> Column:
     def rank(x):
         below = F.size(F.filter(values, lambda y: y < x))
         ties = F.size(F.filter(values, lambda y: y == x))
-        return below + (ties - 1) / 2.0
+        return F.when(x.isNotNull(), below + (ties - 1) / 2.0)
     return F.transform(values, rank)
 
 
+def _middle(values: Column) -> Column:
+    """Mean of the ranks in a row: of the features that are present."""
+    return (F.size(F.filter(values, lambda y: y.isNotNull())) - 1) / 2.0
+
+
 def rank_data(df: DataFrame, features: Sequence[str], centered: bool = False) -> DataFrame:
     """Replace each row's features by their ranks within the row, from 0, ties averaged.
 
-    `centered` subtracts the row mean. Rows are independent, so nothing is shuffled.
+    A NULL feature has no rank and does not count. `centered` subtracts the row mean. Rows are
+    independent, so nothing is shuffled.
     """
     packed = df.withColumn("__row", F.array(*[F.col(c).cast("double") for c in features]))
-    ranked = packed.withColumn("__row", _row_ranks(F.col("__row")))
-    shift = (len(features) - 1) / 2.0 if centered else 0.0
-    return ranked.withColumns({c: F.col("__row")[at] - F.lit(shift) for at, c in enumerate(features)}).drop("__row")
+    shift = _middle(F.col("__row")) if centered else F.lit(0.0)
+    ranked = packed.withColumns({"__shift": shift, "__ranks": _row_ranks(F.col("__row"))})
+    return ranked.withColumns({c: F.col("__ranks")[at] - F.col("__shift") for at, c in enumerate(features)}).drop(
+        "__row", "__ranks", "__shift")
 
 
 def rank_array(df: DataFrame, column: str, centered: bool = False) -> DataFrame:
     """The same for a row of features held in one array column."""
     ranks = _row_ranks(F.col(column))
     if centered:
-        ranks = F.transform(ranks, lambda r: r - (F.size(column) - 1) / 2.0)
+        ranks = F.transform(ranks, lambda r: r - _middle(F.col(column)))
     return df.withColumn(column, ranks)

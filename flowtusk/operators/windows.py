@@ -6,8 +6,8 @@ The pane plan works in three steps:
 1. packets are summed per (key columns, pane), where panes are the greatest common divisor of
    length and slide long; this aggregates before the shuffle and before the flow id is computed;
 2. panes are placed into blocks of consecutive window starts and shuffled by (flow, block);
-   a block holds a bounded number of panes per address pair, however hot the flow, and only
-   panes near its edge lie in two;
+   a block holds a bounded number of panes, however hot the flow, and only panes near its edge
+   lie in two;
 3. inside its block, running sums over the sorted panes give all windows without a further
    shuffle, and without expanding panes to the windows they lie in.
 """
@@ -104,6 +104,16 @@ def _merge_pairs(sums: DataFrame, by: list[str], carry: str) -> DataFrame:
             .select(*by, "pair.src_ip", "pair.dst_ip", "bytes", "packets", "edge_ts"))
 
 
+def _panes_of_flows(packets: DataFrame, pane_us: int, key: str | FlowKey, carry: str, pkt_id_bound) -> DataFrame:
+    """Panes with few rows per flow each: where a key joins many address pairs, they are merged
+    before blocks are formed, with partial sums, so a block's size is bounded whatever the key."""
+    spec = flow_key(key)
+    panes = flow_panes(packets, pane_us, spec, carry, pkt_id_bound)
+    if spec.few_pairs or spec.determines_pair:
+        return panes
+    return _merge_pairs(panes, ["flow_id", "pane"], carry).withColumn("edge_pkt", F.lit(0).cast("bigint"))
+
+
 def _as_result(merged: DataFrame, start: str, length_us: int) -> DataFrame:
     return merged.select(
         "flow_id", F.col(start).alias("window_start_us"),
@@ -199,7 +209,7 @@ def sliding_bytes(packets: DataFrame, length_us: int = WINDOW_US, slide_us: int
         raise ValueError("plan must be 'panes' or 'direct'")
     if length_us == slide_us:
         return _tumbling(packets, length_us, key, carry, pkt_id_bound)
-    panes = flow_panes(packets, gcd(length_us, slide_us), key, carry, pkt_id_bound)
+    panes = _panes_of_flows(packets, gcd(length_us, slide_us), key, carry, pkt_id_bound)
     return windows_of_panes(panes, length_us, slide_us, carry)
 
 
@@ -222,7 +232,7 @@ def sliding_bytes_microbatch(packets: DataFrame, batch_us: int = BATCH_US, lengt
     _check(length_us, slide_us)
     if batch_us <= 0 or length_us % batch_us or slide_us % batch_us:
         raise ValueError("window length and slide must be multiples of the batch interval")
-    panes = flow_panes(packets, batch_us, key, "first", pkt_id_bound)
+    panes = _panes_of_flows(packets, batch_us, key, "first", pkt_id_bound)
     return windows_of_panes(panes, length_us, slide_us, "first").drop("src_ip", "packets")
 
 

@@ -36,6 +36,4 @@ WINDOW_US = 2_000_000
 SLIDE_US = 100_000
 BATCH_US = 100_000
 THRESHOLD_BYTES = 1500
-SAMPLE_EVERY = 16
-SAMPLE_CAP = 1_000_000
 FRAME_OVERHEAD = 18  # 14 bytes of Ethernet header and 4 of checksum

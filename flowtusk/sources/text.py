@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtusk.functions.addresses import ip_from_saddr
 from flowtusk.schema import MIN_FIELDS, PACKET_FIELDS
 
 
@@ -18,40 +19,54 @@ def valid_row(fields: Column) -> Column:
     return F.size(fields) > MIN_FIELDS
 
 
-def parse_packet_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
+def parse_packet_lines(lines: DataFrame, strict: bool | str = True, addresses: str = "text") -> DataFrame:
     """Lines (column `value`) to packets; rows with too few fields are dropped.
 
-    With `strict` a non-numeric value in a column that is used fails the query; otherwise it
-    becomes NULL, and `rejected_lines` lists the line. `pkt_id` follows line order within a file
-    split; a stream has no such numbers and takes a hash of the line.
+    With `strict` a non-numeric value in a column that is used fails the query; `strict=False`
+    makes it NULL, and `strict="drop"` drops the lines that `rejected_lines` lists, so that no
+    flow key or time is NULL. `addresses="raw"` reads address numbers in file byte order, as the
+    numeric writer leaves them. `pkt_id` follows line order within a file split; a stream has no
+    such numbers and takes a hash of the line.
     """
     pkt_id = F.xxhash64("value") if lines.isStreaming else F.monotonically_increasing_id()
-    split = lines.select("value", _fields().alias("f")).filter(valid_row(F.col("f")))
+    if addresses not in ("text", "raw"):
+        raise ValueError("addresses must be 'text' or 'raw'")
+    f = F.col("f")
+    split = lines.select("value", _fields().alias("f")).filter(_reason(f, addresses).isNull() if strict == "drop" else valid_row(f))
+    strict = strict is True
     typed = []
     for at, (name, kind) in enumerate(PACKET_FIELDS):
         raw = F.get(F.col("f"), F.lit(at))
         if kind != "string":
             raw = raw.cast(kind) if strict else raw.try_cast(kind)
+        elif addresses == "raw":
+            raw = ip_from_saddr(raw.cast("bigint") if strict else raw.try_cast("bigint"))
         typed.append(raw.alias(name))
     return split.select(pkt_id.alias("pkt_id"), *typed)
 
 
-def rejected_lines(lines: DataFrame) -> DataFrame:
-    """Lines that are too short, or whose time or length is not a number, with the reason."""
-    f = F.col("f")
-    reason = (
-        F.when(~valid_row(f), F.lit("too few fields"))
-        .when(F.get(f, F.lit(0)).try_cast("bigint").isNull(), F.lit("bad time"))
-        .when(F.get(f, F.lit(4)).try_cast("bigint").isNull(), F.lit("bad length"))
-    )
+def _reason(fields: Column, addresses: str = "text") -> Column:
+    """Why a line is no packet, or NULL: too few fields, or a field that is there but no number."""
+    names = {"ts_us": "time", "pkt_len": "length"}
+    tests = [(at, name, "bigint" if kind == "string" else kind) for at, (name, kind) in enumerate(PACKET_FIELDS)
+             if kind != "string" or addresses == "raw"]
+    bad = F.array(*[F.get(fields, F.lit(at)).isNotNull() & F.get(fields, F.lit(at)).try_cast(kind).isNull()
+                    for at, _, kind in tests])
+    first = F.array_position(bad, True).cast("int") - 1  # -1 where none is bad
+    labels = F.array(*[F.lit(f"bad {names.get(name, name)}") for _, name, _ in tests])
+    return F.when(~valid_row(fields), F.lit("too few fields")).otherwise(F.get(labels, first))
+
+
+def rejected_lines(lines: DataFrame, addresses: str = "text") -> DataFrame:
+    """Lines that are too short or have a bad number in any field, with the first reason."""
     return (lines.select("value", _fields().alias("f"))
-            .select("value", reason.alias("reason"))
+            .select("value", _reason(F.col("f"), addresses).alias("reason"))
             .filter(F.col("reason").isNotNull()))
 
 
-def read_packets_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_packets_csv(spark: SparkSession, path: str, strict: bool | str = True, addresses: str = "text") -> DataFrame:
     """Packets of delimited files."""
-    return parse_packet_lines(spark.read.text(path), strict)
+    return parse_packet_lines(spark.read.text(path), strict, addresses)
 
 
 def stream_packets_csv(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,

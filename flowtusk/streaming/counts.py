@@ -53,12 +53,17 @@ def stream_count_window_bytes(tagged: DataFrame, n: int, ttl_ms: int = 0) -> Dat
 
 
 _ARRIVAL = ("arrived", "ts_us", "pkt_id")
+_SHARES = 16
 
 
 def _tail(rows: DataFrame, n: int, ttl_us: int | None) -> DataFrame:
-    """The last n-1 packets of each flow; Spark prunes to n-1 per flow before it shuffles."""
-    newest = Window.partitionBy("flow_id").orderBy(*[F.desc(c) for c in _ARRIVAL])
-    tail = rows.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") < n).drop("rn")
+    """The last n-1 packets of each flow. Shares of a flow are cut to n-1 packets first, so a task
+    never sees more than `_SHARES` times as many of one flow, whatever n is."""
+    tail = rows.withColumn("share", F.pmod(F.xxhash64("pkt_id"), F.lit(_SHARES)))
+    for group in (["flow_id", "share"], ["flow_id"]):
+        newest = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in _ARRIVAL])
+        tail = tail.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") < n).drop("rn")
+    tail = tail.drop("share")
     if ttl_us is not None:
         last = F.max("ts_us").over(Window.partitionBy("flow_id"))
         now = rows.agg(F.max("ts_us").alias("now")).scalar()

@@ -1,15 +1,17 @@
 """Event-time window sums over a stream.
 
-In append mode a window is emitted once, when the watermark passes its end. Windows still open
-when the input ends are computed by `closing_windows`.
+In append mode a window is emitted once, when the watermark passes its end. `finish` computes the
+windows still open when the input ends.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
 from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from flowtusk.functions.keys import FlowKey, flow_key
 from flowtusk.operators.windows import _edge, sliding_bytes
@@ -63,6 +65,27 @@ def stream_pane_bytes(packets: DataFrame, delay: str = "1 second", batch_us: int
                     "acc_bytes", "edge.ts_us", "packets"))
 
 
+def final_watermark_us(query: StreamingQuery) -> int | None:
+    """The watermark with which a finished query emitted last; None if it never had one."""
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in (p["eventTime"] or {})]
+    if not marks:
+        return None
+    last = datetime.fromisoformat(marks[-1].replace("Z", "+00:00"))
+    return (last - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
+def finish(query: StreamingQuery, packets: DataFrame, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,
+           **options) -> DataFrame:
+    """Wait for a query over window sums to end, then compute the windows that it left open.
+
+    `packets` is the stream's input as a table and `options` are those of the windows. Together
+    with what the query wrote this gives every window once.
+    """
+    query.awaitTermination()
+    watermark = final_watermark_us(query)
+    return closing_windows(packets, 0 if watermark is None else watermark, length_us, slide_us, **options)
+
+
 def closing_windows(packets: DataFrame, watermark_us: int, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,
                     **options) -> DataFrame:
     """Windows a finished stream left open: those ending after its last watermark.

@@ -95,6 +95,11 @@ def test_latency_sample_is_every_nth_per_sink(spark, every, cap):
     assert got == want
 
 
+def test_all_latencies_by_default(spark):
+    results = spark.range(50).select(F.col("id").alias("flow_id"), (F.col("id") * 1000).alias("window_end_us"), F.col("id").alias("ts_us"))
+    assert metrics.latency_sample(results, 3).count() == 50
+
+
 def test_throughput(packets):
     table = packets((0, "a", "b", 1), (2_000_000, "a", "b", 1))
     results = table.select((F.col("pkt_id") * 0).alias("flow_id"), (F.col("ts_us") + 2_000_000).alias("window_end_us"))

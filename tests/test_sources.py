@@ -34,6 +34,14 @@ def test_bad_numbers(spark):
     assert found == {"bad length", "too few fields", "bad time"}
 
 
+def test_every_bad_number_is_rejected(spark):
+    port, win = FULL.replace(",5000,", ",port,"), FULL.replace(",512,", ",junk,")
+    table = lines(spark, port, win, FULL) if port != FULL else lines(spark, win, FULL)
+    found = [r.reason for r in rejected_lines(table).collect()]
+    assert "bad win" in found and len(found) == table.count() - 1
+    assert parse_packet_lines(table, strict="drop").count() == 1
+
+
 def test_unused_columns_are_not_converted(spark):
     odd = FULL.replace(",512,", ",junk,")
     assert parse_packet_lines(lines(spark, odd)).select("src_ip", "pkt_len").first().pkt_len == 118
@@ -47,6 +55,10 @@ def test_csv_round_trip(spark, folder, tmp_path):
     write_packets_csv(table.filter("pkt_id = 1"), str(tmp_path / "numeric"), dotted=False)
     text = spark.read.text(str(tmp_path / "numeric")).first().value.split(",")
     assert len(text) == 16 and int(text[1]) & 0xFF == 10
+    raw = read_packets_csv(spark, str(tmp_path / "numeric"), addresses="raw").select(*PACKET_COLUMNS)
+    assert raw.exceptAll(table.select(*PACKET_COLUMNS)).count() == 0 and raw.count() == 1
+    with pytest.raises(ValueError):
+        read_packets_csv(spark, str(tmp_path / "numeric"), addresses="hex")
 
 
 def frame(src, dst, sport, dport, flags=0x10, ack=99, vlan=False, proto=6, ethertype=0x0800, options=b"", length=100):

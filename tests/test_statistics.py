@@ -91,3 +91,35 @@ def test_row_ranks(spark):
     packed = df.select("id", F.array("a", "b", "c", "d").alias("v"))
     assert {r.id: r.v for r in st.rank_array(packed, "v").collect()} == rows
     assert {r.id: r.v for r in st.rank_array(packed, "v", centered=True).collect()} == centred
+
+
+def test_row_ranks_leave_nulls_out(spark):
+    df = spark.createDataFrame([(3.0, None, 1.0), (None, None, None)], "a double, b double, c double")
+    assert [tuple(r) for r in st.rank_data(df, ["a", "b", "c"]).collect()] == [(1.0, None, 0.0), (None, None, None)]
+    assert tuple(st.rank_data(df, ["a", "b", "c"], centered=True).first()) == (0.5, None, -0.5)
+    packed = df.select(F.array("a", "b", "c").alias("v"))
+    assert st.rank_array(packed, "v").first().v == [1.0, None, 0.0]
+    assert st.rank_array(packed, "v", centered=True).first().v == [0.5, None, -0.5]
+
+
+def test_nan_stays_nan(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0), (4.0, 7.0)], "x double, y double")
+    row = st.sample_moments(df, "x").first()
+    assert all(np.isnan(v) for v in row)
+    assert np.isnan(st.cov2(df, "x", "y").first().cov) and np.isnan(st.pearson_corr2(df, "x", "y").first().corr)
+    matrix = {(r.i, r.j): r.v for r in st.cov_matrix(df, ["x", "y"]).collect()}
+    assert np.isnan(matrix["x", "y"]) and not np.isnan(matrix["y", "y"])
+
+
+def test_rank_matrix_uses_complete_rows_and_few_jobs(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 9.0), (2.0, None, 1.0), (3.0, 1.0, 4.0), (4.0, 5.0, 6.0)], "x double, y double, z double")
+    pdf = df.toPandas().dropna()
+    got = {(r.i, r.j): r.v for r in st.spearman_matrix(df, ["x", "y", "z"]).collect()}
+    want = pdf.rank().corr()
+    assert all(v == pytest.approx(want.loc[k]) for k, v in got.items())
+
+
+def test_weighted_percentiles(spark):
+    df = spark.createDataFrame([(1.0, 3), (5.0, 1), (9.0, 2)], "x double, n bigint")
+    row = st.sample_percentile(df, "x", [0.0, 0.5, 0.9, 1.0], weight="n").first()
+    assert list(row) == pytest.approx(list(np.quantile([1, 1, 1, 5, 9, 9], [0.0, 0.5, 0.9, 1.0])))

@@ -15,7 +15,9 @@ from flowtusk.sources.events import read_event_packets
 from flowtusk.sources.text import stream_packets_csv, stream_packets_parquet
 from flowtusk.streaming import outputs
 from flowtusk.streaming.counts import count_window_batches, count_window_results, stream_count_window_bytes
-from flowtusk.streaming.windows import closing_windows, stream_pane_bytes, stream_sliding_bytes
+from flowtusk.streaming.windows import (
+    closing_windows, final_watermark_us, finish, stream_pane_bytes, stream_sliding_bytes,
+)
 
 DELAY_US = 1_000_000
 
@@ -68,6 +70,8 @@ def test_stream_equals_batch_on_closed_windows(spark, stream, table, tmp_path, c
     want = sliding_bytes(table, carry=carry)
     assert same(got, want.filter(F.col("window_end_us") <= watermark(table)))
     assert same(got.unionByName(closing_windows(table, watermark(table), carry=carry)), want)
+    assert final_watermark_us(query) == watermark(table)
+    assert same(got.unionByName(finish(query, table, carry=carry)), want)
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 5
     assert outputs.progress_metrics(query)["rows_dropped_by_watermark"] == 0
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from flowtusk import detect_heavy_flows
 from flowtusk.operators.count_windows import count_window_bytes
 from flowtusk.operators.packets import heavy_hitters, non_empty_window, tag_flow
+from flowtusk.functions.keys import FlowKey
 from flowtusk.operators.windows import (
+    _panes_of_flows,
     sliding_bytes, sliding_bytes_microbatch, sliding_bytes_reduce, sliding_bytes_window, tumbling_bytes,
 )
 
@@ -144,6 +146,16 @@ def test_plan_has_two_shuffles_and_no_python(packets, spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+@pytest.mark.parametrize("carry", ["first", "last"])
+def test_many_pairs_of_one_flow_are_merged_before_the_sweep(spark, packets, carry):
+    key = FlowKey(("dst_ip",), lambda dst: F.xxhash64(dst))
+    table = packets(*[(S + i % 7 * 90_000, f"10.0.{i % 50}.{i % 9}", B, 100 + i) for i in range(900)])
+    options = {"key": key, "carry": carry}
+    assert same(sliding_bytes(table, **options), sliding_bytes(table, plan="direct", **options))
+    panes = _panes_of_flows(table, 100_000, key, carry, None)
+    assert panes.count() == panes.select("flow_id", "pane").distinct().count() == 6
+
+
 # --- count windows -------------------------------------------------------------------------
 
 def brute_counts(rows, n):
