@@ -26,14 +26,19 @@ def write_packets_csv(packets: DataFrame, path: str, dotted: bool = True, mode:
     packet_rows(packets, dotted).write.mode(mode).csv(path)
 
 
+HOUR_US = 3_600_000_000
+
+
 def write_slides(hits: DataFrame, path: str, text: bool = False, mode: str = "error") -> None:
-    """One result set per window end, as Parquet or as text."""
+    """One result set per window end: a folder per slide as text; as Parquet a folder per hour, since
+    slides of 100 ms make too many, with `slide` as a sorted column that scans can filter by."""
     # Ranges of slides per task: about as many files as slides, and a crowded slide is split.
     # The number is given, as few rows may still mean many files, which tasks should share.
     tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slides = hits.withColumn("slide", F.col("window_end_us")).repartitionByRange(tasks, "slide", "flow_id")
     if not text:
-        slides.write.mode(mode).partitionBy("slide").parquet(path)
+        hours = slides.withColumn("hour", F.expr(f"slide div {HOUR_US}")).sortWithinPartitions("hour", "slide", "flow_id")
+        hours.write.mode(mode).partitionBy("hour").parquet(path)
         return
     line = F.concat_ws(",", "flow_id", "dst_ip", "acc_bytes", "ts_us")
     slides.select(line.alias("value"), "slide").write.mode(mode).partitionBy("slide").text(path)
