@@ -101,7 +101,7 @@ def encode_pieces(pieces: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Replace `text` by `ids`, little-endian unsigned 32-bit integers."""
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = rank_encoding(ranks, pattern)
-        for frame in slices(frames, "text"):
+        for frame in slices(frames, "text", 1_000_000):
             ids = [np.array(encoding.encode_ordinary(text), dtype="<u4").tobytes() for text in frame.pop("text")]
             yield frame.assign(ids=ids)
 
@@ -112,7 +112,7 @@ def decode_pieces(pieces: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Add `raw`, the bytes that the ids of a piece stand for."""
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = rank_encoding(ranks, pattern)
-        for frame in slices(frames, "ids", 16_000_000):
+        for frame in slices(frames, "ids", 4_000_000):
             raw = [encoding.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist()) for ids in frame["ids"]]
             yield frame.assign(raw=raw)
 
@@ -162,3 +162,26 @@ def digest_documents(pieces: DataFrame) -> DataFrame:
     result = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     gathered = pieces.filter(~F.col("single")).repartition("row").sortWithinPartitions("row", "piece")
     return pieces.filter("single").mapInPandas(digest, result).unionByName(gathered.mapInPandas(digest, result))
+
+
+def digest_texts(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
+                 chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """`digest_documents` of the encoded and decoded texts. A text of one piece is encoded, decoded
+    and hashed in one task, so its ids never leave it; the pieces of longer ones come together."""
+    pieces = cut_pieces(docs, pattern, doc_id, text, chunk, overlap)
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = rank_encoding(ranks, pattern)
+        for frame in slices(frames, "text", 1_000_000):
+            rows = []
+            for doc, source in zip(frame["doc_id"], frame["text"], strict=True):
+                ids = encoding.encode_ordinary(source)
+                rows.append((doc, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(),
+                             hashlib.sha256(encoding.decode_bytes(ids)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    result = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    long = encode_pieces(pieces.filter(~F.col("single")), ranks, pattern)
+    return pieces.filter("single").mapInPandas(whole, result).unionByName(
+        digest_documents(decode_pieces(long, ranks, pattern)))

@@ -31,8 +31,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode_documents(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    return bpe.digest_documents(bpe.decode_pieces(ids, RANKS, public_tokenizers.PATTERN))
+    return bpe.digest_texts(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,8 @@ def test_bpe_of_odd_texts(spark, docs, encoding, chunk, overlap):
         expected.append((row.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()))
     order = lambda r: (r[0] is None, r)
     assert sorted(map(tuple, found), key=order) == sorted(expected, key=order)
+    at_once = bpe.digest_texts(docs, queries.RANKS, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap).collect()
+    assert sorted(map(tuple, at_once), key=order) == sorted(expected, key=order)
 
 
 def test_bpe_query(spark, folder, encoding):
