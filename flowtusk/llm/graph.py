@@ -9,22 +9,19 @@ which cuts the lineage; the round before is then deleted.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowtusk.plans.storage import delete_path, new_path
 
 
-def _written(df: DataFrame, folders: list[str]) -> DataFrame:
-    folder = new_path(df.sparkSession, "links")
-    df.write.parquet(folder)
+def _written(links: DataFrame, folders: list[str]) -> tuple[DataFrame, dict]:
+    """The stored links, and their count and hash sum: tables that agree in these are the same."""
+    folder, seen = new_path(links.sparkSession, "links"), Observation()
+    observed = links.observe(seen, F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    observed.write.parquet(folder)
     folders.append(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def _state(links: DataFrame):
-    """Two links tables of equal count and hash sum are the same."""
-    return links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    return links.sparkSession.read.schema(links.schema).parquet(folder), seen.get
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +32,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # A node's link to its own smallest neighbour stays.
         own = least.filter("m < a").select("a", F.col("m").alias("b"))
-        return moved.unionByName(own).filter("a > b").distinct()
+        return moved.unionByName(own).filter("a > b")
     least = links.groupBy("a").agg(F.min("b").alias("m"))
     moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
@@ -50,16 +47,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     ordered = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(
         F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") > F.col("b"))).distinct()
-    ordered = ordered.filter(F.col("a").isNotNull())
     folders: list[str] = []
-    current = _written(ordered, folders)
-    state = _state(current)
+    current, state = _written(ordered, folders)
     for _ in range(max_rounds):
-        if not state[0]:
+        if not state["count"]:
             break
-        following = _written(_star(_star(current, True), False), folders)
-        after = _state(following)
-        current = following
+        current, after = _written(_star(_star(current, True), False), folders)
         delete_path(current.sparkSession, folders.pop(0))
         if after == state:
             break

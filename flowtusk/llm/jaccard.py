@@ -90,11 +90,11 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
     slab = cells // _SLABS
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(cells, dtype=np.int64)
-        for frame in slices(frames, "text"):
+        total = np.zeros(cells, dtype=np.uint32)
+        for frame in slices(frames, "text", 1_000_000):
             sets = [ngram_set(text, words) for text in frame["text"]]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
+            seen, times = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            total[seen.astype(np.int64)] += times.astype(np.uint32)
         if total.any():
             few = np.minimum(total, 65535).astype("<u2")
             yield pd.DataFrame({"slab": np.arange(_SLABS), "counts": [part.tobytes() for part in few.reshape(_SLABS, slab)]})
@@ -132,7 +132,7 @@ def _signatures(docs: DataFrame, kind: str, words: int, limit: Threshold) -> Dat
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rarity = shared.value
-        for frame in slices(frames, "text"):
+        for frame in slices(frames, "text", 1_000_000):
             rows = []
             for text in frame.pop("text"):
                 hashes = ngram_set(text, words)
@@ -182,12 +182,13 @@ def _small_links(sets: DataFrame, kind: str, boundary: int, limit: Threshold) ->
     return rows.select(F.col("node").alias("a"), other.alias("b")).filter("b IS NOT NULL AND a <> b").distinct()
 
 
-def _may_link(limit: Threshold, a: str, b: str):
-    """Whether two members of a list can link, by sizes, the n-gram's places in their orders, sketches."""
+def _may_link(limit: Threshold, a: str, b: str, places: bool = False):
+    """Whether two members of a list can link, by sizes and sketches, and by the n-gram's places in
+    their orders if there is one."""
     n_a, n_b = F.col(f"n{a}"), F.col(f"n{b}")
     small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
     needed = F.ceil(limit.num * (n_a + n_b) / (limit.num + limit.den))
-    rest = F.least(n_a - F.col(f"at{a}"), n_b - F.col(f"at{b}"))
+    rest = F.least(n_a - F.col(f"at{a}"), n_b - F.col(f"at{b}")) if places else small
     differing = sum(F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in ("s1", "s2"))
     return (limit.den * small >= limit.num * large) & (rest >= needed) & (differing <= SKETCH_DIFFERENCE)
 
@@ -203,7 +204,7 @@ class _Checker:
         words = self.words
 
         def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in slices(frames, "text"):
+            for frame in slices(frames, "text", 1_000_000):
                 yield pd.DataFrame({"node": frame["doc_id"], "grams": [ngram_set(t, words).tobytes() for t in frame["text"]]})
 
         wanted = store(nodes, "nodes")
@@ -246,8 +247,8 @@ class _Checker:
         return store(rows.select("a", "b", "grams").mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "checked")
 
     def links_in_blocks(self, members: DataFrame) -> DataFrame:
-        """Links that connect what links within long lists (gram, node): one per member and block."""
-        limit, key = self.limit, ["gram", "low", "high"]
+        """Links that connect what links within long lists (major, node): one per member and block."""
+        limit, key = self.limit, ["major", "low", "high"]
 
         def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for run in sorted_runs(frames, key):
@@ -259,10 +260,10 @@ class _Checker:
                 linked = roots != np.arange(len(roots))
                 yield pd.DataFrame({"a": nodes[linked], "b": nodes[roots[linked]]})
 
-        counts = members.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        rows = members.join(counts, "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        counts = members.groupBy("major").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        rows = members.join(counts, "major").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("gram", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node")
+        rows = rows.select("major", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node")
         rows = rows.join(self.sets(members.select("node").distinct()), "node").repartition(*key).sortWithinPartitions(*key)
         return store(rows.mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "blocks")
 
@@ -295,7 +296,7 @@ def _list_links(lists: DataFrame, boundary: int, limit: Threshold, checker: _Che
         F.xxhash64("node").alias("h"), "node", "n", "at", "s1", "s2")).alias("p")).filter("c > 1")
     pairs = members.toDF(*[c if c == "gram" else f"{c}_own" for c in members.columns]).join(
         head.select("gram", *[F.col(f"p.{c}").alias(f"{c}_head") for c in ("node", "n", "at", "s1", "s2")]), "gram")
-    pairs = pairs.filter((F.col("node_own") != F.col("node_head")) & _may_link(limit, "_own", "_head"))
+    pairs = pairs.filter((F.col("node_own") != F.col("node_head")) & _may_link(limit, "_own", "_head", places=True))
     # The head is the `b` of its pairs, so that its set is held once for all of them.
     first = checker.links(pairs.select(F.col("node_own").alias("a"), F.col("node_head").alias("b")).distinct())
     links = known.unionByName(first)
@@ -306,16 +307,20 @@ def _list_links(lists: DataFrame, boundary: int, limit: Threshold, checker: _Che
     sizes = labelled.groupBy("gram", "part").agg(F.count("*").alias("c"))
     major = sizes.groupBy("gram").agg(F.max_by("part", F.struct("c", "part")).alias("major"),
                                       (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
-    marked = store(labelled.join(major, "gram"), "marked")
+    # The lists of a group of copies have the same largest component: they are one list from here
+    # on, so that no pair is met, and no set sent, once for each n-gram that the copies share.
+    columns = ["node", "n", "s1", "s2", "part"]
+    merged = labelled.join(major.select("gram", "major"), "gram").select("major", *columns).distinct()
+    apart = merged.groupBy("major").agg(F.count_if(F.col("part") != F.col("major")).alias("outside"))
+    marked = store(merged.join(apart, "major"), "marked")
     short = marked.filter(F.col("outside") <= SHORT)
-    columns = ["node", "n", "at", "s1", "s2", "part"]
-    outside = short.filter("part <> major").select("gram", *[F.col(c).alias(f"{c}_a") for c in columns])
-    others = short.select("gram", *[F.col(c).alias(f"{c}_b") for c in columns], (F.col("part") == F.col("major")).alias("in_major"))
-    rest = outside.join(others, "gram").filter(
-        (F.col("part_a") != F.col("part_b")) & (F.col("in_major") | (F.col("node_a") < F.col("node_b")))
+    outside = short.filter("part <> major").select("major", *[F.col(c).alias(f"{c}_a") for c in columns])
+    others = short.select("major", *[F.col(c).alias(f"{c}_b") for c in columns])
+    rest = outside.join(others, "major").filter(
+        (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("major")) | (F.col("node_a") < F.col("node_b")))
         & _may_link(limit, "_a", "_b"))
     second = checker.links(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    long = checker.links_in_blocks(marked.filter(F.col("outside") > SHORT).select("gram", "node"))
+    long = checker.links_in_blocks(marked.filter(F.col("outside") > SHORT).select("major", "node"))
     return links.unionByName(second).unionByName(long)
 
 
@@ -352,7 +357,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lists = store(lists.join(sketches, "node"), "lists")
 
     sizes = {r["n"]: r["c"] for r in usable.filter(F.col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    mean = lists.groupBy("gram").count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
+    # How long the lists of small sets are, which enumeration would spare them.
+    met = lists.groupBy("gram").agg(F.count("*").alias("c"), F.count_if(F.col("n") <= SMALL).alias("s"))
+    mean = met.agg(F.try_divide(F.sum(F.col("c") * F.col("s")), F.sum("s"))).first()[0]
     boundary = _boundary(sizes, float(mean or 1), limit)
 
     nodes = usable.join(moved, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
