@@ -16,12 +16,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtusk.llm.common import slices, text_or_empty
+from flowtusk.llm.common import arrow_slices, text_or_empty
 from flowtusk.llm.tokens import rank_encoding
 from flowtusk.plans.storage import store
 
@@ -29,14 +29,25 @@ CHUNK = 32_768
 OVERLAP = 512
 
 
+# Ids travel in Arrow batches: in pandas a null id would turn the ids beside it into floats.
+def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """The batch with more columns, after its own."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
+
+
 def _cut(chunk: int, overlap: int):
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, "text"):
-            yield pd.DataFrame(
-                [(row, doc, begin // chunk, begin, text[begin:begin + chunk + overlap], begin + chunk >= len(text))
-                 for row, doc, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True)
-                 for begin in range(0, len(text), chunk)],
-                columns=["row", "doc_id", "chunk", "begin", "text", "last"])
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            places = [(i, begin) for i, text in enumerate(texts) for begin in range(0, len(text), chunk)]
+            which = pa.array([i for i, _ in places], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(which), batch.column("doc_id").take(which),
+                 pa.array([begin // chunk for _, begin in places], pa.int32()),
+                 pa.array([begin for _, begin in places], pa.int32()),
+                 pa.array([texts[i][begin:begin + chunk + overlap] for i, begin in places], pa.string()),
+                 pa.array([begin + chunk >= len(texts[i]) for i, begin in places], pa.bool_())],
+                ["row", "doc_id", "chunk", "begin", "text", "last"])
 
     return cut
 
@@ -44,17 +55,17 @@ def _cut(chunk: int, overlap: int):
 def _mark(pattern: str, chunk: int, overlap: int):
     """Pre-token starts in the overlap with the chunk before (heads) and with the next (tails);
     firm are those heads that are boundaries in every context."""
-    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = regex.compile(pattern)
-        for frame in slices(frames, "text"):
+    def mark(batches) -> Iterator[pa.RecordBatch]:
+        split, kind = regex.compile(pattern), pa.list_(pa.int32())
+        for batch in arrow_slices(batches, "text"):
             heads, firm, tails = [], [], []
-            for begin, text in zip(frame["begin"], frame["text"], strict=True):
+            for begin, text in zip(batch.column("begin").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 starts = [m.start() for m in split.finditer(text)]
                 inside = [s for s in starts if s < overlap]
                 heads.append([s + begin for s in inside])
                 firm.append([s + begin for s in inside if s and text[s] in " \n\t" and not text[s - 1].isspace()])
                 tails.append([s + begin for s in starts if s >= chunk])
-            yield frame.assign(heads=heads, firm=firm, tails=tails)
+            yield _with(batch, heads=pa.array(heads, kind), firm=pa.array(firm, kind), tails=pa.array(tails, kind))
 
     return mark
 
@@ -69,9 +80,9 @@ def cut_pieces(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str
     short = named.filter(F.length("text") <= chunk).select(
         "row", "doc_id", F.lit(0).alias("piece"), F.lit(True).alias("single"), "text")
     plain = f"row bigint, doc_id {kind}, chunk int, begin int, text string, last boolean"
-    marked = (named.filter(F.length("text") > chunk).mapInPandas(_cut(chunk, overlap), plain)
+    marked = (named.filter(F.length("text") > chunk).mapInArrow(_cut(chunk, overlap), plain)
               .repartition("row", "chunk")
-              .mapInPandas(_mark(pattern, chunk, overlap), f"{plain}, heads array<int>, firm array<int>, tails array<int>"))
+              .mapInArrow(_mark(pattern, chunk, overlap), f"{plain}, heads array<int>, firm array<int>, tails array<int>"))
     chunks = store(marked, "chunks")
 
     in_text = Window.partitionBy("row").orderBy("chunk")
@@ -99,24 +110,24 @@ def cut_pieces(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str
 
 def encode_pieces(pieces: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Replace `text` by `ids`, little-endian unsigned 32-bit integers."""
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(ranks, pattern)
-        for frame in slices(frames, "text", 1_000_000):
-            ids = [np.array(encoding.encode_ordinary(text), dtype="<u4").tobytes() for text in frame.pop("text")]
-            yield frame.assign(ids=ids)
+        for batch in arrow_slices(batches, "text", 1_000_000):
+            ids = [np.array(encoding.encode_ordinary(text), dtype="<u4").tobytes() for text in batch.column("text").to_pylist()]
+            yield _with(batch.drop_columns(["text"]), ids=pa.array(ids, pa.binary()))
 
-    return pieces.mapInPandas(encode, _schema(pieces, "text") + ", ids binary")
+    return pieces.mapInArrow(encode, _schema(pieces, "text") + ", ids binary")
 
 
 def decode_pieces(pieces: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Add `raw`, the bytes that the ids of a piece stand for."""
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(ranks, pattern)
-        for frame in slices(frames, "ids", 4_000_000):
-            raw = [encoding.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist()) for ids in frame["ids"]]
-            yield frame.assign(raw=raw)
+        for batch in arrow_slices(batches, "ids", 4_000_000):
+            raw = [encoding.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist()) for ids in batch.column("ids").to_pylist()]
+            yield _with(batch, raw=pa.array(raw, pa.binary()))
 
-    return pieces.mapInPandas(decode, _schema(pieces) + ", raw binary")
+    return pieces.mapInArrow(decode, _schema(pieces) + ", raw binary")
 
 
 def _schema(df: DataFrame, *without: str) -> str:
@@ -133,35 +144,41 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "d
     return encode_pieces(cut_pieces(docs, pattern, doc_id, text, chunk, overlap), ranks, pattern)
 
 
+def _digests(docs: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+    return pa.RecordBatch.from_arrays([docs, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def digest_documents(pieces: DataFrame) -> DataFrame:
     """Per document of `decode_pieces`: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     The pieces of a long text come together in order and are hashed as they pass, so memory does
     not grow with the text.
     """
-    kind = pieces.schema["doc_id"].dataType.simpleString()
+    kind_name = pieces.schema["doc_id"].dataType.simpleString()
 
-    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches) -> Iterator[pa.RecordBatch]:
         row = doc = None
         count, ids_hash, raw_hash = 0, None, None
-        for frame in frames:
-            done = []
-            for r, d, ids, raw in zip(frame["row"], frame["doc_id"], frame["ids"], frame["raw"], strict=True):
+        for batch in batches:
+            done, docs = [], batch.column("doc_id")
+            columns = [batch.column(name).to_pylist() for name in ("row", "ids", "raw")]
+            for i, (r, ids, raw) in enumerate(zip(*columns, strict=True)):
                 if r != row:
                     if row is not None:
                         done.append((doc, count, ids_hash.hexdigest(), raw_hash.hexdigest()))
-                    row, doc, count, ids_hash, raw_hash = r, d, 0, hashlib.sha256(), hashlib.sha256()
+                    row, doc, count, ids_hash, raw_hash = r, docs[i], 0, hashlib.sha256(), hashlib.sha256()
                 count += len(ids) // 4
                 ids_hash.update(ids)
                 raw_hash.update(raw)
-            yield pd.DataFrame(done, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            kind = docs.type
+            yield _digests(pa.array([d[0].as_py() for d in done], kind), [d[1:] for d in done])
         if row is not None:
-            yield pd.DataFrame([(doc, count, ids_hash.hexdigest(), raw_hash.hexdigest())],
-                               columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield _digests(pa.array([doc.as_py()], kind), [(count, ids_hash.hexdigest(), raw_hash.hexdigest())])
 
-    result = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    result = f"doc_id {kind_name}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     gathered = pieces.filter(~F.col("single")).repartition("row").sortWithinPartitions("row", "piece")
-    return pieces.filter("single").mapInPandas(digest, result).unionByName(gathered.mapInPandas(digest, result))
+    return pieces.filter("single").mapInArrow(digest, result).unionByName(gathered.mapInArrow(digest, result))
 
 
 def digest_texts(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
@@ -171,17 +188,17 @@ def digest_texts(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_i
     pieces = cut_pieces(docs, pattern, doc_id, text, chunk, overlap)
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
-    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(ranks, pattern)
-        for frame in slices(frames, "text", 1_000_000):
+        for batch in arrow_slices(batches, "text", 1_000_000):
             rows = []
-            for doc, source in zip(frame["doc_id"], frame["text"], strict=True):
+            for source in batch.column("text").to_pylist():
                 ids = encoding.encode_ordinary(source)
-                rows.append((doc, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(),
+                rows.append((len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(),
                              hashlib.sha256(encoding.decode_bytes(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield _digests(batch.column("doc_id"), rows)
 
     result = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     long = encode_pieces(pieces.filter(~F.col("single")), ranks, pattern)
-    return pieces.filter("single").mapInPandas(whole, result).unionByName(
+    return pieces.filter("single").mapInArrow(whole, result).unionByName(
         digest_documents(decode_pieces(long, ranks, pattern)))

@@ -23,11 +23,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtusk.llm.common import slices, sorted_runs, text_or_empty
+from flowtusk.llm.common import arrow_slices, slices, sorted_runs, text_or_empty
 from flowtusk.llm.graph import components, connected
 from flowtusk.plans.storage import store
 
@@ -130,20 +131,23 @@ def _signatures(docs: DataFrame, kind: str, words: int, limit: Threshold) -> Dat
     """Per document: n, a fingerprint of the set, its rarest n-grams (all of a small set), sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(_rarity(docs, words))
 
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Arrow batches: in pandas a null id would turn the ids beside it into floats.
+    def sign(batches) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
-        for frame in slices(frames, "text", 1_000_000):
+        for batch in arrow_slices(batches, "text", 1_000_000):
             rows = []
-            for text in frame.pop("text"):
+            for text in batch.column("text").to_pylist():
                 hashes = ngram_set(text, words)
                 n = len(hashes)
                 order = np.lexsort((hashes, rarity[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 first = hashes[order[:n if n <= SMALL else limit.prefix(n)]].view(np.int64)
                 mark = xxhash.xxh3_128_digest(hashes.tobytes())
                 rows.append((n, mark, first, *_sketch(hashes)))
-            yield frame.assign(**dict(zip(["n", "mark", "first", "s1", "s2"], map(list, zip(*rows)), strict=True)))
+            kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "mark", "first", "s1", "s2"])
 
-    return store(docs.mapInPandas(
+    return store(docs.mapInArrow(
         sign, f"doc_id {kind}, n int, mark binary, first array<bigint>, s1 bigint, s2 bigint"), "signatures")
 
 
@@ -217,12 +221,13 @@ class _Checker:
         limit = self.limit
 
         def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # The rows of a `b` are neighbours, its own set in the first of them (a is null).
+            # The rows of a `b` are neighbours, its own set in the first of them. No id is null: in
+            # pandas that would turn the ids beside it into floats.
             held, own = None, None
             for frame in frames:
                 found = []
-                for a, b, grams in zip(frame["a"], frame["b"], frame["grams"], strict=True):
-                    if pd.isna(a):
+                for a, b, own_set, grams in zip(frame["a"], frame["b"], frame["own"], frame["grams"], strict=True):
+                    if own_set:
                         held, own = b, np.frombuffer(grams, dtype=np.uint64)
                     elif b == held:
                         other = np.frombuffer(grams, dtype=np.uint64)
@@ -236,15 +241,15 @@ class _Checker:
         pairs = store(pairs, "pairs")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = self.sets(nodes)
-        partners = pairs.join(sets.withColumnRenamed("node", "a"), "a").select("a", "b", "grams")
+        partners = pairs.join(sets.withColumnRenamed("node", "a"), "a").select("a", "b", F.lit(False).alias("own"), "grams")
         own = pairs.select("b").distinct().join(sets.withColumnRenamed("node", "b"), "b").select(
-            F.lit(None).cast(self.kind).alias("a"), "b", "grams")
+            F.col("b").alias("a"), "b", F.lit(True).alias("own"), "grams")
         # A node with very many partners is dealt over several tasks, with its own set in each.
         salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
         partners = partners.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
         own = own.join(salts, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        rows = partners.unionByName(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-        return store(rows.select("a", "b", "grams").mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "checked")
+        rows = partners.unionByName(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("own"), "a")
+        return store(rows.select("a", "b", "own", "grams").mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "checked")
 
     def links_in_blocks(self, members: DataFrame) -> DataFrame:
         """Links that connect what links within long lists (major, node): one per member and block."""

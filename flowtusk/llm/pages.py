@@ -20,11 +20,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtusk.llm.common import slices, text_or_empty
+from flowtusk.llm.common import arrow_slices, text_or_empty
 from flowtusk.plans.ordering import with_global_position
 from flowtusk.plans.storage import store
 
@@ -185,10 +186,11 @@ def common_lines(a: Sequence[int], b: Sequence[int], cells: int = 40_000_000) ->
 
 def _parsed(pages: DataFrame, structure: bool) -> DataFrame:
     """Per page: text if structure decides it, else the open lines; hashes of all lines."""
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, "html"):
+    # Arrow batches: in pandas a null id would turn the ids beside it into floats.
+    def parse(batches) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches, "html"):
             texts, opens, hashes = [], [], []
-            for source in frame.pop("html"):
+            for source in batch.column("html").to_pylist():
                 lines = page_lines(source)
                 best = max((kind for kind, _ in lines), default=OPEN) if structure else OPEN
                 if best >= MAIN:
@@ -199,10 +201,12 @@ def _parsed(pages: DataFrame, structure: bool) -> DataFrame:
                     texts.append(None if own else "")
                     opens.append(own or None)
                 hashes.append([xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) for _, text in lines])
-            yield frame.assign(text=texts, open=opens, lines=hashes)
+            columns = [pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, *columns],
+                                             ["row", "page_id", "url", "text", "open", "lines"])
 
     kinds = dict(pages.dtypes)
-    return store(pages.mapInPandas(parse, f"row bigint, page_id {kinds['page_id']}, url string, "
+    return store(pages.mapInArrow(parse, f"row bigint, page_id {kinds['page_id']}, url string, "
                                    "text string, open array<string>, lines array<bigint>"), "pages")
 
 

@@ -88,6 +88,14 @@ def test_jaccard_of_odd_rows(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_jaccard_keeps_large_ids(spark):
+    texts = {(1 << 62) + 2 * i + 1: t for i, t in enumerate(variants(300).values())}
+    rows = [*texts.items(), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert found == brute_force(texts, 4, 85, 100) | {None: (3, None)}
+
+
 def test_boundary_follows_the_costs():
     limit = jaccard.Threshold(85, 100)
     assert jaccard._boundary({n: 10 for n in range(1, 25)}, 1, limit) < jaccard._boundary({n: 10 for n in range(1, 25)}, 500, limit)

@@ -123,6 +123,15 @@ def test_pages_without_structure_lose_shared_lines(spark):
     assert pages.extract_pages(table.limit(0)).count() == 0
 
 
+def test_pages_keep_large_ids_beside_a_null(spark):
+    first = (1 << 62) + 1
+    rows = [(None, "http://h/a", "<article>none</article>"), (first, "http://h/b", "<article>one</article>"),
+            (first + 2, "http://h/c", "<p>two</p>")]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    found = {r.page_id: r.text for r in pages.extract_pages(table).collect()}
+    assert found == {None: "none", first: "one", first + 2: "two"}
+
+
 def test_pages_query(spark, folder):
     import html
     import re

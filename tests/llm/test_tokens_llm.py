@@ -73,6 +73,17 @@ def test_bpe_query(spark, folder, encoding):
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
 
 
+def test_bpe_keeps_large_ids_beside_a_null(spark, encoding):
+    first = (1 << 62) + 1
+    texts = {None: "no id", first: "a b", first + 2: "word " * 50, first + 4: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    pieces = bpe.encode_documents(docs, queries.RANKS, public_tokenizers.PATTERN, chunk=100)
+    expected = {i: len(encoding.encode_ordinary(t)) for i, t in texts.items()}
+    for found in (bpe.digest_documents(bpe.decode_pieces(pieces, queries.RANKS, public_tokenizers.PATTERN)),
+                  bpe.digest_texts(docs, queries.RANKS, public_tokenizers.PATTERN, chunk=100)):
+        assert {r.doc_id: r.n_tokens for r in found.collect()} == expected
+
+
 def test_bpe_of_no_rows(spark, docs):
     none = bpe.encode_documents(docs.limit(0), queries.RANKS, public_tokenizers.PATTERN)
     assert bpe.digest_documents(bpe.decode_pieces(none, queries.RANKS, public_tokenizers.PATTERN)).count() == 0
