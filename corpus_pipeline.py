@@ -21,7 +21,7 @@ WORDS_OF_NGRAM, SIMILARITY = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject. It learns from the table `labels`
-    and the texts of `documents` in `sf_dir`."""
+    and the texts of `documents` in `sf_dir`; if these have not texts of both labels, all stay."""
     model = toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.toxicity(F.col("text"), model, spark) < THRESHOLD)
 

@@ -147,7 +147,8 @@ def _evidence(parts: np.ndarray, starts: np.ndarray, y: np.ndarray) -> np.ndarra
 
 
 def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict:
-    """Fit the network and the thresholds; without texts of both labels every score is 0.5."""
+    """Fit the network and the thresholds; without texts of both labels every score is 0.5
+    (`fit` makes it 0)."""
     if len(set(y.tolist())) < 2:
         return {"empty": True}
     random = np.random.default_rng(seed)
@@ -228,7 +229,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, language: np.ndarray) -> np.ndarray
 def score_texts(model: dict, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
     """Scores of whole texts, a bounded number of characters (or one text) at a time."""
     if model.get("empty"):
-        return np.full(len(texts), 0.5)
+        return np.full(len(texts), model.get("score", 0.5))
     scores, begin = [], 0
     while begin < len(texts):
         end, held = begin + 1, len(texts[begin])
@@ -242,9 +243,11 @@ def score_texts(model: dict, texts: list[str], chars: int = 1_000_000) -> np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> dict:
-    """A model for labels.toxic, learned from the rows of `labels` that are not held out."""
+    """A model for labels.toxic, learned from the rows of `labels` that are not held out. Without
+    texts of both labels nothing tells toxic ones apart: then every score is 0."""
     texts, y = training.labelled_sample(docs, labels, "toxic", training.held_out("doc_id", *HELD_OUT), per_class, max_chars)
-    return train(texts, y)
+    model = train(texts, y)
+    return model | {"score": 0.0} if model.get("empty") else model
 
 
 def toxicity(text: str | Column, model: dict, spark) -> Column:

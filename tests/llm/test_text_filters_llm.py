@@ -202,6 +202,15 @@ def test_classifier_queries(spark, name, modulus, remainder, label):
     assert np.mean([r.predicted == r[label] for r in held]) >= 0.95
 
 
+@pytest.mark.parametrize("labels", [[], [(i, 0) for i in range(9)], [(i, 1) for i in range(9)], [(99, 1), (0, 0), (1, 0)]])
+def test_nothing_is_toxic_without_both_labels(spark, tmp_path, labels):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)] + [(None, None)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 10
+    assert {(r.score, r.predicted) for r in queries.op9_toxicity(spark, str(tmp_path)).collect()} == {(0.0, 0)}
+
+
 def test_pipeline_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("score", F.lit("own"))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "n-gram Jaccard join", "best-fit packing"]
