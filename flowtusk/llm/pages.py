@@ -1,8 +1,9 @@
 """Main text of web pages: structure first, and nearest-URL differencing where structure is silent.
 
 A page is cut into blocks, the text lines of its block elements. What the markup calls a menu,
-header, footer, sidebar, notice, advert, form or comment is out; an article element (or else a
-main element) is in. Lines of a page without such an element are open. For these, the pages of a
+header, footer, sidebar, notice, advert, form or comment is out; article and main elements are in.
+Lines outside of such elements are open: they count on a page without them, and where articles hold
+less than what is open, as teasers do. For open lines, the pages of a
 host are sorted by path, each page is paired with the neighbour whose path has more in common
 with its own, the two pages' lines are aligned by their longest common subsequence, and shared
 lines are deleted.
@@ -17,6 +18,7 @@ import html
 import os.path
 import re
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,12 +32,15 @@ from flowtusk.plans.ordering import with_global_position
 from flowtusk.plans.storage import store
 
 _ATTRIBUTES = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
+_SELF_CLOSED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>"""
 #: Comments, elements whose content is no text, declarations, tags; a broken tag ends at the next `>`.
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title|object|canvas|math)\b{_ATTRIBUTES}>"""
+    rf"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg(?!{_SELF_CLOSED})|iframe|select|title|canvas|annotation-xml|annotation)"""
+    rf"""(?=[\s/>]){_ATTRIBUTES}>"""
     rf""".*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_ATTRIBUTES}>|</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ROLE_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 _NAME_WORDS = re.compile(r"[^a-z0-9]+")
 
 #: Elements that begin and end a block, and those without an end tag.
@@ -74,17 +79,29 @@ def _left_out(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+class Place(NamedTuple):
+    """Where a line stands: its kind, the number of the outermost article and whether a main element holds it."""
+    kind: int = OPEN
+    article: int = 0
+    main: bool = False
+
+
 def page_lines(source: str) -> list[tuple[int, str]]:
     """(kind, text) of each block with text, in page order."""
-    lines: list[tuple[int, str]] = []
+    return [(place.kind, text) for place, text in placed_lines(source)]
+
+
+def placed_lines(source: str) -> list[tuple[Place, str]]:
+    """(place, text) of each block with text, in page order."""
+    lines: list[tuple[Place, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements that matter, with the kind of what they hold
-    kind, at = OPEN, 0
+    stack: list[tuple[str, Place]] = []  # open elements that matter, with the place of what they hold
+    place, at, articles = Place(), 0, 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            lines.append((kind, text))
+            lines.append((place, text))
         held.clear()
 
     for token in _TOKEN.finditer(source):
@@ -106,32 +123,56 @@ def page_lines(source: str) -> list[tuple[int, str]]:
                 if stack[i][0] == tag:
                     flush()
                     del stack[i:]
-                    kind = stack[-1][1] if stack else OPEN
+                    place = stack[-1][1] if stack else Place()
                     break
             continue
         if block and stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
             stack.pop()
-            kind = stack[-1][1] if stack else OPEN
+            place = stack[-1][1] if stack else Place()
         if tag in VOID or token[5].endswith("/") and not block:
             continue
+        kind, inner = place.kind, place
         if kind != OUT and _left_out(tag, token[5], kind >= MAIN):
-            inner = OUT
-        elif kind != OUT and tag == "article":
-            inner = ARTICLE
-        elif kind == OPEN and (tag == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", token[5], re.I)):
-            inner = MAIN
-        else:
-            inner = kind
-        if inner != kind or block and tag != "li":
-            if inner != kind:
+            inner = place._replace(kind=OUT)
+        elif kind != OUT:
+            main = place.main or tag == "main" or _ROLE_MAIN.search(token[5]) is not None
+            if tag == "article":
+                articles += not place.article
+                inner = Place(ARTICLE, place.article or articles, main)
+            elif kind == OPEN and main:
+                inner = Place(MAIN, 0, True)
+        if inner != place or block and tag != "li":
+            if inner != place:
                 flush()
             stack.append((tag, inner))
-            kind = inner
+            place = inner
     held.append(source[at:])
     flush()
     return lines
 
 
+def candidates(lines: list[tuple[Place, str]], structure: bool = True) -> tuple[list[str], list[bool]]:
+    """The lines that may be main text, and for each whether the markup says so; the others are left
+    to differencing.
+
+    A main element excludes what is open. What lies beside articles is left out only if it is open
+    and less than the largest article (a teaser is an article too); in a main element it is sure if
+    more than that, else differenced.
+    """
+    if not structure:
+        return [text for _, text in lines], [False] * len(lines)
+    sizes, articles = [0] * 4, {0: 0}
+    for place, text in lines:
+        sizes[place.kind] += len(text)
+        if place.kind == ARTICLE:
+            articles[place.article] = articles.get(place.article, 0) + len(text)
+    outer = MAIN if any(place.main and place.kind >= MAIN for place, _ in lines) else OPEN
+    more = sizes[outer] > max(articles.values())
+    kept = [(place, text) for place, text in lines
+            if place.kind == ARTICLE or place.kind == outer and (outer == MAIN or more)]
+    return [text for _, text in kept], [place.kind == ARTICLE or place.kind == MAIN and more for place, _ in kept]
+
+
 def common_lines(a: Sequence[int], b: Sequence[int], cells: int = 40_000_000) -> list[int]:
     """Places in `a` of a longest common subsequence of `a` and `b`.
 
@@ -185,29 +226,28 @@ def common_lines(a: Sequence[int], b: Sequence[int], cells: int = 40_000_000) ->
 
 
 def _parsed(pages: DataFrame, structure: bool) -> DataFrame:
-    """Per page: text if structure decides it, else the open lines; hashes of all lines."""
+    """Per page: text if structure decides it, else the lines that may be text and whether they surely
+    are; hashes of all lines."""
     # Arrow batches: in pandas a null id would turn the ids beside it into floats.
     def parse(batches) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches, "html"):
-            texts, opens, hashes = [], [], []
+            texts, opens, sures, hashes = [], [], [], []
             for source in batch.column("html").to_pylist():
-                lines = page_lines(source)
-                best = max((kind for kind, _ in lines), default=OPEN) if structure else OPEN
-                if best >= MAIN:
-                    texts.append("\n".join(text for kind, text in lines if kind == best))
-                    opens.append(None)
-                else:
-                    own = [text for kind, text in lines if not structure or kind == OPEN]
-                    texts.append(None if own else "")
-                    opens.append(own or None)
+                lines = placed_lines(source)
+                own, sure = candidates(lines, structure)
+                decided = all(sure)
+                texts.append("\n".join(own) if decided else None)
+                opens.append(None if decided else own)
+                sures.append(None if decided else sure)
                 hashes.append([xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) for _, text in lines])
-            columns = [pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))]
+            columns = [pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())),
+                       pa.array(sures, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, *columns],
-                                             ["row", "page_id", "url", "text", "open", "lines"])
+                                             ["row", "page_id", "url", "text", "open", "sure", "lines"])
 
     kinds = dict(pages.dtypes)
     return store(pages.mapInArrow(parse, f"row bigint, page_id {kinds['page_id']}, url string, "
-                                   "text string, open array<string>, lines array<bigint>"), "pages")
+                                   "text string, open array<string>, sure array<boolean>, lines array<bigint>"), "pages")
 
 
 def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,9 +256,10 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in frame.itertuples(index=False):
             sides = [(len(os.path.commonprefix([r.path, path])), lines)
                      for path, lines in ((r.path_before, r.lines_before), (r.path_after, r.lines_after)) if path is not None]
-            own = [xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) for text in r.open]
+            unsure = [i for i, sure in enumerate(r.sure) if not sure]
+            own = [xxhash.xxh3_64_intdigest(r.open[i].encode("utf-8", "replace")) - (1 << 63) for i in unsure]
             nearest = max(sides, key=lambda side: side[0])[1] if sides else []
-            shared = set(common_lines(own, [int(h) for h in nearest]))
+            shared = {unsure[i] for i in common_lines(own, [int(h) for h in nearest])}
             texts.append("\n".join(text for i, text in enumerate(r.open) if i not in shared))
         yield pd.DataFrame({"row": frame["row"], "text": texts})
 
@@ -241,11 +282,11 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     slim = parsed.filter(F.col("url").isNotNull() & (F.size("lines") > 0)).select("row", "page_id", host.alias("host"), path.alias("path"), "lines")
     placed = with_global_position(slim, ["host", "path", "page_id", "row"])
     side = placed.select("host", "position", "path", "lines")
-    wanted = placed.join(parsed.filter(F.col("open").isNotNull()).select("row", "open"), "row")
+    wanted = placed.join(parsed.filter(F.col("open").isNotNull()).select("row", "open", "sure"), "row")
     before = side.toDF("host", "position", "path_before", "lines_before").withColumn("position", F.col("position") + 1)
     after = side.toDF("host", "position", "path_after", "lines_after").withColumn("position", F.col("position") - 1)
     pairs = wanted.join(before, ["host", "position"], "left").join(after, ["host", "position"], "left")
-    decided = pairs.select("row", "path", "open", "path_before", "lines_before", "path_after", "lines_after").mapInPandas(
+    decided = pairs.select("row", "path", "open", "sure", "path_before", "lines_before", "path_after", "lines_after").mapInPandas(
         _shared, "row bigint, text string")
     alone = parsed.filter(F.col("open").isNotNull() & F.col("url").isNull()).select("row", F.array_join("open", "\n").alias("text"))
     open_pages = parsed.filter(F.col("open").isNotNull()).select("row", "page_id", "url").join(decided.unionByName(alone), "row")

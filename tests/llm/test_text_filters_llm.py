@@ -94,6 +94,34 @@ def test_page_structure():
     assert [t for _, t in pages.page_lines("plain &am text\n\n more <b>x")] == ["plain &am text more x"]
 
 
+def kept(source):
+    return pages.candidates(pages.placed_lines(source))
+
+
+def test_self_closed_and_foreign_elements():
+    source = ("<article><p>one <svg class=\"i\"/> two</p><p>three <svg><text>x</text></svg>four</p><object data='a'/><p>five<math/></p>"
+              "<object><p>six</p></object><math><mi>y</mi><annotation>\\y</annotation></math> is</article><nav><svg/></nav>")
+    assert kept(source) == (["one two", "three four", "five", "six", "y is"], [True] * 5)
+
+
+def test_teasers_do_not_replace_the_text():
+    text, card = "<p>The whole text of the page.</p>", "<article>A teaser.</article>"
+    both = ["The whole text of the page.", "A teaser."]
+    assert kept(f"<main>{text}{card}</main><p>open, and longer than all other lines are</p>") == (both, [True, True])
+    assert kept(f"<main>{text}</main>{card * 4}") == (both + both[1:] * 3, [True] * 5)
+    assert kept(f"<body>{text}{card * 4}") == (both + both[1:] * 3, [False] + [True] * 4)
+    assert kept(f"<div>open</div><article>{text}</article>") == (both[:1], [True])
+    assert kept(f"<main>main<article>{text}</article></main>") == (["main", both[0]], [False, True])
+    assert kept("<main><article>short</article></main><p>open and longer</p>") == (["short"], [True])
+
+
+def test_open_text_beside_a_teaser_is_differenced(spark):
+    page = lambda own: f"<div>Home</div><p>{own}</p><article>Card</article>"
+    table = spark.createDataFrame([(1, "http://h/a/1", page("the first text")), (2, "http://h/a/2", page("the second text"))],
+                                  "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract_pages(table).collect()} == {1: "the first text\nCard", 2: "the second text\nCard"}
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
