@@ -3,7 +3,8 @@
 A page is cut into blocks, the text lines of its block elements. What the markup calls a menu,
 header, footer, sidebar, notice, advert, form or comment is out; article and main elements are in.
 Lines outside of such elements are open: they count on a page without them, and where articles hold
-less than what is open, as teasers do. For open lines, the pages of a
+less than what is open, as teasers do. Where only a part of a name speaks against an element, its
+lines are as open ones. For open lines, the pages of a
 host are sorted by path, each page is paired with the neighbour whose path has more in common
 with its own, the two pages' lines are aligned by their longest common subsequence, and shared
 lines are deleted.
@@ -58,32 +59,60 @@ LEFT_OUT_WORDS = frozenset((
     "subscribe signup login search form dialog").split())
 #: Words that only count outside of an article, where a header is the site's.
 OUTER_WORDS = frozenset("header masthead topbar".split())
+#: Names of several words that say it as surely as one word that is the whole name.
+LEFT_OUT_NAMES = frozenset((
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper google-ad google-ads sponsored-content cookie-banner "
+    "cookie-bar cookie-consent cookie-notice cookies-banner gdpr-banner consent-banner alert-banner notification-bar "
+    "modal-dialog left-sidebar right-sidebar sidebar-left sidebar-right main-nav main-navigation main-menu nav-bar nav-menu "
+    "navigation-menu site-nav site-navigation site-menu site-footer page-footer global-footer footer-nav breadcrumb-nav "
+    "comment-form comment-list comment-respond comments-area comments-section comment-section disqus-thread "
+    "newsletter-form newsletter-signup sign-up signup-form login-form search-bar search-box search-form").split())
+OUTER_NAMES = frozenset("global-header site-header top-bar".split())
+#: Elements whose id is often a slug of their own title; an article's classes name its state.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold a page's main text and may be named after what surrounds it.
 _HOLDERS = frozenset("html body main".split())
 
 OUT, OPEN, MAIN, ARTICLE = range(4)
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
+NO, MAYBE, YES = range(3)
+
+
+def _left_out(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element is left out: by itself or by a whole name; maybe, if only a part of a name
+    says so. Parts do not count on headings and articles, nor in ids of sections."""
     if tag in LEFT_OUT or tag == "header" and not inside:
-        return True
+        return YES
     if tag in _HOLDERS or "=" not in attributes:
-        return False
-    for _, value in _NAMES.findall(attributes):
+        return NO
+    found = NO
+    for attribute, value in _NAMES.findall(attributes):
+        is_id = attribute.lower() == "id"
+        if is_id and tag in _HEADINGS:
+            continue
         for name in value.strip("\"'").lower().split():
-            words = _NAME_WORDS.split(name)
-            if words[0] in ("has", "with", "no", "is"):
+            words = [word for word in _NAME_WORDS.split(name) if word]
+            if not words or words[0] in ("has", "with", "no", "is"):
                 continue  # about the content, not what it is
-            if not LEFT_OUT_WORDS.isdisjoint(words) or not inside and not OUTER_WORDS.isdisjoint(words):
-                return True
-    return False
+            whole, slug = "-".join(words), is_id and tag in ("article", "section")
+            if len(words) == 1 and (whole in LEFT_OUT_WORDS or not inside and whole in OUTER_WORDS):
+                return YES
+            if not slug and (whole in LEFT_OUT_NAMES or not inside and whole in OUTER_NAMES):
+                return YES
+            if not slug and tag not in _HEADINGS and tag != "article" and (
+                    not LEFT_OUT_WORDS.isdisjoint(words) or not inside and not OUTER_WORDS.isdisjoint(words)):
+                found = MAYBE
+    return found
 
 
 class Place(NamedTuple):
-    """Where a line stands: its kind, the number of the outermost article and whether a main element holds it."""
+    """Where a line stands: its kind, the number of the outermost article, whether a main element holds it,
+    and whether a part of a name speaks against it."""
     kind: int = OPEN
     article: int = 0
     main: bool = False
+    doubt: bool = False
 
 
 def page_lines(source: str) -> list[tuple[int, str]]:
@@ -132,15 +161,18 @@ def placed_lines(source: str) -> list[tuple[Place, str]]:
         if tag in VOID or token[5].endswith("/") and not block:
             continue
         kind, inner = place.kind, place
-        if kind != OUT and _left_out(tag, token[5], kind >= MAIN):
+        judged = _left_out(tag, token[5], kind >= MAIN) if kind != OUT else NO
+        if judged == YES:
             inner = place._replace(kind=OUT)
         elif kind != OUT:
             main = place.main or tag == "main" or _ROLE_MAIN.search(token[5]) is not None
             if tag == "article":
                 articles += not place.article
-                inner = Place(ARTICLE, place.article or articles, main)
+                inner = Place(ARTICLE, place.article or articles, main, place.doubt)
             elif kind == OPEN and main:
-                inner = Place(MAIN, 0, True)
+                inner = Place(MAIN, 0, True, place.doubt)
+            if judged == MAYBE:
+                inner = inner._replace(doubt=True)
         if inner != place or block and tag != "li":
             if inner != place:
                 flush()
@@ -157,7 +189,7 @@ def candidates(lines: list[tuple[Place, str]], structure: bool = True) -> tuple[
 
     A main element excludes what is open. What lies beside articles is left out only if it is open
     and less than the largest article (a teaser is an article too); in a main element it is sure if
-    more than that, else differenced.
+    more than that, else differenced. So are lines against which a part of a name speaks.
     """
     if not structure:
         return [text for _, text in lines], [False] * len(lines)
@@ -170,7 +202,8 @@ def candidates(lines: list[tuple[Place, str]], structure: bool = True) -> tuple[
     more = sizes[outer] > max(articles.values())
     kept = [(place, text) for place, text in lines
             if place.kind == ARTICLE or place.kind == outer and (outer == MAIN or more)]
-    return [text for _, text in kept], [place.kind == ARTICLE or place.kind == MAIN and more for place, _ in kept]
+    return [text for _, text in kept], [
+        not place.doubt and (place.kind == ARTICLE or place.kind == MAIN and more) for place, _ in kept]
 
 
 def common_lines(a: Sequence[int], b: Sequence[int], cells: int = 40_000_000) -> list[int]:

@@ -122,6 +122,26 @@ def test_open_text_beside_a_teaser_is_differenced(spark):
     assert {r.page_id: r.text for r in pages.extract_pages(table).collect()} == {1: "the first text\nCard", 2: "the second text\nCard"}
 
 
+def test_parts_of_names_do_not_discard():
+    article = lambda inner, names="": kept(f"<article {names}>{inner}</article>")
+    for names in ("class='post comments-open'", "id=how-to-search"):
+        assert article("<p>text</p>", names) == (["text"], [True])
+    for title in ("<h2 id='search-results'>", "<h2 id=search>", "<h3 class='menu-title'>"):
+        assert article(title + "Title</h2><p>text") == (["Title", "text"], [True, True])
+    assert article("<section id='login-form'><h2>Log in</h2></section>") == (["Log in"], [True])
+    assert article("<div class='notice-period'><p>a</p></div><p>b</p>") == (["a", "b"], [False, True])
+    for names in ("class=ad", "class='x cookie-banner'", "id=disqus_thread", "role=search", "class='ad__slot'"):
+        assert article(f"<div {names}>out</div><p>text</p>") == (["text"], [True])
+
+
+def test_parts_of_names_are_confirmed_by_the_neighbour(spark):
+    page = lambda own: f"<article><p>Same</p><p>{own}</p><div class='post-ads'>Buy</div><div class='ad-free'>{own} free</div></article>"
+    table = spark.createDataFrame([(1, "http://h/a/1", page("one")), (2, "http://h/a/2", page("two")), (3, "http://g/a", page("three"))],
+                                  "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract_pages(table).collect()} == {
+        1: "Same\none\none free", 2: "Same\ntwo\ntwo free", 3: "Same\nthree\nBuy\nthree free"}
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
