@@ -11,8 +11,8 @@ A list is not paired with itself. First each member is checked against one membe
 what is found connects most of a group. After that only members outside a list's largest component
 are compared, and only with other components: in short lists as pairs, in long ones in blocks, of
 which no pair leaves the task but one link per member. A sketch of 128 bits per set rejects pairs
-that merely share a passage (a linked pair with a chance below 1e-13); all others are decided by
-the sets themselves. So a group of copies, however large, costs rows in proportion to its size.
+that merely share a passage (a linked pair with a chance of at most SKETCH_LOSS, for any threshold);
+all others are decided by the sets themselves. So a group of copies, however large, costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ CHECK_COST = 4.0
 BROADCAST_IDS = 4_000_000
 #: A list with more members outside its largest component is compared in blocks of so many members.
 SHORT, BLOCK = 32, 1024
-#: Bits of the sketch in which linked sets may differ: 10 are expected at a similarity of 0.85.
-SKETCH_DIFFERENCE = 40
+#: Chance that the sketch rejects a pair just at the threshold.
+SKETCH_LOSS = 1e-15
 _SLABS = 64
 
 
@@ -85,6 +85,17 @@ class Threshold:
         return [(min(n, m), max(n, m), self.overlap(n, m)) for m in self.sizes(n) if m and self.overlap(n, m) <= min(n, m)]
 
 
+def sketch_difference(limit: Threshold) -> int | None:
+    """Bits of the sketch in which linked sets may differ. None if that reaches 64, the mean of sets
+    that share nothing: then the sketch rejects no pair worth its loss."""
+    chance, tail = (1 - limit.num / limit.den) / 2, 0.0  # of one bit, for sets just at the threshold
+    for bits in range(128, -1, -1):
+        tail += comb(128, bits) * chance ** bits * (1 - chance) ** (128 - bits)
+        if tail > SKETCH_LOSS:
+            return bits if bits < 64 else None
+    return 0
+
+
 def _rarity(docs: DataFrame, words: int) -> np.ndarray:
     """How often n-grams of each hash cell occur in all sets; 2 ** SKETCH_BITS cells at any size."""
     cells = 1 << SKETCH_BITS
@@ -193,8 +204,11 @@ def _may_link(limit: Threshold, a: str, b: str, places: bool = False):
     small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
     needed = F.ceil(limit.num * (n_a + n_b) / (limit.num + limit.den))
     rest = F.least(n_a - F.col(f"at{a}"), n_b - F.col(f"at{b}")) if places else small
+    possible, allowed = (limit.den * small >= limit.num * large) & (rest >= needed), sketch_difference(limit)
+    if allowed is None:
+        return possible
     differing = sum(F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in ("s1", "s2"))
-    return (limit.den * small >= limit.num * large) & (rest >= needed) & (differing <= SKETCH_DIFFERENCE)
+    return possible & (differing <= allowed)
 
 
 class _Checker:

@@ -96,6 +96,18 @@ def test_jaccard_keeps_large_ids(spark):
     assert found == brute_force(texts, 4, 85, 100) | {None: (3, None)}
 
 
+def test_sketch_loses_no_links_at_low_thresholds(spark):
+    allowed = [jaccard.sketch_difference(jaccard.Threshold(num, 100)) for num in (100, 85, 80, 50, 40)]
+    assert allowed[0] == 0 and 30 < allowed[1] <= 40 < allowed[2] < 64 and allowed[3:] == [None, None]
+    texts = {}
+    for i in range(30):  # pairs of 1,000 words, 580 of them common: a similarity of 0.408
+        for k in (0, 1):
+            texts[2 * i + k] = " ".join([f"c{i}_{j}" for j in range(580)] + [f"o{i}_{k}_{j}" for j in range(420)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, words=1, numerator=40).collect()}
+    assert found == {i: (1000, i - i % 2) for i in texts}
+
+
 def test_boundary_follows_the_costs():
     limit = jaccard.Threshold(85, 100)
     assert jaccard._boundary({n: 10 for n in range(1, 25)}, 1, limit) < jaccard._boundary({n: 10 for n in range(1, 25)}, 500, limit)
