@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtusk.llm.common import arrow_slices, text_or_empty
-from flowtusk.llm.tokens import word_cache
+from flowtusk.llm.tokens import encode_words
 from flowtusk.plans.storage import store
 
 CAPACITY = 4096
@@ -42,9 +42,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     repeated rows give repeated pieces. Other columns are not read.
     """
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(vocabulary)
         for batch in arrow_slices(batches, "text"):
-            ids, offsets = cache.encode_texts(batch.column("text"))
+            ids, offsets = encode_words(vocabulary, batch.column("text"))
             docs, pieces, starts, lengths, sums = [], [], [], [], []
             for row, doc in enumerate(batch.column("doc_id").to_pylist()):
                 own = np.append(ids[offsets[row]:offsets[row + 1]], np.uint32(end_id)).astype("<u4", copy=False)

@@ -141,3 +141,27 @@ def _word_encoder(path: str):
 def word_cache(path: str) -> PieceCache:
     """The worker's cache for a vocabulary with word ends."""
     return PieceCache(bare_pieces, _word_encoder(path))
+
+
+@functools.lru_cache(maxsize=4)
+def _added_tokens(path: str):
+    """A pattern that finds the vocabulary's added tokens, and the library with its defaults."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        names = [token["content"] for token in json.load(file)["added_tokens"]]
+    return "|".join(map(re.escape, names)), Tokenizer.from_file(path)
+
+
+def encode_words(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As `PieceCache.encode_texts`, but texts that hold an added token go to the library as they
+    are: there, such a token has an id of its own."""
+    ids, ends = word_cache(path).encode_texts(texts)
+    pattern, library = _added_tokens(path)
+    special = np.flatnonzero(pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)) if pattern else []
+    if not len(special):
+        return ids, ends
+    parts = np.split(ids, ends[1:-1])
+    for i in special:
+        parts[i] = np.array(library.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=ids.dtype)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(part) for part in parts])])

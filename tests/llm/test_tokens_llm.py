@@ -40,6 +40,16 @@ def test_word_ids_are_the_library_s(spark):
         assert ids[ends[i]:ends[i + 1]].tolist() == expected.ids, texts[i][:50]
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    library = Tokenizer.from_file(queries.WORDS)
+    texts = [*ODD, "a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "plain", "<|ENDOFTEXT|>"]
+    ids, ends = tokens.encode_words(queries.WORDS, pa.array(texts))
+    for i, expected in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[ends[i]:ends[i + 1]].tolist() == expected.ids, texts[i][:50]
+    row = packing.cut_pieces(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id bigint, text string"), queries.WORDS).first()
+    assert row.length == 4 and row.ids_crc32 == zlib.crc32(np.array([320, 49407, 321, 1], dtype="<u4").tobytes())
+
+
 def test_cache_stays_bounded():
     cache = tokens.PieceCache(tokens.bare_pieces, lambda words: [len(w).to_bytes(4, "little") for w in words], limit=10)
     for k in range(5):
