@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtusk.llm import (bpe, chat, jaccard, packing, pages, quality_model, quality_rules, separators, toxicity, training,
-                          vectors)
-from flowtusk.llm.common import read_table
+from flowtusk.llm import (alignment, bpe, chat, jaccard, mixing, packing, pages, quality_model, quality_rules, runs, separators,
+                          toxicity, training, vectors)
+from flowtusk.llm.common import ASCII_SPACE, read_table
 from flowtusk.plans.storage import new_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 SEPARATOR = 50256  # the id that the rank file leaves free
 
@@ -85,6 +87,42 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORDS)
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(read_table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def _repeating_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in a tenth of the documents the words from a place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", ASCII_SPACE + "+"), lambda word: word != "")
+    split = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    split = split.select("*", F.expr("h div 10").alias("g"), F.size("words").alias("n"))
+    placed = split.withColumn("a", F.expr("cast(g % nullif(n, 0) as int)"))
+    placed = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    turns = F.flatten(F.array_repeat(F.expr("slice(words, a + 1, p)"), F.expr("cast(ceil((n - a) / p) as int)")))
+    repeating = F.concat(F.expr("slice(words, 1, a)"), F.slice(turns, 1, F.col("n") - F.col("a")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeating, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_repeating_texts(read_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    found = found.withColumns({"longest": longest, "listed": listed})
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -96,4 +134,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_mix_sources": op11_mix_sources,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
