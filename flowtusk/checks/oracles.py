@@ -210,11 +210,11 @@ SELECT CASE WHEN pkt_id % 7 = 0 THEN {_SHORT} || ',,,,' WHEN pkt_id % 5 = 0 THEN
   CASE WHEN pkt_id % 7 = 0 THEN 'too few fields' ELSE 'bad dst_port' END AS reason
 FROM spoiled WHERE pkt_id % 7 = 0 OR pkt_id % 3 = 0""",
     "s2_stream_packets_csv": _parsed_lines(),
-    "s3_read_packets_pcap": f"""WITH {_packets()}
+    **dict.fromkeys(["s3_read_packets_pcap", "s3_packets_from_captures"], f"""WITH {_packets()}
 SELECT ts_us, src_ip, dst_ip, protocol, pkt_len, ip_len, ip_hdr_len, ip_payload_len, tr_hdr_len, tr_payload_len,
   src_port, dst_port, seq, CASE WHEN pkt_id % 2 = 0 THEN seq + 7 ELSE 0 END AS ack, win,
   CAST(CASE WHEN pkt_id % 2 = 0 THEN 0 ELSE 1 END AS SMALLINT) AS syn
-FROM lengths WHERE protocol = 6 AND pkt_id % 11 <> 0""",
+FROM lengths WHERE protocol = 6 AND pkt_id % 11 <> 0"""),
     "s4_to_tuple_dataset": _source(f"SELECT pkt_id, ts_us, src_ip, dst_ip, pkt_len FROM packets WHERE protocol = 6 "
                                    f"ORDER BY ts_us, pkt_id LIMIT {PREVIEW}"),
     "s4_to_tuple_dataset_all": _source("SELECT pkt_id, ts_us, src_ip, dst_ip, pkt_len FROM packets WHERE protocol = 6"),

@@ -26,7 +26,7 @@ from flowtusk.plans.detect import DetectionPlan, detect_heavy_flows
 from flowtusk.plans.storage import new_path
 from flowtusk.schema import PACKET_COLUMNS
 from flowtusk.sinks import files
-from flowtusk.sources.captures import packets_from_captures, to_tuple_dataset
+from flowtusk.sources.captures import packets_from_captures, read_packets_pcap, to_tuple_dataset
 from flowtusk.sources.events import read_event_packets, stream_event_packets
 from flowtusk.sources.replay import replay, with_ingress_time
 from flowtusk.sources.text import parse_packet_lines, read_packets_csv, rejected_lines, stream_packets_csv
@@ -151,7 +151,7 @@ def _little(c: Column) -> Column:
 
 
 def _captures(packets: DataFrame) -> DataFrame:
-    """Capture files of 256 packets each: little-endian microseconds and big-endian nanoseconds in turn."""
+    """Capture files of 2048 packets each: little-endian microseconds and big-endian nanoseconds in turn."""
     little = F.col("file") % 2 == 0
     size = F.expr("cast(length(frame_hex) div 2 as bigint)")
     sec, usec = F.expr("ts_us div 1000000"), F.expr("ts_us % 1000000")
@@ -159,16 +159,23 @@ def _captures(packets: DataFrame) -> DataFrame:
         F.concat(_hex(sec, 8), _hex(usec * 1000, 8), _hex(size, 8), _hex(size, 8)))
     head = F.when(little, F.lit("D4C3B2A1" + "02000400" + "00" * 12 + "01000000")).otherwise(
         F.lit("A1B23C4D" + "00020004" + "00" * 12 + "00000001"))
-    rows = _frames(packets).withColumn("file", F.expr("pkt_id div 256"))
+    rows = _frames(packets).withColumn("file", F.expr("pkt_id div 2048"))
     rows = rows.select("file", "pkt_id", F.concat(record, "frame_hex").alias("rec"))
     files_ = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pkt_id", "rec"))).alias("recs"))
     body = F.array_join(F.transform("recs", lambda x: x["rec"]), "")
-    return files_.select(F.concat(F.lit("capture-"), F.col("file").cast("string")).alias("path"),
+    return files_.select(F.format_string("capture-%08d.pcap", "file").alias("path"),
                          F.unhex(F.concat(head, body)).alias("content"))
 
 
 @query
 def s3_read_packets_pcap(spark, folder):
+    path = new_path(spark, "captures")
+    files.write_captures(_captures(read_event_packets(spark, folder)), path)
+    return read_packets_pcap(spark, path, range_bytes=16_384).select(*PACKET_COLUMNS)
+
+
+@query
+def s3_packets_from_captures(spark, folder):
     return packets_from_captures(_captures(read_event_packets(spark, folder))).select(*PACKET_COLUMNS)
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,22 @@ def write_packets_csv(packets: DataFrame, path: str, dotted: bool = True, mode:
     packet_rows(packets, dotted).write.mode(mode).csv(path)
 
 
+def write_captures(captures: DataFrame, folder: str) -> None:
+    """One file in `folder` for each row (`path`, `content`), under the name `path`. A task that runs again replaces its files."""
+    def write(batches) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                passing = f"{root}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(passing) as out:
+                    out.write(content)
+                files.move(passing, f"{root}/{name}")
+            yield batch.select(["path"])
+
+    captures.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 HOUR_US = 3_600_000_000
 
 
