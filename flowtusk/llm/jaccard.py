@@ -17,20 +17,21 @@ all others are decided by the sets themselves. So a group of copies, however lar
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, exp, lgamma, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtusk.llm.common import arrow_slices, slices, sorted_runs, text_or_empty
 from flowtusk.llm.graph import components, connected
-from flowtusk.plans.storage import store
+from flowtusk.plans.storage import delete_path, store
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 SKETCH_BITS = 22
@@ -44,6 +45,10 @@ BROADCAST_IDS = 4_000_000
 SHORT, BLOCK = 32, 1024
 #: Chance that the sketch rejects a pair just at the threshold.
 SKETCH_LOSS = 1e-15
+#: Bits of the wide sketch, by which candidate pairs are checked before whole sets travel.
+WIDE = 1024
+#: N-grams whose cell counts more than this may fill a list of so many sets; they are counted first.
+HOT = 50_000
 _SLABS = 64
 
 
@@ -85,14 +90,16 @@ class Threshold:
         return [(min(n, m), max(n, m), self.overlap(n, m)) for m in self.sizes(n) if m and self.overlap(n, m) <= min(n, m)]
 
 
-def sketch_difference(limit: Threshold) -> int | None:
-    """Bits of the sketch in which linked sets may differ. None if that reaches 64, the mean of sets
-    that share nothing: then the sketch rejects no pair worth its loss."""
+def sketch_difference(limit: Threshold, size: int = 128) -> int | None:
+    """Bits of a sketch of `size` bits in which linked sets may differ. None if that reaches half of them, the
+    mean of sets that share nothing: then the sketch rejects no pair worth its loss."""
     chance, tail = (1 - limit.num / limit.den) / 2, 0.0  # of one bit, for sets just at the threshold
-    for bits in range(128, -1, -1):
-        tail += comb(128, bits) * chance ** bits * (1 - chance) ** (128 - bits)
+    if not chance:
+        return 0
+    for bits in range(size, -1, -1):
+        tail += exp(lgamma(size + 1) - lgamma(bits + 1) - lgamma(size - bits + 1) + bits * log(chance) + (size - bits) * log(1 - chance))
         if tail > SKETCH_LOSS:
-            return bits if bits < 64 else None
+            return bits if bits < size // 2 else None
     return 0
 
 
@@ -101,6 +108,9 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
     cells = 1 << SKETCH_BITS
     slab = cells // _SLABS
 
+    def packed(counts: np.ndarray) -> bytes:
+        return zlib.compress(counts.astype("<u4").tobytes(), 1)
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(cells, dtype=np.uint32)
         for frame in slices(frames, "text", 1_000_000):
@@ -108,38 +118,35 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
             seen, times = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             total[seen.astype(np.int64)] += times.astype(np.uint32)
         if total.any():
-            few = np.minimum(total, 65535).astype("<u2")
-            yield pd.DataFrame({"slab": np.arange(_SLABS), "counts": [part.tobytes() for part in few.reshape(_SLABS, slab)]})
+            yield pd.DataFrame({"slab": np.arange(_SLABS), "counts": [packed(part) for part in total.reshape(_SLABS, slab)]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(slab, dtype=np.int64)
         for counts in frame["counts"]:
-            total += np.frombuffer(counts, dtype="<u2" if len(counts) == 2 * slab else "<u4")
-        return pd.DataFrame({"slab": frame["slab"].iloc[:1], "counts": [np.minimum(total, 2 ** 31 - 1).astype("<u4").tobytes()]})
+            total += np.frombuffer(zlib.decompress(counts), dtype="<u4")
+        return pd.DataFrame({"slab": frame["slab"].iloc[:1], "counts": [packed(np.minimum(total, 2 ** 31 - 1))]})
 
     parts = docs.select("text").mapInPandas(count, "slab int, counts binary").withColumn("branch", F.spark_partition_id() % 64)
     sums = parts.groupBy("slab", "branch").applyInPandas(add, "slab int, counts binary")
     rows = sums.groupBy("slab").applyInPandas(add, "slab int, counts binary").collect()  # _SLABS rows of fixed size
     total = np.zeros((_SLABS, slab), dtype=np.int32)
     for row in rows:
-        total[row["slab"]] = np.frombuffer(row["counts"], dtype="<u4")
+        total[row["slab"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype="<u4")
     return total.ravel()
 
 
-_CLASSES = np.arange(128, dtype=np.uint64) << np.uint64(57)
-
-
-def _sketch(hashes: np.ndarray) -> tuple[int, int]:
-    """One bit for each of 128 classes of n-grams: a bit of the class's smallest hash."""
-    first = np.searchsorted(hashes, _CLASSES)
-    least = hashes[np.minimum(first, len(hashes) - 1)] if len(hashes) else np.zeros(128, dtype=np.uint64)
-    own = (first < len(hashes)) & ((least >> np.uint64(57)) == np.arange(128, dtype=np.uint64))
-    bits = np.where(own, (least >> np.uint64(3)) & np.uint64(1), 0).astype(np.uint8)
-    return tuple(np.packbits(bits).view("<i8").tolist())
+def _sketch(hashes: np.ndarray, bits: int = 128) -> np.ndarray:
+    """One bit for each of `bits` classes of n-grams: a bit of the class's smallest hash."""
+    shift, classes = np.uint64(64 - bits.bit_length() + 1), np.arange(bits, dtype=np.uint64)
+    first = np.searchsorted(hashes, classes << shift)
+    least = hashes[np.minimum(first, len(hashes) - 1)] if len(hashes) else np.zeros(bits, dtype=np.uint64)
+    own = (first < len(hashes)) & ((least >> shift) == classes)
+    return np.packbits(np.where(own, (least >> np.uint64(3)) & np.uint64(1), 0).astype(np.uint8))
 
 
 def _signatures(docs: DataFrame, kind: str, words: int, limit: Threshold) -> DataFrame:
-    """Per document: n, a fingerprint of the set, its rarest n-grams (all of a small set), sketch."""
+    """Per document: n, a fingerprint of the set, its rarest n-grams (all of a small set), how many of
+    these are in no hot cell, the sketch and the wide sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(_rarity(docs, words))
 
     # Arrow batches: in pandas a null id would turn the ids beside it into floats.
@@ -150,16 +157,18 @@ def _signatures(docs: DataFrame, kind: str, words: int, limit: Threshold) -> Dat
             for text in batch.column("text").to_pylist():
                 hashes = ngram_set(text, words)
                 n = len(hashes)
-                order = np.lexsort((hashes, rarity[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                first = hashes[order[:n if n <= SMALL else limit.prefix(n)]].view(np.int64)
+                counts = rarity[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.lexsort((hashes, counts))[:n if n <= SMALL else limit.prefix(n)]
                 mark = xxhash.xxh3_128_digest(hashes.tobytes())
-                rows.append((n, mark, first, *_sketch(hashes)))
-            kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+                rows.append((n, mark, hashes[order].view(np.int64), int((counts[order] <= HOT).sum()),
+                             *_sketch(hashes).view("<i8").tolist(), _sketch(hashes, WIDE).tobytes()))
+            kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "mark", "first", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns],
+                                             ["doc_id", "n", "mark", "first", "cold", "s1", "s2", "wide"])
 
     return store(docs.mapInArrow(
-        sign, f"doc_id {kind}, n int, mark binary, first array<bigint>, s1 bigint, s2 bigint"), "signatures")
+        sign, f"doc_id {kind}, n int, mark binary, first array<bigint>, cold int, s1 bigint, s2 bigint, wide binary"), "signatures")
 
 
 def _boundary(sizes: dict[int, int], list_length: float, limit: Threshold) -> int:
@@ -197,25 +206,39 @@ def _small_links(sets: DataFrame, kind: str, boundary: int, limit: Threshold) ->
     return rows.select(F.col("node").alias("a"), other.alias("b")).filter("b IS NOT NULL AND a <> b").distinct()
 
 
-def _may_link(limit: Threshold, a: str, b: str, places: bool = False):
-    """Whether two members of a list can link, by sizes and sketches, and by the n-gram's places in
-    their orders if there is one."""
-    n_a, n_b = F.col(f"n{a}"), F.col(f"n{b}")
-    small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    needed = F.ceil(limit.num * (n_a + n_b) / (limit.num + limit.den))
-    rest = F.least(n_a - F.col(f"at{a}"), n_b - F.col(f"at{b}")) if places else small
-    possible, allowed = (limit.den * small >= limit.num * large) & (rest >= needed), sketch_difference(limit)
+def _sizes_allow(limit: Threshold, a: str, b: str):
+    small, large = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
+    return limit.den * small >= limit.num * large
+
+
+def _places_allow(limit: Threshold, a: str, b: str):
+    """Whether two members of a list can link, by sizes and the n-gram's places in their orders."""
+    rest = F.least(F.col(f"n{a}") - F.col(f"at{a}"), F.col(f"n{b}") - F.col(f"at{b}"))
+    needed = F.ceil(limit.num * (F.col(f"n{a}") + F.col(f"n{b}")) / (limit.num + limit.den))
+    return _sizes_allow(limit, a, b) & (rest >= needed)
+
+
+def _may_link(limit: Threshold, a: str, b: str):
+    """Whether two sets can link, by sizes and sketches."""
+    possible, allowed = _sizes_allow(limit, a, b), sketch_difference(limit)
     if allowed is None:
         return possible
     differing = sum(F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in ("s1", "s2"))
     return possible & (differing <= allowed)
 
 
+def drop_path(stored: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for file in stored.inputFiles()}:
+        delete_path(stored.sparkSession, path)
+
+
 class _Checker:
     """Exact comparisons of sets, built again from the texts of those documents that need it."""
 
-    def __init__(self, docs: DataFrame, kind: str, words: int, limit: Threshold):
-        self.docs, self.kind, self.words, self.limit = docs, kind, words, limit
+    def __init__(self, docs: DataFrame, kind: str, words: int, limit: Threshold, wide: DataFrame):
+        """`wide` has the wide sketch of each node."""
+        self.docs, self.kind, self.words, self.limit, self.wide = docs, kind, words, limit, wide
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, grams (bytes of the sorted set) of the given nodes."""
@@ -230,6 +253,21 @@ class _Checker:
         texts = self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi")
         return store(texts.mapInPandas(build, f"node {self.kind}, grams binary"), "sets")
 
+    def _likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose wide sketches differ in few enough bits."""
+        allowed = sketch_difference(self.limit, WIDE)
+        if allowed is None:
+            return pairs
+
+        def near(batches) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8) for c in ("wide_a", "wide_b"))
+                differing = np.unpackbits(a ^ b).reshape(-1, WIDE).sum(axis=1)
+                yield batch.filter(pa.array(differing <= allowed)).select(["a", "b"])
+
+        both = (pairs.join(self.wide.toDF("a", "wide_a"), "a").join(self.wide.toDF("b", "wide_b"), "b"))
+        return both.select("a", "b", "wide_a", "wide_b").mapInArrow(near, f"a {self.kind}, b {self.kind}")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
         limit = self.limit
@@ -252,7 +290,7 @@ class _Checker:
                             found.append((a, b))
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-        pairs = store(pairs, "pairs")
+        pairs = store(self._likely(pairs), "pairs")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = self.sets(nodes)
         partners = pairs.join(sets.withColumnRenamed("node", "a"), "a").select("a", "b", F.lit(False).alias("own"), "grams")
@@ -263,7 +301,10 @@ class _Checker:
         partners = partners.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
         own = own.join(salts, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         rows = partners.unionByName(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("own"), "a")
-        return store(rows.select("a", "b", "own", "grams").mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "checked")
+        found = store(rows.select("a", "b", "own", "grams").mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "checked")
+        drop_path(sets)
+        drop_path(pairs)
+        return found
 
     def links_in_blocks(self, members: DataFrame) -> DataFrame:
         """Links that connect what links within long lists (major, node): one per member and block."""
@@ -283,8 +324,11 @@ class _Checker:
         rows = members.join(counts, "major").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.select("major", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node")
-        rows = rows.join(self.sets(members.select("node").distinct()), "node").repartition(*key).sortWithinPartitions(*key)
-        return store(rows.mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "blocks")
+        sets = self.sets(members.select("node").distinct())
+        rows = rows.join(sets, "node").repartition(*key).sortWithinPartitions(*key)
+        found = store(rows.mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "blocks")
+        drop_path(sets)
+        return found
 
 
 def _near(grams: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, limit: Threshold) -> np.ndarray:
@@ -308,31 +352,41 @@ def _near(grams: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, limit:
     return near
 
 
-def _list_links(lists: DataFrame, boundary: int, limit: Threshold, checker: _Checker, known: DataFrame) -> DataFrame:
-    """Links `known`, and those that connect all sets larger than the boundary that link."""
+def _list_links(lists: DataFrame, boundary: int, limit: Threshold, checker: _Checker, known: DataFrame, traits: DataFrame) -> DataFrame:
+    """Links `known`, and those that connect all sets larger than the boundary that link.
+
+    What travels per list row is gram, node and places only; `traits` (node, n, s1, s2) are joined to
+    pairs and to members once each is there once.
+    """
+    def with_traits(rows: DataFrame, node: str, suffix: str) -> DataFrame:
+        return rows.join(traits.toDF(node, *[f"{c}{suffix}" for c in ("n", "s1", "s2")]), node)
+
     members = lists.filter(F.col("n") > boundary)
     head = members.groupBy("gram").agg(F.count("*").alias("c"), F.min(F.struct(
-        F.xxhash64("node").alias("h"), "node", "n", "at", "s1", "s2")).alias("p")).filter("c > 1")
+        F.xxhash64("node").alias("h"), "node", "n", "at")).alias("p")).filter("c > 1")
     pairs = members.toDF(*[c if c == "gram" else f"{c}_own" for c in members.columns]).join(
-        head.select("gram", *[F.col(f"p.{c}").alias(f"{c}_head") for c in ("node", "n", "at", "s1", "s2")]), "gram")
-    pairs = pairs.filter((F.col("node_own") != F.col("node_head")) & _may_link(limit, "_own", "_head", places=True))
+        head.select("gram", *[F.col(f"p.{c}").alias(f"{c}_head") for c in ("node", "n", "at")]), "gram")
+    pairs = pairs.filter((F.col("node_own") != F.col("node_head")) & _places_allow(limit, "_own", "_head"))
+    pairs = pairs.select(F.col("node_own").alias("a"), F.col("node_head").alias("b")).distinct()
     # The head is the `b` of its pairs, so that its set is held once for all of them.
-    first = checker.links(pairs.select(F.col("node_own").alias("a"), F.col("node_head").alias("b")).distinct())
+    pairs = with_traits(with_traits(pairs, "a", "_a"), "b", "_b").filter(_may_link(limit, "_a", "_b"))
+    first = checker.links(pairs.select("a", "b"))
     links = known.unionByName(first)
 
     labels = components(links)
     part = F.coalesce("component", "node")
-    labelled = store(members.join(labels, "node", "left").withColumn("part", part).drop("component"), "labelled")
+    labelled = store(members.select("gram", "node").join(labels, "node", "left").select("gram", "node", part.alias("part")), "labelled")
     sizes = labelled.groupBy("gram", "part").agg(F.count("*").alias("c"))
     major = sizes.groupBy("gram").agg(F.max_by("part", F.struct("c", "part")).alias("major"),
                                       (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
     # The lists of a group of copies have the same largest component: they are one list from here
     # on, so that no pair is met, and no set sent, once for each n-gram that the copies share.
-    columns = ["node", "n", "s1", "s2", "part"]
-    merged = labelled.join(major.select("gram", "major"), "gram").select("major", *columns).distinct()
+    merged = labelled.join(major.select("gram", "major"), "gram").select("major", "node", "part").distinct()
     apart = merged.groupBy("major").agg(F.count_if(F.col("part") != F.col("major")).alias("outside"))
     marked = store(merged.join(apart, "major"), "marked")
-    short = marked.filter(F.col("outside") <= SHORT)
+    drop_path(labelled)
+    short = with_traits(marked.filter(F.col("outside") <= SHORT), "node", "")
+    columns = ["node", "n", "s1", "s2", "part"]
     outside = short.filter("part <> major").select("major", *[F.col(c).alias(f"{c}_a") for c in columns])
     others = short.select("major", *[F.col(c).alias(f"{c}_b") for c in columns])
     rest = outside.join(others, "major").filter(
@@ -340,6 +394,7 @@ def _list_links(lists: DataFrame, boundary: int, limit: Threshold, checker: _Che
         & _may_link(limit, "_a", "_b"))
     second = checker.links(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     long = checker.links_in_blocks(marked.filter(F.col("outside") > SHORT).select("major", "node"))
+    drop_path(marked)
     return links.unionByName(second).unionByName(long)
 
 
@@ -366,14 +421,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                     .select("doc_id", "node").distinct(), "members")
     moved = members.filter("doc_id <> node")
 
-    # Inverted lists of the rarest n-grams, those of two documents at least.
-    grams = usable.select("doc_id", "n", F.posexplode("first").alias("at", "gram")).filter(
+    # Inverted lists of the rarest n-grams, those of two documents at least. N-grams in no hot cell have short lists,
+    # so their rows travel once, to be counted and kept in one place; hot ones are counted first.
+    grams = usable.select("doc_id", "n", "cold", F.posexplode("first").alias("at", "gram")).filter(
         F.expr(f"at < n - ceil({limit.num} * n / {limit.den}) + 1"))
-    several = grams.groupBy("gram").count().filter("count > 1").select("gram")
-    lists = grams.join(several, "gram").join(moved, "doc_id", "left")
-    lists = lists.select("gram", F.coalesce("node", "doc_id").alias("node"), "n", "at").distinct()
-    sketches = usable.select(F.col("doc_id").alias("node"), "s1", "s2").dropDuplicates(["node"])
-    lists = store(lists.join(sketches, "node"), "lists")
+    columns = ["gram", "doc_id", F.expr("shiftleft(cast(n AS bigint), 32) | at").alias("place")]
+    cold = grams.filter("at < cold").select(*columns).repartition("gram")
+    cold = cold.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).filter("c > 1").drop("c")
+    hot = grams.filter("at >= cold").select(*columns)
+    several = hot.groupBy("gram").count().filter("count > 1").select("gram")
+    lists = cold.unionByName(hot.join(several, "gram")).join(moved, "doc_id", "left")
+    lists = lists.select("gram", F.coalesce("node", "doc_id").alias("node"), F.expr("cast(shiftright(place, 32) as int)").alias("n"),
+                         F.expr("cast(place & 4294967295 as int)").alias("at")).distinct()
+    lists = store(lists, "lists")
+    traits = usable.select(F.col("doc_id").alias("node"), "n", "s1", "s2").dropDuplicates(["node"])
+    wide = usable.select(F.col("doc_id").alias("node"), "wide").dropDuplicates(["node"])
 
     sizes = {r["n"]: r["c"] for r in usable.filter(F.col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     # How long the lists of small sets are, which enumeration would spare them.
@@ -383,8 +445,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     nodes = usable.join(moved, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
     small = store(_small_links(nodes, kind, boundary, limit), "small")
-    checker = _Checker(named, kind, words, limit)
-    links = _list_links(lists, boundary, limit, checker, small)
+    checker = _Checker(named, kind, words, limit, wide)
+    links = _list_links(lists, boundary, limit, checker, small, traits)
+    drop_path(lists)
     joined = components(links)
     result = (signatures.select("doc_id", "n").join(members, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
               .join(joined, "node", "left"))

@@ -282,3 +282,6 @@ def test_near_duplicate_stage_of_odd_rows(spark, folder):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([rows[1], *rows[3:]], key=str)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), folder).count() == 0
+    wide = docs.selectExpr("doc_id", "text", "1 AS __rows", "2 AS count", "3 AS row", "4 AS component_id", "5 AS node", "6 AS n")
+    got = corpus_pipeline.drop_near_duplicates(spark, wide, folder)
+    assert got.columns == wide.columns and got.count() == len(kept)
