@@ -36,10 +36,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one stays; rows without id have no group and stay."""
     groups = jaccard.jaccard_components(docs, words=WORDS_OF_NGRAM, numerator=SIMILARITY, denominator=100)
     heads = store(groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "heads")
-    kept = docs.join(heads, "doc_id").select(*[docs[c] for c in docs.columns], heads["count"].alias("__rows"))
-    once = kept.filter("__rows = 1").drop("__rows")
-    repeated = kept.filter("__rows > 1").drop("__rows").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col("doc_id").isNull()))
+    # Rows travel as one struct, so that no column of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.withColumn("doc_id", F.col("row.doc_id")).join(heads, "doc_id")
+    once = kept.filter("count = 1").select("row")
+    repeated = kept.filter("count > 1").dropDuplicates(["doc_id"]).select("row")
+    out = once.unionByName(repeated).unionByName(rows.filter("row.doc_id IS NULL"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
