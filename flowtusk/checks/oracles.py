@@ -82,6 +82,15 @@ def _hits(threshold: int = THRESHOLD, **options) -> str:
     return f"{_windows(**options)},\nhits AS (SELECT * FROM windows WHERE acc_bytes > {threshold})"
 
 
+def _crossings(threshold: int = THRESHOLD, slide: int = SLIDE, **options) -> str:
+    return f"""{_windows(slide=slide, **options)},
+running AS (
+  SELECT flow_id, ws, src_ip, dst_ip, pkt_id, ts_us,
+         sum(pkt_len) OVER (PARTITION BY flow_id, ws ORDER BY ts_us, pkt_id ROWS UNBOUNDED PRECEDING) AS acc FROM expanded)
+SELECT flow_id, ws AS window_start_us, ws + {LENGTH} AS window_end_us, src_ip, dst_ip, pkt_id, ts_us, CAST(acc AS BIGINT) AS acc_bytes
+FROM running WHERE acc > {threshold} QUALIFY row_number() OVER (PARTITION BY flow_id, ws ORDER BY ts_us, pkt_id) = 1"""
+
+
 _BASE = "flow_id, window_start_us, window_end_us, dst_ip, acc_bytes, ts_us"
 _BASE_SRC = "flow_id, window_start_us, window_end_us, src_ip, dst_ip, acc_bytes, ts_us"
 _FULL = _BASE_SRC + ", packets"
@@ -333,6 +342,14 @@ FROM sent, received""",
     "window_extra_aggregates": f"""{_windows()}, extra AS (
   SELECT flow_id, ws AS window_start_us, max(pkt_len) AS largest, count(DISTINCT dst_ip) AS hosts FROM expanded GROUP BY 1, 2)
 SELECT flow_id, window_start_us, acc_bytes, largest, hosts FROM windows JOIN extra USING (flow_id, window_start_us)""",
+    "window_extra_aggregates_last": f"""{_windows('destination', 'last', hosts=SPARSE_HOSTS)}, extra AS (
+  SELECT flow_id, ws AS window_start_us, max(pkt_len) AS largest, count(DISTINCT dst_ip) AS hosts, min(pkt_len) AS smallest,
+         CAST(sum(pkt_len - 38) AS BIGINT) AS payload, count(DISTINCT src_port) AS ports FROM expanded GROUP BY 1, 2)
+SELECT flow_id, window_start_us, src_ip, acc_bytes, packets, largest, hosts, smallest, payload, ports
+FROM windows JOIN extra USING (flow_id, window_start_us)""",
+    "t3_first_crossings": _crossings(),
+    "t3_first_crossings_sparse": _crossings(HIGH_THRESHOLD, 300_000, key="five_tuple_xor", hosts=SPARSE_HOSTS),
+    "t3_alert_crossings": _crossings(HIGH_THRESHOLD),
     "detect_stream": f"{_hits(HIGH_THRESHOLD)} SELECT {_FULL} FROM hits",
     "detect_count_window": f"{_flows()}, sums AS ({_COUNTED}) SELECT * FROM sums WHERE acc_bytes > 25000",
     "detect_objects31_sparse": f"{_hits(key='objects31', hosts=SPARSE_HOSTS)} SELECT {_BASE_SRC} FROM hits",

@@ -15,12 +15,13 @@ from flowtusk.functions import addresses, headers, keys
 from flowtusk.functions.keys import FlowKey
 from flowtusk.operators import metrics, reports, statistics
 from flowtusk.operators.count_windows import count_window_bytes
+from flowtusk.operators.crossings import first_crossings
 from flowtusk.operators.packets import (
     heavy_hitters, non_empty_window, reorder, select_emitted, tag_flow, tcp_only, with_sink,
 )
 from flowtusk.operators.windows import (
-    sliding_bytes, sliding_bytes_last, sliding_bytes_microbatch, sliding_bytes_reduce, sliding_bytes_window,
-    tumbling_bytes,
+    distinct, largest, sliding_bytes, sliding_bytes_last, sliding_bytes_microbatch, sliding_bytes_reduce, sliding_bytes_window,
+    smallest, total, tumbling_bytes,
 )
 from flowtusk.plans.detect import DetectionPlan, detect_heavy_flows
 from flowtusk.plans.storage import new_path
@@ -29,7 +30,7 @@ from flowtusk.sinks import files
 from flowtusk.sources.captures import packets_from_captures, read_packets_pcap, to_tuple_dataset
 from flowtusk.sources.events import read_event_packets, stream_event_packets
 from flowtusk.sources.replay import replay, with_ingress_time
-from flowtusk.sources.text import parse_packet_lines, read_packets_csv, rejected_lines, stream_packets_csv
+from flowtusk.sources.text import parse_packet_lines, read_packets_csv, rejected_lines, stream_packets_csv, stream_packets_parquet
 from flowtusk.streaming import counts as stream_counts
 from flowtusk.streaming import outputs
 from flowtusk.streaming.windows import finish, stream_pane_bytes, stream_sliding_bytes
@@ -45,6 +46,7 @@ SPARSE_HOSTS = 150
 SINKS = 4
 DELAY_US = 1_000_000
 PREVIEW = 100
+BATCHES = 4
 
 
 def query(f: Query) -> Query:
@@ -609,6 +611,17 @@ def _tcp_stream(spark: SparkSession, folder: str) -> DataFrame:
     return tcp_only(stream_event_packets(spark, folder))
 
 
+def _tcp_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The TCP packets as a stream of several micro-batches, one file each, in the order of time."""
+    path, packets = new_path(spark, "packet-files"), _tcp(spark, folder)
+    low, high = packets.agg(F.min("ts_us"), F.max("ts_us")).first()
+    for k in range(BATCHES):
+        # Files are taken in the order of their writing.
+        part = F.least(F.expr(f"(ts_us - {low}) * {BATCHES} div {high - low + 1}"), F.lit(BATCHES - 1))
+        packets.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return stream_packets_parquet(spark, path, max_files_per_trigger=1)
+
+
 def _written(spark: SparkSession, rows: DataFrame) -> DataFrame:
     out = new_path(spark, "stream")
     outputs.write_windows(rows, out).awaitTermination()
@@ -649,6 +662,23 @@ def t3_alert_early(spark, folder):
     return outputs.alerts(spark, out).select("flow_id", "window_start_us")
 
 
+@query
+def t3_first_crossings(spark, folder):
+    return first_crossings(_tcp(spark, folder))
+
+
+@query
+def t3_first_crossings_sparse(spark, folder):
+    return first_crossings(_tcp(spark, folder, SPARSE_HOSTS), HIGH_THRESHOLD, 2_000_000, 300_000, "five_tuple_xor")
+
+
+@query
+def t3_alert_crossings(spark, folder):
+    out = new_path(spark, "alerts")
+    outputs.alert_crossings(_tcp_batches(spark, folder), out, DELAY_US, HIGH_THRESHOLD).awaitTermination()
+    return outputs.alerts(spark, out)
+
+
 @query
 def t4_stream_count_window_bytes(spark, folder):
     sums = stream_counts.stream_count_window_bytes(tag_flow(_tcp_stream(spark, folder)), COUNT_WINDOW)
@@ -744,11 +774,21 @@ def k7_run_metrics(spark, folder):
 
 # --- further keys and parameters of the whole analysis -----------------------------------------
 
+_EXTRAS = {"largest": largest("pkt_len"), "hosts": distinct("dst_ip")}
+
+
 @query
 def window_extra_aggregates(spark, folder):
-    extra = [F.max("pkt_len").alias("largest"), F.count_distinct("dst_ip").alias("hosts")]
-    sums = sliding_bytes(_tcp(spark, folder), aggs=extra)
-    return sums.select("flow_id", "window_start_us", "acc_bytes", "largest", "hosts")
+    sums = sliding_bytes(_tcp(spark, folder), extras=_EXTRAS)
+    return sums.select("flow_id", "window_start_us", "acc_bytes", *_EXTRAS)
+
+
+@query
+def window_extra_aggregates_last(spark, folder):
+    """All kinds, the last packet carried, and a key that joins many address pairs."""
+    extras = {**_EXTRAS, "smallest": smallest("pkt_len"), "payload": total("ip_payload_len"), "ports": distinct("src_port")}
+    sums = sliding_bytes(_tcp(spark, folder, SPARSE_HOSTS), key=FlowKey(("dst_ip",), _to_host), carry="last", extras=extras)
+    return sums.select("flow_id", "window_start_us", "src_ip", "acc_bytes", "packets", *extras)
 
 
 @query

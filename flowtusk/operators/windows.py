@@ -10,11 +10,17 @@ The pane plan works in three steps:
    lie in two;
 3. inside its block, running sums over the sorted panes give all windows without a further
    shuffle, and without expanding panes to the windows they lie in.
+
+Further aggregates go the same way. Totals are running sums. Of a value that occurs in several panes
+of a window only the first counts: each occurrence stands for the window starts that no earlier one
+covers, so distinct values are running sums too, and exact. For extremes the starts are cut into stretches of one window
+length: a window lies in two of them at most, and its extreme is that of a suffix of one and a prefix of the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +35,43 @@ _WIDE = "20000000000000000000"  # larger than the range of a bigint
 RESULT = ["flow_id", "window_start_us", "window_end_us", "src_ip", "dst_ip", "acc_bytes", "ts_us", "packets"]
 
 
+@dataclass(frozen=True)
+class Extra:
+    """A further aggregate of the packets of a window: `kind` of `column`."""
+
+    kind: str
+    column: str
+
+    def direct(self) -> Column:
+        return {"total": F.sum, "largest": F.max, "smallest": F.min, "distinct": F.count_distinct}[self.kind](self.column)
+
+    @property
+    def is_extreme(self) -> bool:
+        return self.kind in ("largest", "smallest")
+
+    @property
+    def pick(self):
+        return F.max if self.kind == "largest" else F.min
+
+
+def total(column: str) -> Extra:
+    """Sum of a whole-number column."""
+    return Extra("total", column)
+
+
+def largest(column: str) -> Extra:
+    return Extra("largest", column)
+
+
+def smallest(column: str) -> Extra:
+    return Extra("smallest", column)
+
+
+def distinct(column: str) -> Extra:
+    """Number of different values, NULL not counted; exact."""
+    return Extra("distinct", column)
+
+
 def floor_to(value: Column, step: int) -> Column:
     """Largest multiple of `step` that is not above `value`."""
     return value - F.pmod(value, F.lit(step).cast("bigint"))
@@ -72,13 +115,14 @@ def _edge_of_pane(pane_us: int, carry: str, pkt_id_bound: int | None):
 
 
 def flow_panes(packets: DataFrame, pane_us: int, key: str | FlowKey = "poly17", carry: str = "first",
-               pkt_id_bound: int | None = None) -> DataFrame:
-    """Bytes, packets and carried packet per (key columns, pane), with the flow id."""
+               pkt_id_bound: int | None = None, extras: Mapping[str, Extra] | None = None) -> DataFrame:
+    """Bytes, packets, carried packet and partial `extras` per (key columns, pane), with the flow id."""
     spec = flow_key(key)
     extreme, _ = _edge(carry)
     keyed = packets.withColumn("ts_us", F.col("ts_us").cast("bigint"))
     keyed = keyed.withColumn("pane", floor_to(F.col("ts_us"), pane_us))
-    sums = [F.sum("pkt_len").cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("packets")]
+    sums = [F.sum("pkt_len").cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("packets"),
+            *[extra.direct().alias(name) for name, extra in _summed(extras).items()]]
     group = [*dict.fromkeys((*PAIR, *spec.inputs)), "pane"]
     if spec.determines_pair:
         panes = keyed.groupBy(*group).agg(*sums, extreme("ts_us").alias("edge_ts"))
@@ -89,53 +133,93 @@ def flow_panes(packets: DataFrame, pane_us: int, key: str | FlowKey = "poly17",
                  .agg(*sums, extreme("ts_us").alias("edge_ts"), extreme("edge").alias("edge"))
                  .withColumn("edge_pkt", pkt).withColumn("edge_ts", ts))
     return panes.select(
-        spec.column().alias("flow_id"), "src_ip", "dst_ip", "pane", "bytes", "packets", "edge_ts", "edge_pkt",
+        spec.column().alias("flow_id"), "src_ip", "dst_ip", "pane", "bytes", "packets", "edge_ts", "edge_pkt", *_summed(extras),
     )
 
 
-def _merge_pairs(sums: DataFrame, by: list[str], carry: str) -> DataFrame:
+def _summed(extras: Mapping[str, Extra] | None) -> dict[str, Extra]:
+    """Those extras that have one partial value per pane."""
+    return {name: extra for name, extra in (extras or {}).items() if extra.kind != "distinct"}
+
+
+def _values_of_panes(packets: DataFrame, pane_us: int, key: str | FlowKey, extras: Mapping[str, Extra]) -> DataFrame | None:
+    """The different values of the distinct extras per flow and pane: flow_id, pane, what, value."""
+    spec, found = flow_key(key), None
+    for name, extra in extras.items():
+        if extra.kind == "distinct":
+            pane = floor_to(F.col("ts_us").cast("bigint"), pane_us)
+            rows = packets.filter(F.col(extra.column).isNotNull()).groupBy(
+                *dict.fromkeys((*PAIR, *spec.inputs)), pane.alias("pane"), F.col(extra.column).cast("string").alias("__value")).agg(
+                F.lit(1).alias("one"))
+            rows = rows.select(spec.column().alias("flow_id"), "pane", F.lit(name).alias("what"), F.col("__value").alias("value"))
+            found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _merge_pairs(sums: DataFrame, by: list[str], carry: str, extras: Mapping[str, Extra] | None = None) -> DataFrame:
     """Merge address pairs that share a flow id; the carried packet gives the addresses."""
     extreme, at_extreme = _edge(carry)
     edge = F.struct("edge_ts", "edge_pkt")
     return (sums.groupBy(*by)
             .agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"),
                  extreme("edge_ts").alias("edge_ts"),
-                 at_extreme(F.struct("src_ip", "dst_ip"), edge).alias("pair"))
-            .select(*by, "pair.src_ip", "pair.dst_ip", "bytes", "packets", "edge_ts"))
+                 at_extreme(F.struct("src_ip", "dst_ip"), edge).alias("pair"),
+                 *[(extra.pick if extra.is_extreme else F.sum)(name).alias(name) for name, extra in _summed(extras).items()])
+            .select(*by, "pair.src_ip", "pair.dst_ip", "bytes", "packets", "edge_ts", *_summed(extras)))
 
 
-def _panes_of_flows(packets: DataFrame, pane_us: int, key: str | FlowKey, carry: str, pkt_id_bound) -> DataFrame:
+def _panes_of_flows(packets: DataFrame, pane_us: int, key: str | FlowKey, carry: str, pkt_id_bound,
+                    extras: Mapping[str, Extra] | None = None) -> DataFrame:
     """Panes with few rows per flow each: where a key joins many address pairs, they are merged
     before blocks are formed, with partial sums, so a block's size is bounded whatever the key."""
     spec = flow_key(key)
-    panes = flow_panes(packets, pane_us, spec, carry, pkt_id_bound)
+    panes = flow_panes(packets, pane_us, spec, carry, pkt_id_bound, extras)
     if spec.few_pairs or spec.determines_pair:
         return panes
-    return _merge_pairs(panes, ["flow_id", "pane"], carry).withColumn("edge_pkt", F.lit(0).cast("bigint"))
+    return _merge_pairs(panes, ["flow_id", "pane"], carry, extras).withColumn("edge_pkt", F.lit(0).cast("bigint"))
 
 
-def _as_result(merged: DataFrame, start: str, length_us: int) -> DataFrame:
+def _as_result(merged: DataFrame, start: str, length_us: int, extras: Sequence[str] = ()) -> DataFrame:
     return merged.select(
         "flow_id", F.col(start).alias("window_start_us"),
         (F.col(start) + F.lit(length_us).cast("bigint")).alias("window_end_us"),
-        "src_ip", "dst_ip", F.col("bytes").alias("acc_bytes"), F.col("edge_ts").alias("ts_us"), "packets",
+        "src_ip", "dst_ip", F.col("bytes").alias("acc_bytes"), F.col("edge_ts").alias("ts_us"), "packets", *extras,
     )
 
 
+def _first_occurrences(rows: DataFrame, forwards: bool) -> DataFrame:
+    """Shorten the span of each value to the starts that no occurrence before it in the sweep covers."""
+    order = [F.col(c).asc() if forwards else F.col(c).desc() for c in ("enter", "leave")]
+    before = F.lag("leave").over(Window.partitionBy("flow_id", "block", "what", "value").orderBy(*order))
+    enter = (F.greatest if forwards else F.least)(F.col("enter"), before)
+    rows = rows.withColumn("enter", F.when(F.col("what").isNull(), F.col("enter")).otherwise(enter))
+    return rows.filter(F.col("enter") < F.col("leave") if forwards else F.col("enter") > F.col("leave"))
+
+
 def windows_of_panes(panes: DataFrame, length_us: int, slide_us: int, carry: str = "first",
-                     windows_per_block: int | None = None) -> DataFrame:
+                     windows_per_block: int | None = None, extras: Mapping[str, Extra] | None = None,
+                     values: DataFrame | None = None) -> DataFrame:
     """Steps 2 and 3 of the pane plan.
 
     Within a block the window starts are swept in one direction: a pane is added at the first
     start it counts for and taken off after the last. Between two such events all windows have
     the same sum, so each non-empty window is produced once. Sweeping backwards for
     `carry="first"`, and forwards for "last", the pane added last holds the carried packet.
+    `values` has the values of distinct extras per flow and pane.
     """
     _edge(carry)
+    extras = dict(extras or {})
+    extremes = {name: extra for name, extra in extras.items() if extra.is_extreme}
     # At least four window lengths per block, so that few panes lie in two blocks.
     windows_per_block = windows_per_block or max(MIN_WINDOWS_PER_BLOCK, 4 * -(-length_us // slide_us))
+    if extremes:  # blocks of whole stretches
+        stretch = length_us // slide_us
+        windows_per_block = -(-windows_per_block // stretch) * stretch
     block_us = slide_us * windows_per_block
     pane = F.col("pane")
+    if values is not None:
+        panes = panes.withColumns({"what": F.lit(None).cast("string"), "value": F.lit(None).cast("string")})
+        panes = panes.unionByName(values, allowMissingColumns=True)
     spans = panes.withColumns({
         "low": floor_to(pane - F.lit(length_us).cast("bigint"), slide_us) + F.lit(slide_us),
         "high": floor_to(pane, slide_us),
@@ -149,25 +233,51 @@ def windows_of_panes(panes: DataFrame, length_us: int, slide_us: int, carry: str
     forwards = carry == "last"
     step = slide_us if forwards else -slide_us
     enter, leave = (low, high + F.lit(slide_us)) if forwards else (high, low - F.lit(slide_us))
+    # A pane whose sweep begins in another block counts towards that block's stretches.
+    begins = low == F.col("low") if forwards else high == F.col("high")
+    summed = _summed(extras)
     swept = blocks.select("flow_id", "block", "src_ip", "dst_ip", "bytes", "packets", "edge_ts", "edge_pkt",
+                          *(["what", "value"] if values is not None else []), *summed, begins.alias("begins"),
                           enter.alias("enter"), leave.alias("leave")).repartition("flow_id", "block")
-    entering = F.col("sign") == 1
+    if values is not None:
+        swept = _first_occurrences(swept, forwards)
+    entering, sign = F.col("sign") == 1, F.col("sign")
+    change = [(sign * F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("bytes", "packets")]
+    for name, extra in extras.items():
+        if extra.kind == "distinct":
+            change.append(F.when(F.col("what") == name, sign).otherwise(0).cast("bigint").alias(name))
+        elif extra.kind == "total":
+            change.append((sign * F.coalesce(F.col(name), F.lit(0))).alias(name))
+        else:
+            change += [F.when(entering & F.col("begins"), F.col(name)).alias(f"{name}__up"), F.when(~entering, F.col(name)).alias(f"{name}__down")]
+    is_pane = F.col("packets").isNotNull()
     events = swept.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).select(
-        "flow_id", "block", F.when(entering, F.col("enter")).otherwise(F.col("leave")).alias("start"),
-        (F.col("sign") * F.col("bytes")).alias("bytes"), (F.col("sign") * F.col("packets")).alias("packets"),
-        "edge_ts", "edge_pkt", F.when(entering, F.struct("src_ip", "dst_ip", "edge_ts")).alias("edge"))
+        "flow_id", "block", F.when(entering, F.col("enter")).otherwise(F.col("leave")).alias("start"), *change,
+        "edge_ts", "edge_pkt", F.when(entering & is_pane, F.struct("src_ip", "dst_ip", "edge_ts")).alias("edge"))
     order = [F.col(c).asc() if forwards else F.col(c).desc() for c in ("start", "edge_ts", "edge_pkt")]
     sweep = Window.partitionBy("flow_id", "block").orderBy(*order)
     so_far = sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = [F.sum(name).over(so_far).alias(name) for name, extra in extras.items() if not extra.is_extreme]
+    if extremes:
+        # Windows begin at `at`, turned so that the sweep runs downwards; panes of a window lie in its own
+        # stretch from `at` on, or have left the stretch above by less than `at`.
+        events = events.withColumn("at", -F.col("start") - F.lit(slide_us) if forwards else F.col("start"))
+        within = Window.partitionBy("flow_id", "block", floor_to(F.col("at"), length_us))
+        suffix = within.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        prefix = within.orderBy(F.asc("at")).rangeBetween(Window.unboundedPreceding, -1)
+        events = events.withColumns({f"{name}__{side}": extra.pick(f"{name}__{side}").over(frame) for name, extra in extremes.items()
+                                     for side, frame in (("up", suffix), ("down", prefix))})
+        counted += [(F.greatest if extra.kind == "largest" else F.least)(f"{name}__up", f"{name}__down").alias(name)
+                    for name, extra in extremes.items()]
     held = events.select(
         "flow_id", "start", F.lead("start").over(sweep).alias("next"),
         F.sum("bytes").over(so_far).alias("bytes"), F.sum("packets").over(so_far).alias("packets"),
-        F.last("edge", ignorenulls=True).over(so_far).alias("edge"),
+        F.last("edge", ignorenulls=True).over(so_far).alias("edge"), *counted,
     ).filter((F.col("packets") > 0) & (F.col("next") != F.col("start")))
     return _as_result(held.select(
-        "flow_id", "bytes", "packets", "edge.*",
+        "flow_id", "bytes", "packets", "edge.*", *extras,
         F.explode(F.sequence(F.col("start"), F.col("next") - F.lit(step), F.lit(step).cast("bigint"))).alias("at"),
-    ), "at", length_us)
+    ), "at", length_us, list(extras))
 
 
 def _tumbling(packets: DataFrame, length_us: int, key, carry: str, pkt_id_bound) -> DataFrame:
@@ -195,22 +305,29 @@ def _direct(packets: DataFrame, length_us: int, slide_us: int, key, carry: str,
 
 def sliding_bytes(packets: DataFrame, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,
                   key: str | FlowKey = "poly17", carry: str = "first", plan: str = "panes",
-                  pkt_id_bound: int | None = None, aggs: Sequence[Column] = ()) -> DataFrame:
+                  pkt_id_bound: int | None = None, aggs: Sequence[Column] = (),
+                  extras: Mapping[str, Extra] | None = None) -> DataFrame:
     """Bytes per flow and window, with the addresses and time of the first or last packet.
 
     Packets need `pkt_id, ts_us, src_ip, dst_ip, pkt_len` and the key's columns. Ties in time
-    are ordered by `pkt_id`. `plan="direct"` uses the built-in window function instead, and so
-    do further aggregates of the packets in a window, `aggs`, which panes cannot hold in general.
+    are ordered by `pkt_id`. `extras` names further aggregates (`total`, `largest`, `smallest`,
+    `distinct`), which panes hold; extremes need a length that is a multiple of the slide, else the built-in
+    window function is used. So it is for `plan="direct"` and for any other aggregates of
+    the packets in a window, `aggs`, which panes cannot hold in general.
     """
     _check(length_us, slide_us)
-    if plan == "direct" or aggs:
-        return _direct(packets, length_us, slide_us, key, carry, aggs)
+    extras = dict(extras or {})
+    uneven = length_us % slide_us and any(extra.is_extreme for extra in extras.values())
+    if plan == "direct" or aggs or uneven:
+        return _direct(packets, length_us, slide_us, key, carry, [*aggs, *[e.direct().alias(n) for n, e in extras.items()]])
     if plan != "panes":
         raise ValueError("plan must be 'panes' or 'direct'")
-    if length_us == slide_us:
+    if length_us == slide_us and not extras:
         return _tumbling(packets, length_us, key, carry, pkt_id_bound)
-    panes = _panes_of_flows(packets, gcd(length_us, slide_us), key, carry, pkt_id_bound)
-    return windows_of_panes(panes, length_us, slide_us, carry)
+    pane_us = gcd(length_us, slide_us)
+    panes = _panes_of_flows(packets, pane_us, key, carry, pkt_id_bound, extras)
+    return windows_of_panes(panes, length_us, slide_us, carry, extras=extras,
+                            values=_values_of_panes(packets, pane_us, key, extras))
 
 
 def sliding_bytes_reduce(packets: DataFrame, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowtusk.functions.keys import FlowKey, flow_key
+from flowtusk.operators.crossings import first_crossings
 from flowtusk.operators.packets import heavy_hitters
 from flowtusk.operators.reports import flow_peaks, merge_sink_peaks
 from flowtusk.plans.storage import delete_path
-from flowtusk.schema import THRESHOLD_BYTES
+from flowtusk.schema import SLIDE_US, THRESHOLD_BYTES, WINDOW_US
 
 # The default micro-batch interval; pass as `trigger=`.
 EVERY_BATCH = {"processingTime": "100 milliseconds"}
@@ -79,6 +81,53 @@ def alert_early(windows: DataFrame, folder: str, delay_us: int, threshold: int =
     return _start(windows, "update", process, folder, trigger)
 
 
+def alert_crossings(packets: DataFrame, folder: str, delay_us: int, threshold: int = THRESHOLD_BYTES, length_us: int = WINDOW_US,
+                    slide_us: int = SLIDE_US, key: str | FlowKey = "poly17", trigger: dict | None = None) -> StreamingQuery:
+    """Report each (flow, window) with the packet at which it first exceeds the threshold, in the micro-batch that
+    brings it, to `<folder>/alerts`.
+
+    `packets` is a stream of packets. Those of windows that can still change are kept between batches, with
+    the windows reported; a packet more than `delay_us` older than the newest one before its batch is dropped.
+    Of windows in which packets arrived out of order the crossing is that in the order of time of all
+    packets there by then. With `length_us` windows this equals `operators.crossings.first_crossings`
+    for input in the order of time.
+    """
+    keys, columns = ["flow_id", "window_start_us", "window_end_us"], ["pkt_id", "ts_us", "src_ip", "dst_ip", "pkt_len"]
+    columns = list(dict.fromkeys([*columns, *flow_key(key).inputs]))
+
+    def path(kind: str, batch_id: int) -> str:
+        return f"{folder}/{kind}/batch_id={batch_id}"
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows, horizon, seen = batch.select(*columns), None, None
+        if batch_id > 0:
+            kept, seen = (spark.read.parquet(path(kind, batch_id - 1)) for kind in ("open", "seen"))
+            newest = kept.agg(F.max("ts_us")).first()[0]
+            if newest is not None:
+                horizon = newest - delay_us
+                rows = rows.filter(F.col("ts_us") >= horizon)
+            rows = kept.unionByName(rows)
+        rows = rows.persist()
+        found = first_crossings(rows, threshold, length_us, slide_us, key)
+        if horizon is not None:
+            found = found.filter(F.col("window_end_us") > horizon)
+        if seen is not None:
+            found = found.join(seen, keys, "left_anti")
+        found.write.mode("overwrite").parquet(path("alerts", batch_id))
+        newest = rows.agg(F.max("ts_us")).first()[0]
+        closed = F.lit(0 if newest is None else newest - delay_us)
+        rows.filter(F.col("ts_us") >= closed - length_us).write.mode("overwrite").parquet(path("open", batch_id))
+        reported = spark.read.schema(found.schema).parquet(path("alerts", batch_id)).select(*keys)
+        reported = reported if seen is None else seen.unionByName(reported)
+        reported.filter(F.col("window_end_us") > closed).write.mode("overwrite").parquet(path("seen", batch_id))
+        for kind in ("open", "seen"):
+            delete_path(spark, path(kind, batch_id - 2))
+        rows.unpersist()
+
+    return _start(packets, "append", process, folder, trigger)
+
+
 def alerts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/alerts").drop("batch_id")
 
