@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtusk.functions.addresses import _col
-from flowtusk.plans.ordering import with_running_total
+from flowtusk.plans.ordering import with_global_position, with_running_total
 from flowtusk.plans.storage import store
 
 
@@ -181,27 +181,44 @@ def pearson_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None =
     return _matrix(df, list(product(xs, ys or xs)), _corr)
 
 
-def spearman_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None) -> DataFrame:
-    """Rank correlations of the rows that have all columns.
+def column_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`columns` of the rows that have all of them, each replaced by its rank from 0, ties averaged.
 
-    Each column is ranked once, on its distinct values; all pairs are then one aggregation over
-    the rows with their ranks. Runs one job per column.
+    All columns are stacked and sorted at once: two shuffles whatever their number. Of equal values the
+    places ascend by row in one half of the sort and descend in the other; the mean of both is the
+    average rank, so equal values need not meet and may be split over tasks. Runs two jobs.
     """
+    rows = store(df.select(*columns).dropna().withColumn("__at", F.monotonically_increasing_id()), "complete")
+    count = rows.count()
+    stacked = rows.select("__at", F.posexplode(F.array(*columns)).alias("__which", "__value"))
+    both = stacked.select("__which", "__value", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("__at").alias("turn")),
+                                                                 F.struct(F.lit(1).alias("half"), (-F.col("__at")).alias("turn")))).alias("e"))
+    placed = with_global_position(both.select("e.*", "__which", "__value"), ["half", "__which", "__value", "turn"])
+    # Every column has as many places, so its first one is known.
+    own = (F.col("position") - (F.col("half") * len(columns) + F.col("__which")) * F.lit(count)) / 2.0
+    return placed.groupBy(F.abs("turn").alias("__at")).agg(
+        *[F.sum(F.when(F.col("__which") == at, own)).alias(c) for at, c in enumerate(columns)]).drop("__at")
+
+
+def spearman_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None) -> DataFrame:
+    """Rank correlations of the rows that have all columns: one aggregation over the rows' ranks."""
     columns = list(dict.fromkeys([*xs, *(ys or xs)]))
-    rows = store(df.select(*columns).dropna(), "complete")
-    ranked = rows
-    for c in columns:
-        ranked = ranked.join(average_ranks(rows, c).withColumnRenamed("rank", f"__rank_{c}"), c)
-    ranks = ranked.select(*[F.col(f"__rank_{c}").alias(c) for c in columns])
-    return _matrix(ranks, list(product(xs, ys or xs)), _corr)
+    return _matrix(column_ranks(df, columns), list(product(xs, ys or xs)), _corr)
+
+
+def _places(values: Column, sign: int) -> Column:
+    """Each element's place when sorted by value, equal ones by their index times `sign`."""
+    sorted_ = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), (i * sign).alias("i"))))
+    back = F.sort_array(F.transform(sorted_, lambda e, k: F.struct((e["i"] * sign).alias("i"), k.alias("k"))))
+    return F.transform(back, lambda e: e["k"])
 
 
 def _row_ranks(values: Column) -> Column:
-    def rank(x):
-        below = F.size(F.filter(values, lambda y: y < x))
-        ties = F.size(F.filter(values, lambda y: y == x))
-        return F.when(x.isNotNull(), below + (ties - 1) / 2.0)
-    return F.transform(values, rank)
+    """Average ranks of an array's elements, from 0; NULL has none and does not count. Sorting twice, with equal
+    values in opposite orders, gives places whose mean is the average rank: n log n, without a lookup."""
+    missing = F.size(F.filter(values, lambda v: v.isNull()))  # they sort first
+    mean = F.zip_with(_places(values, 1), _places(values, -1), lambda a, b: (a + b) / 2.0)
+    return F.zip_with(values, mean, lambda v, m: F.when(v.isNotNull(), m - missing))
 
 
 def _middle(values: Column) -> Column:
@@ -226,5 +243,5 @@ def rank_array(df: DataFrame, column: str, centered: bool = False) -> DataFrame:
     """The same for a row of features held in one array column."""
     ranks = _row_ranks(F.col(column))
     if centered:
-        ranks = F.transform(ranks, lambda r: r - _middle(F.col(column)))
+        ranks = F.zip_with(ranks, F.array_repeat(_middle(F.col(column)), F.size(column)), lambda r, middle: r - middle)
     return df.withColumn(column, ranks)
