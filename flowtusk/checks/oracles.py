@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowtusk.checks.queries import COUNT_WINDOW, HIGH_THRESHOLD, LONG_COUNT_WINDOW, PREVIEW, SINKS, SPARSE_HOSTS
+from flowtusk.checks.queries import BATCHES, COUNT_WINDOW, HIGH_THRESHOLD, LONG_COUNT_WINDOW, PREVIEW, SINKS, SPARSE_HOSTS
 
 LENGTH, SLIDE, THRESHOLD = 2_000_000, 100_000, 1500
 
@@ -231,6 +231,11 @@ FROM lengths WHERE protocol = 6 AND pkt_id % 11 <> 0"""),
 span AS (SELECT max(ts_us) - min(ts_us) + 1 AS span FROM tcp)
 SELECT pkt_id, CAST(g AS INTEGER) AS gen, CAST(r AS INTEGER) AS replica, ts_us + g * span AS ts_us, pkt_len
 FROM tcp, span, range(3) a(g), range(2) b(r)""",
+    "s5_replay_stream": f"""WITH {_packets()}, tcp AS (SELECT * FROM packets WHERE protocol = 6),
+span AS (SELECT max(ts_us) - min(ts_us) + 1 AS span FROM tcp)
+SELECT pkt_id, g AS gen, ts_us + g * span AS ts_us, pkt_len FROM tcp, span, range(3) a(g)""",
+    "s2_stream_ids": f"""WITH {_packets()} SELECT protocol, count(*) AS lines, count(*) AS ids, true AS in_order
+FROM packets GROUP BY protocol""",
     "s6_with_ingress_time": "SELECT event_id AS pkt_id, true AS stamped FROM events",
     "events_as_packets": _source(f"SELECT pkt_id, {_ALL} FROM lengths"),
     "p1_reorder": _source("SELECT ts_us, src_ip, dst_ip, src_port, dst_port, protocol, pkt_len FROM packets"),
@@ -347,11 +352,20 @@ SELECT flow_id, window_start_us, acc_bytes, largest, hosts FROM windows JOIN ext
          CAST(sum(pkt_len - 38) AS BIGINT) AS payload, count(DISTINCT src_port) AS ports FROM expanded GROUP BY 1, 2)
 SELECT flow_id, window_start_us, src_ip, acc_bytes, packets, largest, hosts, smallest, payload, ports
 FROM windows JOIN extra USING (flow_id, window_start_us)""",
+    "s6_ingress_windows": f"""{_flows()} SELECT flow_id, CAST(sum(pkt_len) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS windows_that_differ
+FROM flows GROUP BY flow_id""",
+    "t8_live_latency_stats": f"""{_flows()}, tagged AS (
+  SELECT CAST(((flow_id % {SINKS}) + {SINKS}) % {SINKS} AS INTEGER) AS sink_id, pkt_len / 8.0 AS ms FROM flows)
+SELECT sink_id, count(*) AS samples, round(avg(ms), 6) AS mean_ms, CAST(min(ms) AS DOUBLE) AS min_ms, CAST(max(ms) AS DOUBLE) AS max_ms,
+  true AS percentiles_within_bound FROM tagged GROUP BY sink_id""",
+    "k7_live_run_metrics": f"""{_windows()} SELECT count(*) AS processed, CAST(count_if(acc_bytes > {THRESHOLD}) AS BIGINT) AS detected,
+  (SELECT count(*) FROM flows) AS packets, CAST({BATCHES} AS BIGINT) AS batches FROM windows""",
     "t3_first_crossings": _crossings(),
     "t3_first_crossings_sparse": _crossings(HIGH_THRESHOLD, 300_000, key="five_tuple_xor", hosts=SPARSE_HOSTS),
     "t3_alert_crossings": _crossings(HIGH_THRESHOLD),
     "detect_stream": f"{_hits(HIGH_THRESHOLD)} SELECT {_FULL} FROM hits",
-    "detect_count_window": f"{_flows()}, sums AS ({_COUNTED}) SELECT * FROM sums WHERE acc_bytes > 25000",
+    **dict.fromkeys(["detect_count_window", "detect_stream_count_window"],
+                    f"{_flows()}, sums AS ({_COUNTED}) SELECT * FROM sums WHERE acc_bytes > 25000"),
     "detect_objects31_sparse": f"{_hits(key='objects31', hosts=SPARSE_HOSTS)} SELECT {_BASE_SRC} FROM hits",
     "hits_by_sink": f"""{_hits()} SELECT CAST(((flow_id % {SINKS}) + {SINKS}) % {SINKS} AS INTEGER) AS sink_id, count(*) AS hits,
   CAST(sum(acc_bytes) AS BIGINT) AS bytes FROM hits GROUP BY 1""",

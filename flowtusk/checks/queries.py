@@ -6,7 +6,10 @@ Computed floating-point results are rounded, so that summation order does not sh
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +28,15 @@ from flowtusk.operators.windows import (
 )
 from flowtusk.plans.detect import DetectionPlan, detect_heavy_flows
 from flowtusk.plans.storage import new_path
-from flowtusk.schema import PACKET_COLUMNS
+from flowtusk.schema import PACKET_COLUMNS, THRESHOLD_BYTES
 from flowtusk.sinks import files
 from flowtusk.sources.captures import packets_from_captures, read_packets_pcap, to_tuple_dataset
 from flowtusk.sources.events import read_event_packets, stream_event_packets
-from flowtusk.sources.replay import replay, with_ingress_time
+from flowtusk.sources.replay import replay, replay_stream, with_ingress_time
 from flowtusk.sources.text import parse_packet_lines, read_packets_csv, rejected_lines, stream_packets_csv, stream_packets_parquet
+from flowtusk.streaming import clock, outputs
 from flowtusk.streaming import counts as stream_counts
-from flowtusk.streaming import outputs
+from flowtusk.streaming.totals import RunTotals
 from flowtusk.streaming.windows import finish, stream_pane_bytes, stream_sliding_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,12 +200,53 @@ def s5_replay(spark, folder):
     return replay(_tcp(spark, folder), 3, 2).select("pkt_id", "gen", "replica", "ts_us", "pkt_len")
 
 
+@query
+def s5_replay_stream(spark, folder):
+    packets, out = _tcp(spark, folder), new_path(spark, "replay")
+    count = packets.count()
+    turns = replay_stream(packets, rows_per_batch=count * 2 // 3 + 1, generations=3)
+    query_ = outputs.write_windows(turns.select("pkt_id", "gen", "ts_us", "pkt_len"), out, trigger={"processingTime": "0 seconds"})
+    while sum(progress["numInputRows"] for progress in query_.recentProgress) < 3 * count and query_.isActive:
+        time.sleep(0.2)
+    query_.stop()
+    return spark.read.parquet(f"{out}/windows")
+
+
+@query
+def s2_stream_ids(spark, folder):
+    """Ids of streamed lines that are all alike but for the protocol: distinct, and growing with the line."""
+    path, out = new_path(spark, "packet-lines"), new_path(spark, "packet-stream")
+    line = F.concat(F.lit("7,10.0.0.1,10.0.0.2,"), F.col("protocol"), F.lit(",60,1,2,3,4,5,6,7,8,9,10,0"))
+    lines = read_event_packets(spark, folder).select(line.alias("value"), F.col("protocol"))
+    lines.repartitionByRange(3, "protocol").sortWithinPartitions("protocol").select("value").write.text(path)
+    outputs.write_windows(stream_packets_csv(spark, path).select("pkt_id", "protocol"), out).awaitTermination()
+    found = spark.read.parquet(f"{out}/windows").groupBy("protocol").agg(
+        F.count("*").alias("lines"), F.count_distinct("pkt_id").alias("ids"), F.min("pkt_id").alias("low"), F.max("pkt_id").alias("high"))
+    # Equal lines lie behind one another in one file, so their numbers have no gap.
+    return found.select("protocol", "lines", "ids", (F.col("high") - F.col("low") == F.col("lines") - 1).alias("in_order"))
+
+
 @query
 def s6_with_ingress_time(spark, folder):
     stamped = with_ingress_time(read_event_packets(spark, folder))
     return stamped.select("pkt_id", (F.col("ingress_us") > F.col("ts_us")).alias("stamped"))
 
 
+@query
+def s6_ingress_windows(spark, folder):
+    """Windows in arrival time: which packets meet depends on the run, what each flow sums up to does not."""
+    out = new_path(spark, "ingress")
+    plan = DetectionPlan(clock="ingress", length_us=1_000_000, slide_us=1_000_000, threshold=0)
+    plan.run_stream(_tcp_batches(spark, folder), out).awaitTermination()
+    stamped = clock.arrivals(spark, out)
+    found = plan.stream_hits(spark, out).drop("packets").withColumn("part", F.lit("emitted"))
+    whole = tumbling_bytes(stamped, plan.length_us)
+    # Emitted windows are those of the stored stamps; the newest are still open.
+    same = found.drop("part").join(whole, ["flow_id", "window_start_us", "window_end_us", "acc_bytes"], "left_anti")
+    sums = whole.groupBy("flow_id").agg(F.sum("acc_bytes").alias("bytes"))
+    return sums.withColumn("windows_that_differ", same.agg(F.count("*").alias("n")).scalar())
+
+
 @query
 def events_as_packets(spark, folder):
     return read_event_packets(spark, folder).select("pkt_id", *PACKET_COLUMNS)
@@ -658,7 +703,7 @@ def t6_micro_batches(spark, folder):
 @query
 def t3_alert_early(spark, folder):
     out = new_path(spark, "alerts")
-    outputs.alert_early(stream_sliding_bytes(_tcp_stream(spark, folder)), out, DELAY_US).awaitTermination()
+    outputs.alert_early(stream_sliding_bytes(_tcp_batches(spark, folder)), out, DELAY_US).awaitTermination()
     return outputs.alerts(spark, out).select("flow_id", "window_start_us")
 
 
@@ -681,21 +726,21 @@ def t3_alert_crossings(spark, folder):
 
 @query
 def t4_stream_count_window_bytes(spark, folder):
-    sums = stream_counts.stream_count_window_bytes(tag_flow(_tcp_stream(spark, folder)), COUNT_WINDOW)
+    sums = stream_counts.stream_count_window_bytes(tag_flow(_tcp_batches(spark, folder)), COUNT_WINDOW)
     return _written(spark, sums)
 
 
 @query
 def t4_count_window_batches(spark, folder):
     out = new_path(spark, "counts")
-    stream_counts.count_window_batches(tag_flow(_tcp_stream(spark, folder)), COUNT_WINDOW, out).awaitTermination()
+    stream_counts.count_window_batches(tag_flow(_tcp_batches(spark, folder)), COUNT_WINDOW, out).awaitTermination()
     return stream_counts.count_window_results(spark, out)
 
 
 @query
 def t5_keep_flow_peaks(spark, folder):
     out = new_path(spark, "peaks")
-    hits = heavy_hitters(stream_sliding_bytes(_tcp_stream(spark, folder)))
+    hits = heavy_hitters(stream_sliding_bytes(_tcp_batches(spark, folder)))
     open_ = finish(outputs.keep_flow_peaks(hits, out), _tcp(spark, folder))
     peaks = outputs.current_peaks(spark, out).unionByName(reports.flow_peaks(heavy_hitters(open_)))
     return reports.merge_sink_peaks(peaks)
@@ -704,7 +749,7 @@ def t5_keep_flow_peaks(spark, folder):
 @query
 def t7_result_sets(spark, folder):
     out = new_path(spark, "result-sets")
-    hits = heavy_hitters(stream_sliding_bytes(_tcp_stream(spark, folder)))
+    hits = heavy_hitters(stream_sliding_bytes(_tcp_batches(spark, folder)))
     open_ = finish(outputs.write_result_sets(hits, out), _tcp(spark, folder))
     return spark.read.parquet(f"{out}/results").drop("batch_id").unionByName(heavy_hitters(open_))
 
@@ -716,6 +761,37 @@ def t8_stream_latency(spark, folder):
     return metrics.with_latency(whole).select("flow_id", "window_end_us", "latency_ms")
 
 
+@query
+def t8_live_latency_stats(spark, folder):
+    """Exact statistics, and whether the percentiles of the merged sketches keep their bound."""
+    out, ms = new_path(spark, "latency"), F.col("pkt_len") / 8.0
+    tagged = tag_flow(_tcp_batches(spark, folder))
+    outputs.write_latency_stats(tagged, out, SINKS, latency=ms).awaitTermination()
+    stats = outputs.live_latency_stats(spark, out)
+    values = tag_flow(_tcp(spark, folder)).select(F.expr(f"cast(pmod(flow_id, {SINKS}) as int)").alias("sink_id"), ms.alias("ms"))
+    joined = values.join(F.broadcast(stats), "sink_id")
+    ranks = [(p, F.count_if(F.col("ms") < F.col(f"p{p}_ms")) / F.count("*"), F.count_if(F.col("ms") <= F.col(f"p{p}_ms")) / F.count("*"))
+             for p in (5, 25, 50, 75, 95)]
+    near = [(below <= p / 100 + outputs.RANK_ERROR) & (upto >= p / 100 - outputs.RANK_ERROR) for p, below, upto in ranks]
+    checked = joined.groupBy("sink_id").agg(reduce(and_, near).alias("percentiles_within_bound"))
+    return _rounded(stats.select("sink_id", "samples", "mean_ms", "min_ms", "max_ms"), "mean_ms").join(checked, "sink_id")
+
+
+@query
+def k7_live_run_metrics(spark, folder):
+    """Totals of a whole run by its listener, and the windows that the stream left open."""
+    out = new_path(spark, "run")
+    with RunTotals(spark) as run:
+        windows = stream_sliding_bytes(_tcp_batches(spark, folder)).observe(
+            "windows", F.count("*").alias("processed"), F.count_if(F.col("acc_bytes") > THRESHOLD_BYTES).alias("detected"))
+        query_ = outputs.write_result_sets(heavy_hitters(windows), out)
+        totals = run.wait(query_).totals(query_)
+        open_ = metrics.detector_counts(finish(query_, _tcp(spark, folder)))
+    counted = open_.select((F.col("processed") + totals["processed"]).alias("processed"),
+                           (F.col("detected") + totals["detected"]).alias("detected"))
+    return counted.select("*", F.lit(totals["rows"]).cast("bigint").alias("packets"), F.lit(totals["batches"]).cast("bigint").alias("batches"))
+
+
 # --- sinks ------------------------------------------------------------------------------------
 
 def _csv_lines(spark: SparkSession, folder: str, dotted: bool) -> DataFrame:
@@ -794,11 +870,18 @@ def window_extra_aggregates_last(spark, folder):
 @query
 def detect_stream(spark, folder):
     plan, out = DetectionPlan(threshold=HIGH_THRESHOLD), new_path(spark, "stream")
-    query_ = outputs.write_windows(plan.detect_stream(_tcp_stream(spark, folder)), out)
+    query_ = outputs.write_windows(plan.detect_stream(_tcp_batches(spark, folder)), out)
     open_ = heavy_hitters(finish(query_, _tcp(spark, folder)), plan.threshold)
     return spark.read.parquet(f"{out}/windows").unionByName(open_)
 
 
+@query
+def detect_stream_count_window(spark, folder):
+    plan, out = DetectionPlan(window="count", count=COUNT_WINDOW, threshold=25_000), new_path(spark, "counts")
+    plan.run_stream(_tcp_batches(spark, folder), out).awaitTermination()
+    return plan.stream_hits(spark, out)
+
+
 @query
 def detect_count_window(spark, folder):
     return detect_heavy_flows(_tcp(spark, folder), window="count", count=COUNT_WINDOW, threshold=25_000)

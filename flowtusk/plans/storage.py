@@ -74,6 +74,20 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(files.delete(target, True))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    if not path_exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return [entry.getPath().getName() for entry in found]
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Delete the intermediate tables this process wrote; call it when their results are consumed."""
     dropped = 0

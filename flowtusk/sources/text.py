@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +29,17 @@ def parse_packet_lines(lines: DataFrame, strict: bool | str = True, addresses: s
     With `strict` a non-numeric value in a column that is used fails the query; `strict=False`
     makes it NULL, and `strict="drop"` drops the lines that `rejected_lines` lists, so that no
     flow key or time is NULL. `addresses="raw"` reads address numbers in file byte order, as the
-    numeric writer leaves them. `pkt_id` follows line order within a file split; a stream has no
-    such numbers and takes a hash of the line.
+    numeric writer leaves them. `pkt_id` is that of the lines, if they have one; else it follows line
+    order within a file split in a table, and is a hash of the line in a stream.
     """
-    pkt_id = F.xxhash64("value") if lines.isStreaming else F.monotonically_increasing_id()
+    if "pkt_id" in lines.columns:
+        pkt_id = F.col("pkt_id")
+    else:
+        pkt_id = F.xxhash64("value") if lines.isStreaming else F.monotonically_increasing_id()
     if addresses not in ("text", "raw"):
         raise ValueError("addresses must be 'text' or 'raw'")
     f = F.col("f")
-    split = lines.select("value", _fields().alias("f")).filter(_reason(f, addresses).isNull() if strict == "drop" else valid_row(f))
+    split = lines.select(pkt_id.alias("pkt_id"), _fields().alias("f")).filter(_reason(f, addresses).isNull() if strict == "drop" else valid_row(f))
     strict = strict is True
     typed = []
     for at, (name, kind) in enumerate(PACKET_FIELDS):
@@ -42,7 +49,7 @@ def parse_packet_lines(lines: DataFrame, strict: bool | str = True, addresses: s
         elif addresses == "raw":
             raw = ip_from_saddr(raw.cast("bigint") if strict else raw.try_cast("bigint"))
         typed.append(raw.alias(name))
-    return split.select(pkt_id.alias("pkt_id"), *typed)
+    return split.select("pkt_id", *typed)
 
 
 def _reason(fields: Column, addresses: str = "text") -> Column:
@@ -69,13 +76,48 @@ def read_packets_csv(spark: SparkSession, path: str, strict: bool | str = True,
     return parse_packet_lines(spark.read.text(path), strict, addresses)
 
 
+#: Bits of a line's place in its file, and of the file itself, in the ids of streamed lines.
+PLACE_BITS, FILE_BITS = 33, 30
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Lines of files (a table or a stream) with `pkt_id`: the file's hash, then a number that grows with the line.
+
+    A line's number is the beginning of its split and its place there; as a line takes a byte at least,
+    numbers of a file's lines differ and follow their order. Two of n files share a hash with a chance of n² / 2^31.
+    """
+    def number(batches) -> Iterator[pa.RecordBatch]:
+        split, place = None, 0
+        for batch in batches:
+            files, begins = batch.column("file").to_numpy(), batch.column("begin").to_numpy()
+            cuts = np.flatnonzero((files[1:] != files[:-1]) | (begins[1:] != begins[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if end > begin:
+                    if split != (files[begin], begins[begin]):
+                        split, place = (files[begin], begins[begin]), 0
+                    ids = (files[begin] << PLACE_BITS) | (begins[begin] + place + np.arange(end - begin))
+                    place += end - begin
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("value").slice(begin, end - begin)], ["pkt_id", "value"])
+
+    file = F.xxhash64("_metadata.file_path").bitwiseAND(F.lit((1 << FILE_BITS) - 1))
+    placed = lines.select("value", file.alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    return placed.mapInArrow(number, "pkt_id bigint, value string")
+
+
 def stream_packets_csv(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
-                       strict: bool = True) -> DataFrame:
-    """The same rows as an unbounded input; `max_files_per_trigger` paces it."""
+                       strict: bool = True, ids: str = "place") -> DataFrame:
+    """The same rows as an unbounded input; `max_files_per_trigger` paces it.
+
+    `ids="place"` numbers lines by file and place, so that equal lines differ and a repeated batch gives the
+    same ids; `ids="hash"` is cheaper and takes a hash of the line, which equal lines share.
+    """
+    if ids not in ("place", "hash"):
+        raise ValueError("ids must be 'place' or 'hash'")
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return parse_packet_lines(reader.text(path), strict)
+    lines = reader.text(path)
+    return parse_packet_lines(number_lines(lines) if ids == "place" else lines, strict)
 
 
 def stream_packets_parquet(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:

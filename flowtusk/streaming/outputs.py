@@ -1,4 +1,4 @@
-"""Streaming sinks: early alerts, running peaks, one result set per batch, live latency.
+"""Streaming sinks: early alerts, running peaks, one result set per batch, latency rows and statistics.
 
 All of them write per micro-batch into a folder of their own, so a batch that is repeated
 after a failure replaces what it wrote before.
@@ -6,9 +6,9 @@ after a failure replaces what it wrote before.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +16,7 @@ from flowtusk.functions.keys import FlowKey, flow_key
 from flowtusk.operators.crossings import first_crossings
 from flowtusk.operators.packets import heavy_hitters
 from flowtusk.operators.reports import flow_peaks, merge_sink_peaks
-from flowtusk.plans.storage import delete_path
+from flowtusk.plans.storage import child_names, delete_path, path_exists
 from flowtusk.schema import SLIDE_US, THRESHOLD_BYTES, WINDOW_US
 
 # The default micro-batch interval; pass as `trigger=`.
@@ -132,26 +132,84 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/alerts").drop("batch_id")
 
 
+def _runs(batches: int) -> list[tuple[int, int]]:
+    """The runs, as first and last batch, that hold the first `batches` micro-batches: sizes are the powers of two in
+    that number."""
+    out, begin = [], 0
+    for bit in reversed(range(batches.bit_length())):
+        if batches >> bit & 1:
+            out.append((begin, begin + (1 << bit) - 1))
+            begin += 1 << bit
+    return out
+
+
+def _run_path(folder: str, run: tuple[int, int]) -> str:
+    return f"{folder}/peaks/run={run[0]}-{run[1]}"
+
+
 def keep_flow_peaks(hits: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Running peaks per flow in `<folder>/peaks/batch_id=…`; the newest is the current table."""
-    def path(batch_id: int) -> str:
-        return f"{folder}/peaks/batch_id={batch_id}"
+    """Running peaks per flow in `<folder>/peaks`, as sorted-merge runs.
 
+    A micro-batch writes the peaks of its own flows. Like the carry of a binary counter it takes the runs before it
+    along, when these are of equal size: each row is written again once per doubling, so what a batch writes
+    follows the batches and not the table. Runs that went into another are deleted one batch later, when that one
+    cannot be repeated any more. `current_peaks` merges the runs left, at most one per power of two.
+    """
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        peaks = flow_peaks(batch)
+        spark, peaks = batch.sparkSession, flow_peaks(batch)
+        before, after = set(_runs(batch_id)), _runs(batch_id + 1)
+        taken = sorted(before - set(after))
+        if taken:
+            stored = spark.read.parquet(*[_run_path(folder, run) for run in taken])
+            peaks = merge_sink_peaks(stored.unionByName(peaks))
+        peaks.write.mode("overwrite").parquet(_run_path(folder, after[-1]))
         if batch_id > 0:
-            peaks = merge_sink_peaks(spark.read.parquet(path(batch_id - 1)).unionByName(peaks))
-        peaks.write.mode("overwrite").parquet(path(batch_id))
-        delete_path(spark, path(batch_id - 2))
+            for run in set(_runs(batch_id - 1)) - before:
+                delete_path(spark, _run_path(folder, run))
+
     return _start(hits, "append", process, folder, trigger)
 
 
 def current_peaks(spark: SparkSession, folder: str) -> DataFrame:
-    """The table written by the newest micro-batch."""
-    all_peaks = spark.read.parquet(f"{folder}/peaks")
-    newest = all_peaks.agg(F.max("batch_id").alias("b")).scalar()
-    return all_peaks.filter(F.col("batch_id") == newest).drop("batch_id")
+    """Peaks per flow over all micro-batches written so far."""
+    found = {tuple(map(int, name[4:].split("-"))) for name in child_names(spark, f"{folder}/peaks") if name.startswith("run=")}
+    whole = [run for run in found if path_exists(spark, f"{_run_path(folder, run)}/_SUCCESS")]
+    runs = _runs(max(last for _, last in whole) + 1)
+    return merge_sink_peaks(spark.read.parquet(*[_run_path(folder, run) for run in runs]))
+
+
+#: Values that a latency sketch keeps per level; ranks it gives are off by at most RANK_ERROR (99 % sure).
+SKETCH_K, RANK_ERROR = 2000, 0.002
+
+
+def write_latency_stats(results: DataFrame, folder: str, n_sinks: int = 1, latency: Column | None = None,
+                        trigger: dict | None = None) -> StreamingQuery:
+    """Per micro-batch and result group: number, sum, extremes and a mergeable quantile sketch of the latencies in
+    milliseconds, in `<folder>/latency_stats/batch_id=…`: one small row per group and batch, whatever the rate.
+
+    `latency` is an expression over the results; by default the time from the packet to the processing of its batch.
+    """
+    def process(batch: DataFrame, batch_id: int) -> None:
+        value = (F.unix_micros(F.current_timestamp()) - F.col("ts_us")) / 1000.0 if latency is None else latency
+        rows = batch.select(F.expr(f"cast(pmod(flow_id, {n_sinks}) as int)").alias("sink_id"), value.cast("double").alias("ms"))
+        (rows.filter("ms IS NOT NULL").groupBy("sink_id").agg(
+            F.count("*").alias("samples"), F.sum("ms").alias("sum_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"),
+            F.kll_sketch_agg_double("ms", SKETCH_K).alias("sketch"))
+         .write.mode("overwrite").parquet(f"{folder}/latency_stats/batch_id={batch_id}"))
+
+    return _start(results, "append", process, folder, trigger)
+
+
+def live_latency_stats(spark: SparkSession, folder: str, percentiles: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """Per result group over all micro-batches so far: samples, mean, extremes (exact) and percentiles `p5_ms`, ...
+
+    A percentile is a value whose rank is off by at most RANK_ERROR of the samples.
+    """
+    merged = spark.read.parquet(f"{folder}/latency_stats").groupBy("sink_id").agg(
+        F.sum("samples").alias("samples"), (F.sum("sum_ms") / F.sum("samples")).alias("mean_ms"), F.min("min_ms").alias("min_ms"),
+        F.max("max_ms").alias("max_ms"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    return merged.select("*", *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(f"p{p * 100:g}_ms")
+                                for p in percentiles]).drop("sketch")
 
 
 def write_live_latency(hits: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
