@@ -1,9 +1,10 @@
 """Chat logs as events, folded into messages and rendered for training.
 
 A log has events: a message opens, streamed deltas add to it, an edit replaces its text, a
-regeneration drops it for what follows. Events are folded per message, which spreads even a
-conversation that holds most of the log; the folded messages of a conversation are then rendered
-in order. All of it is built-in expressions.
+regeneration drops it and the branch that followed it: what later messages said before it is gone.
+Events are gathered per message, which spreads even a conversation that holds most of the log; one row
+per message then meets its conversation, to learn which branch it is on and to be rendered in
+order. All of it is built-in expressions.
 
 Rendered turn: `### role: text</turn>` and a line end. Inside roles and texts a backslash goes
 before every backslash and `#`, before the slash of `</turn>` and, in roles, before a colon; so
@@ -37,21 +38,28 @@ def unescape(text: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """The final messages of a log: conv_id, message, role, text.
 
-    `events` has conv_id, message (its number in the conversation), seq, kind, role, text. The
-    last message, edit or regenerate event sets the text; deltas after it add to it, in the order
-    of seq, then of kind. The role is that of the latest event that has one. Null texts add
+    `events` has conv_id, message (its number in the conversation), seq, kind, role, text. An event
+    is void if an earlier message of the conversation is regenerated after it; a message without other events is
+    not in the result. Of the others, the last message, edit or regenerate event sets the text; deltas after it
+    add to it, in the order of seq, then of kind. The role is that of the latest event that has one. Null texts add
     nothing, unknown kinds have no effect, a repeated delta is added again, messages may lack
-    their opening event. A null conv_id or message is a group of its own.
+    their opening event. A null conv_id or message is a group of its own; a null message is the first of its conversation.
     """
     order = F.struct("seq", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank"))
     named = events.filter(F.col("kind").isin(*KINDS)).select(
         "conv_id", "message", "kind", "role", F.coalesce("text", F.lit("")).alias("text"), order.alias("at"))
     folded = named.groupBy("conv_id", "message").agg(
-        F.max(F.when(F.col("kind") != DELTA, F.col("at"))).alias("set_at"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("at"))).alias("role"),
-        F.array_sort(F.collect_list(F.struct("at", "text"))).alias("events"))
+        F.max(F.when(F.col("kind") == REGENERATE, F.col("at"))).alias("regenerated_at"),
+        F.array_sort(F.collect_list(F.struct("at", "kind", "text", "role"))).alias("events"))
+    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
+    folded = folded.withColumn("branch_at", F.max("regenerated_at").over(before))
+    folded = folded.withColumn("events", F.filter("events", lambda e: F.col("branch_at").isNull() | (e["at"] > F.col("branch_at"))))
+    folded = folded.filter(F.size("events") > 0).withColumns({
+        "set_at": F.array_max(F.transform(F.filter("events", lambda e: e["kind"] != DELTA), lambda e: e["at"])),
+        "roles": F.transform(F.filter("events", lambda e: e["role"].isNotNull()), lambda e: e["role"])})
     live = F.filter("events", lambda e: F.col("set_at").isNull() | (e["at"] >= F.col("set_at")))
-    return folded.select("conv_id", "message", "role", F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
+    return folded.select("conv_id", "message", F.get("roles", F.size("roles") - 1).alias("role"),
+                         F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
 
 
 def render_conversations(messages: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
@@ -95,19 +103,30 @@ def read_turns(formatted: Column) -> Column:
 
 def turns_as_events(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                     text: str = "text") -> DataFrame:
-    """A log for a table with one row per turn: each opens a message and streams its text.
+    """A log for a table with one row per turn, as a service might have written it.
 
+    Each turn opens a message and streams a draft. Every other draft is replaced by an edit; the others are
+    answered, and then regenerated, which drops the answer. The turn's own text follows in two deltas.
     Turns of equal number are ordered by role and text, and all are kept.
     """
     columns = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"),
                            F.col(text).alias("text"))
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    kinds = F.array(F.struct(F.lit(OPEN).alias("kind"), F.lit(None).cast("string").alias("text")),
-                    F.struct(F.lit(DELTA).alias("kind"), F.col("text").alias("text")))
+    half = F.expr("length(text) div 2")
+    none, edited = F.lit(None).cast("string"), F.col("message") % 2 == 0
+
+    def event(kind: str, text: Column, role: Column = none, ahead: int = 0) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), role.alias("role"), F.lit(ahead).alias("ahead"))
+
+    begun = [event(OPEN, none, F.col("role")), event(DELTA, F.lit("A draft of #"))]
+    own = [event(DELTA, F.expr("substring(text, 1, length(text) div 2)")), event(DELTA, F.col("text").substr(half + 1, F.length("text")))]
+    answered = [event(OPEN, F.lit("An answer"), F.lit("user"), 1), event(DELTA, F.lit(" to the draft"), none, 1)]
+    kinds = F.when(edited, F.array(*begun, event(EDIT, F.lit("")), *own)).otherwise(
+        F.array(*begun, *answered, event(REGENERATE, none), *own))
     return (columns.withColumn("message", number)
-            .select("conv_id", "message", "role", F.posexplode(kinds).alias("at", "event"))
-            .select("conv_id", "message", (F.col("message").cast("bigint") * 2 + F.col("at")).alias("seq"), "event.kind",
-                    F.when(F.col("at") == 0, F.col("role")).alias("role"), "event.text"))
+            .select("conv_id", "message", F.posexplode(kinds).alias("at", "event"))
+            .select("conv_id", (F.col("message") + F.col("event.ahead")).alias("message"),
+                    (F.col("message").cast("bigint") * 8 + F.col("at")).alias("seq"), "event.kind", "event.role", "event.text"))
 
 
 def format_conversations(events: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:

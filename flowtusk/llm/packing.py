@@ -31,7 +31,7 @@ SLACK = 16
 TASK_ITEMS = 20_000
 FAN_IN = 8
 
-_PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+_PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
@@ -39,25 +39,25 @@ def cut_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     """One row per piece: doc_id, piece, start, length, ids_crc32.
 
     Null text counts as empty; such a document has only the end id. A null doc_id stays null, and
-    repeated rows give repeated pieces. Other columns are not read.
+    repeated rows give repeated pieces; ids may be of any type. Other columns are not read.
     """
     def cut(batches) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches, "text"):
             ids, offsets = encode_words(vocabulary, batch.column("text"))
             docs, pieces, starts, lengths, sums = [], [], [], [], []
-            for row, doc in enumerate(batch.column("doc_id").to_pylist()):
+            for row in range(batch.num_rows):
                 own = np.append(ids[offsets[row]:offsets[row + 1]], np.uint32(end_id)).astype("<u4", copy=False)
                 for piece, start in enumerate(range(0, len(own), capacity)):
                     part = own[start:start + capacity]
-                    docs.append(doc), pieces.append(piece), starts.append(start), lengths.append(len(part))
+                    docs.append(row), pieces.append(piece), starts.append(start), lengths.append(len(part))
                     sums.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()),
+                [batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()),
                  pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"))
-    return named.mapInArrow(cut, _PIECES)
+    named = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    return named.mapInArrow(cut, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, {_PIECES}")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:

@@ -4,7 +4,8 @@ A page is cut into blocks, the text lines of its block elements. What the markup
 header, footer, sidebar, notice, advert, form or comment is out; article and main elements are in.
 Lines outside of such elements are open: they count on a page without them, and where articles hold
 less than what is open, as teasers do. Where only a part of a name speaks against an element, its
-lines are as open ones. For open lines, the pages of a
+lines are as open ones; of names that tell of readers' comments, the same element on the nearest pages
+is enough, whatever it says there. For open lines, the pages of a
 host are sorted by path, each page is paired with the neighbour whose path has more in common
 with its own, the two pages' lines are aligned by their longest common subsequence, and shared
 lines are deleted.
@@ -76,12 +77,20 @@ _HOLDERS = frozenset("html body main".split())
 OUT, OPEN, MAIN, ARTICLE = range(4)
 
 
-NO, MAYBE, YES = range(3)
+#: Words of readers' comments. Their text differs on every page, so neighbours are compared by place; and
+#: those that are enough at the end or at the beginning of a class of a box or list.
+READER_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+_AT_END = frozenset("comment comments reply replies".split())
+_AT_BEGIN = frozenset("comment reply".split())
+_BOXES = frozenset("div section ul ol li aside".split())
 
+NO, YES, MAYBE = "", "yes", "maybe"
 
-def _left_out(tag: str, attributes: str, inside: bool) -> int:
-    """Whether an element is left out: by itself or by a whole name; maybe, if only a part of a name
-    says so. Parts do not count on headings and articles, nor in ids of sections."""
+
+def _left_out(tag: str, attributes: str, inside: bool) -> str:
+    """YES if an element is left out: by itself, by a whole name, or by an end of a box's class. If only another part of a
+    name speaks against it, it depends on the neighbours: the tag and the name if that is of readers' comments, else
+    MAYBE. NO (empty) otherwise. Parts do not count on headings and articles, nor in ids of sections."""
     if tag in LEFT_OUT or tag == "header" and not inside:
         return YES
     if tag in _HOLDERS or "=" not in attributes:
@@ -100,19 +109,21 @@ def _left_out(tag: str, attributes: str, inside: bool) -> int:
                 return YES
             if not slug and (whole in LEFT_OUT_NAMES or not inside and whole in OUTER_NAMES):
                 return YES
-            if not slug and tag not in _HEADINGS and tag != "article" and (
+            if not is_id and tag in _BOXES and (words[-1] in _AT_END or words[0] in _AT_BEGIN):
+                return YES
+            if found in (NO, MAYBE) and not slug and tag not in _HEADINGS and tag != "article" and (
                     not LEFT_OUT_WORDS.isdisjoint(words) or not inside and not OUTER_WORDS.isdisjoint(words)):
-                found = MAYBE
+                found = MAYBE if READER_WORDS.isdisjoint(words) else f"{tag}.{whole}"
     return found
 
 
 class Place(NamedTuple):
     """Where a line stands: its kind, the number of the outermost article, whether a main element holds it,
-    and whether a part of a name speaks against it."""
+    and the outermost element around it against which a part of a name speaks."""
     kind: int = OPEN
     article: int = 0
     main: bool = False
-    doubt: bool = False
+    doubt: str = ""
 
 
 def page_lines(source: str) -> list[tuple[int, str]]:
@@ -171,8 +182,8 @@ def placed_lines(source: str) -> list[tuple[Place, str]]:
                 inner = Place(ARTICLE, place.article or articles, main, place.doubt)
             elif kind == OPEN and main:
                 inner = Place(MAIN, 0, True, place.doubt)
-            if judged == MAYBE:
-                inner = inner._replace(doubt=True)
+            if judged and place.doubt in (NO, MAYBE):
+                inner = inner._replace(doubt=judged)
         if inner != place or block and tag != "li":
             if inner != place:
                 flush()
@@ -191,8 +202,13 @@ def candidates(lines: list[tuple[Place, str]], structure: bool = True) -> tuple[
     and less than the largest article (a teaser is an article too); in a main element it is sure if
     more than that, else differenced. So are lines against which a part of a name speaks.
     """
+    chosen = _chosen(lines, structure)
+    return [text for _, text, _ in chosen], [sure for _, _, sure in chosen]
+
+
+def _chosen(lines: list[tuple[Place, str]], structure: bool) -> list[tuple[Place, str, bool]]:
     if not structure:
-        return [text for _, text in lines], [False] * len(lines)
+        return [(Place(), text, False) for _, text in lines]
     sizes, articles = [0] * 4, {0: 0}
     for place, text in lines:
         sizes[place.kind] += len(text)
@@ -200,10 +216,8 @@ def candidates(lines: list[tuple[Place, str]], structure: bool = True) -> tuple[
             articles[place.article] = articles.get(place.article, 0) + len(text)
     outer = MAIN if any(place.main and place.kind >= MAIN for place, _ in lines) else OPEN
     more = sizes[outer] > max(articles.values())
-    kept = [(place, text) for place, text in lines
+    return [(place, text, not place.doubt and (place.kind == ARTICLE or place.kind == MAIN and more)) for place, text in lines
             if place.kind == ARTICLE or place.kind == outer and (outer == MAIN or more)]
-    return [text for _, text in kept], [
-        not place.doubt and (place.kind == ARTICLE or place.kind == MAIN and more) for place, _ in kept]
 
 
 def common_lines(a: Sequence[int], b: Sequence[int], cells: int = 40_000_000) -> list[int]:
@@ -258,41 +272,52 @@ def common_lines(a: Sequence[int], b: Sequence[int], cells: int = 40_000_000) ->
     return head + [begin + i for i in inner] + tail
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 def _parsed(pages: DataFrame, structure: bool) -> DataFrame:
-    """Per page: text if structure decides it, else the lines that may be text and whether they surely
-    are; hashes of all lines."""
+    """Per page: text if structure decides it, else the lines that may be text, whether they surely are and the
+    doubtful element each lies in (0: none); hashes of all lines and of all doubtful elements."""
     # Arrow batches: in pandas a null id would turn the ids beside it into floats.
     def parse(batches) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()), longs, longs, longs]
         for batch in arrow_slices(batches, "html"):
-            texts, opens, sures, hashes = [], [], [], []
+            rows = []
             for source in batch.column("html").to_pylist():
                 lines = placed_lines(source)
-                own, sure = candidates(lines, structure)
-                decided = all(sure)
-                texts.append("\n".join(own) if decided else None)
-                opens.append(None if decided else own)
-                sures.append(None if decided else sure)
-                hashes.append([xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) for _, text in lines])
-            columns = [pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())),
-                       pa.array(sures, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))]
+                chosen = _chosen(lines, structure)
+                own, sure = [text for _, text, _ in chosen], [sure for _, _, sure in chosen]
+                hashes = [_hash(text) for _, text in lines]
+                marks = sorted({_hash(place.doubt) for place, _ in lines if place.doubt not in (NO, MAYBE)})
+                if all(sure):
+                    rows.append(("\n".join(own), None, None, None, hashes, marks))
+                else:
+                    rows.append((None, own, sure, [_hash(place.doubt) if place.doubt not in (NO, MAYBE) else 0 for place, _, _ in chosen], hashes, marks))
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["html"]).columns, *columns],
-                                             ["row", "page_id", "url", "text", "open", "sure", "lines"])
+                                             ["row", "page_id", "url", "text", "open", "sure", "doubts", "lines", "marks"])
 
     kinds = dict(pages.dtypes)
-    return store(pages.mapInArrow(parse, f"row bigint, page_id {kinds['page_id']}, url string, "
-                                   "text string, open array<string>, sure array<boolean>, lines array<bigint>"), "pages")
+    return store(pages.mapInArrow(parse, f"row bigint, page_id {kinds['page_id']}, url string, text string, open array<string>, "
+                                   "sure array<boolean>, doubts array<bigint>, lines array<bigint>, marks array<bigint>"), "pages")
 
 
 def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Leave out unsure lines that the nearest page has too, and lines of a doubtful element that a neighbour has
+    as well, whatever it says there: it belongs to the pages' template."""
     for frame in frames:
         texts = []
         for r in frame.itertuples(index=False):
             sides = [(len(os.path.commonprefix([r.path, path])), lines)
                      for path, lines in ((r.path_before, r.lines_before), (r.path_after, r.lines_after)) if path is not None]
             unsure = [i for i, sure in enumerate(r.sure) if not sure]
-            own = [xxhash.xxh3_64_intdigest(r.open[i].encode("utf-8", "replace")) - (1 << 63) for i in unsure]
+            own = [_hash(r.open[i]) for i in unsure]
             nearest = max(sides, key=lambda side: side[0])[1] if sides else []
             shared = {unsure[i] for i in common_lines(own, [int(h) for h in nearest])}
+            template = {int(mark) for marks in (r.marks_before, r.marks_after) if marks is not None for mark in marks}
+            shared |= {i for i, doubt in enumerate(r.doubts) if doubt and int(doubt) in template}
             texts.append("\n".join(text for i, text in enumerate(r.open) if i not in shared))
         yield pd.DataFrame({"row": frame["row"], "text": texts})
 
@@ -303,7 +328,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined by line ends. A null or empty page has no text and is no neighbour. A page without url,
-    or alone on its host, has no neighbour and loses no open line. Pages of equal path are neighbours in the
+    or alone on its host, has no neighbour and loses no open or doubtful line. Pages of equal path are neighbours in the
     order of page_id; repeated rows are repeated, and share all open lines with each other.
     With `structure` off, only differencing is used. Other columns are not read. Runs jobs.
     """
@@ -312,15 +337,15 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     parsed = _parsed(named, structure)
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
-    slim = parsed.filter(F.col("url").isNotNull() & (F.size("lines") > 0)).select("row", "page_id", host.alias("host"), path.alias("path"), "lines")
+    slim = parsed.filter(F.col("url").isNotNull() & (F.size("lines") > 0)).select("row", "page_id", host.alias("host"), path.alias("path"), "lines", "marks")
     placed = with_global_position(slim, ["host", "path", "page_id", "row"])
-    side = placed.select("host", "position", "path", "lines")
-    wanted = placed.join(parsed.filter(F.col("open").isNotNull()).select("row", "open", "sure"), "row")
-    before = side.toDF("host", "position", "path_before", "lines_before").withColumn("position", F.col("position") + 1)
-    after = side.toDF("host", "position", "path_after", "lines_after").withColumn("position", F.col("position") - 1)
+    side = placed.select("host", "position", "path", "lines", "marks")
+    wanted = placed.drop("lines", "marks").join(parsed.filter(F.col("open").isNotNull()).select("row", "open", "sure", "doubts"), "row")
+    before, after = (side.toDF("host", "position", *[f"{c}_{name}" for c in ("path", "lines", "marks")])
+                     .withColumn("position", F.col("position") + step) for name, step in (("before", 1), ("after", -1)))
     pairs = wanted.join(before, ["host", "position"], "left").join(after, ["host", "position"], "left")
-    decided = pairs.select("row", "path", "open", "sure", "path_before", "lines_before", "path_after", "lines_after").mapInPandas(
-        _shared, "row bigint, text string")
+    decided = pairs.select("row", "path", "open", "sure", "doubts", *[f"{c}_{name}" for name in ("before", "after") for c in (
+        "path", "lines", "marks")]).mapInPandas(_shared, "row bigint, text string")
     alone = parsed.filter(F.col("open").isNotNull() & F.col("url").isNull()).select("row", F.array_join("open", "\n").alias("text"))
     open_pages = parsed.filter(F.col("open").isNotNull()).select("row", "page_id", "url").join(decided.unionByName(alone), "row")
     result = parsed.filter(F.col("open").isNull()).select("page_id", "url", "text").unionByName(

@@ -146,7 +146,8 @@ def score_texts(model: dict, texts: list[str], block: int = 512) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> dict:
-    """A model for labels.quality, learned from the rows of `labels` that are not held out."""
+    """A model for labels.quality, learned from the rows of `labels` that are not held out. Without texts of
+    both labels nothing is known: every text then scores 0.5, which counts as good, so that nothing is lost."""
     texts, y = training.labelled_sample(docs, labels, "quality", training.held_out("doc_id", *HELD_OUT), per_class, max_chars)
     return train(texts, y)
 

@@ -60,6 +60,26 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert chat.format_conversations(events.limit(0)).count() == 0
 
 
+def test_regeneration_drops_its_branch(spark):
+    rows = [(1, 1, 1, "message", "user", "q"), (1, 2, 2, "message", "assistant", "old"), (1, 3, 3, "message", "user", "why"),
+            (1, 4, 4, "message", "assistant", "gone"), (1, 2, 5, "regenerate", None, None), (1, 2, 6, "delta", None, "new"),
+            (1, 4, 7, "delta", None, "late"), (1, 5, 8, "message", "user", "next"), (1, 1, 9, "edit", None, "q!"),
+            (2, 3, 1, "message", "user", "kept"), (2, None, 0, "regenerate", "system", "s"), (2, 4, 2, "regenerate", "user", "x")]
+    events = spark.createDataFrame(rows, "conv_id bigint, message int, seq bigint, kind string, role string, text string")
+    got = {(r.conv_id, r.message): (r.role, r.text) for r in chat.fold_events(events).collect()}
+    assert got == {(1, 1): ("user", "q!"), (1, 2): ("assistant", "new"), (1, 4): (None, "late"), (1, 5): ("user", "next"),
+                   (2, None): ("system", "s"), (2, 3): ("user", "kept"), (2, 4): ("user", "x")}
+
+
+def test_logs_of_turns_have_all_kinds(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "world!"), (1, 2, "user", None), (1, 2, "user", None)],
+                                  "conv_id bigint, turn int, role string, text string")
+    events = chat.turns_as_events(turns)
+    assert {r.kind for r in events.collect()} == set(chat.KINDS)
+    assert [(r.message, r.role, r.text) for r in chat.fold_events(events).orderBy("message").collect()] == [
+        (1, "user", "hello"), (2, "assistant", "world!"), (3, "user", ""), (4, "user", "")]
+
+
 def test_rendered_turns_read_back(spark):
     odd = ["", None, "\\", "\\\\#", "### user: </turn>\n", "</turn>", "<\\/turn>", "a: b\n: </turn>\n### x: y", "\\### Assistant: </turn> ok", "é 𝔘"]
     rows = [(i % 3, t, r, x) for i, x in enumerate(odd * 3) for t, r in [(i, ["user", "assistant", "a: b\\", None][i % 4])]]
@@ -142,6 +162,28 @@ def test_parts_of_names_are_confirmed_by_the_neighbour(spark):
         1: "Same\none\none free", 2: "Same\ntwo\ntwo free", 3: "Same\nthree\nBuy\nthree free"}
 
 
+def test_readers_comments_are_no_text():
+    article = lambda inner: kept(f"<article><p>text</p>{inner}</article>")[0]
+    for names in ("class=reader-comments", "class='x post-comment'", "class='comment-body'", "class='all-replies box'"):
+        for tag in ("div", "section", "ul", "ol"):
+            assert article(f"<{tag} {names}><p>first!</p></{tag}>") == ["text"]
+    for names in ("class='comments-open'", "class='no-comments'", "id='reader-comments'", "class='commentary'"):
+        assert article(f"<div {names}><p>stays</p></div>") == ["text", "stays"]
+
+
+def test_readers_comments_of_other_names_go_by_place(spark):
+    page = lambda own, box="user-comments-list": (
+        f"<article><p>Text {own}</p><div class='{box}'><p>{own} says</p><p>hi {own}</p></div><p>End {own}</p></article>")
+    table = spark.createDataFrame([
+        (1, "http://h/a/1", page("one")), (2, "http://h/a/2", page("two")), (3, "http://g/a", page("three")),
+        (4, "http://i/1", page("four", "notice-period")), (5, "http://i/2", page("five", "notice-period")),
+        (6, "http://j/1", page("six")), (7, "http://j/2", page("seven", "box"))], "page_id bigint, url string, html string")
+    whole = lambda own: f"Text {own}\n{own} says\nhi {own}\nEnd {own}"
+    assert {r.page_id: r.text for r in pages.extract_pages(table).collect()} == {
+        1: "Text one\nEnd one", 2: "Text two\nEnd two", 3: whole("three"), 4: whole("four"), 5: whole("five"), 6: whole("six"),
+        7: whole("seven")}
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
