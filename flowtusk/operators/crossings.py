@@ -34,6 +34,8 @@ def first_crossings(packets: DataFrame, threshold: int = THRESHOLD_BYTES, length
     rows = packets.select(flow_key(key).column().alias("flow_id"), ts.cast("bigint").alias("ts_us"), F.col("pkt_id").cast("bigint").alias("pkt_id"),
                           "src_ip", "dst_ip", F.coalesce(F.col("pkt_len").cast("bigint"), F.lit(0)).alias("bytes"))
     lowest = floor_to(ts - F.lit(length_us), slide_us) + slide
+    if slide_us > length_us:  # packets between two windows belong to none
+        rows = rows.filter(lowest <= floor_to(ts, slide_us))
     rows = rows.withColumn("block", F.explode(F.sequence(
         floor_to(lowest, block_us), floor_to(floor_to(ts, slide_us), block_us), F.lit(block_us).cast("bigint"))))
     rows = rows.repartition("flow_id", "block")

@@ -6,15 +6,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtusk.operators.count_windows import count_window_bytes
+from flowtusk.operators.crossings import first_crossings
 from flowtusk.operators.metrics import observe_detector
 from flowtusk.operators.packets import heavy_hitters, tag_flow, tcp_only
 from flowtusk.operators.reports import flow_peaks
 from flowtusk.operators.windows import sliding_bytes
 from flowtusk.plans.detect import DetectionPlan
 from flowtusk.sources.events import read_event_packets
+from flowtusk.sources.replay import replay, replay_stream
 from flowtusk.sources.text import stream_packets_csv, stream_packets_parquet
-from flowtusk.streaming import outputs
+from flowtusk.streaming import clock, outputs
 from flowtusk.streaming.counts import count_window_batches, count_window_results, stream_count_window_bytes
+from flowtusk.streaming.totals import RunTotals
 from flowtusk.streaming.windows import (
     closing_windows, final_watermark_us, finish, stream_pane_bytes, stream_sliding_bytes,
 )
@@ -93,8 +96,88 @@ def test_whole_analysis_as_a_stream(spark, stream, table, tmp_path):
     got, _ = run(spark, plan.detect_stream(stream), tmp_path / "time")
     assert same(got, plan.detect(table).filter(F.col("window_end_us") <= watermark(table)))
     counted = DetectionPlan(window="count", count=3, threshold=1000)
-    got, _ = run(spark, counted.detect_stream(stream), tmp_path / "count")
+    counted.run_stream(stream, str(tmp_path / "count")).awaitTermination()
+    got = counted.stream_hits(spark, str(tmp_path / "count"))
     assert same(got, counted.detect(table).select(*got.columns))
+    with pytest.raises(ValueError):
+        counted.detect_stream(stream)
+
+
+def forget_last_commit(checkpoint):
+    """The next start repeats the last micro-batch, as after a failure before its commit."""
+    commits = checkpoint / "commits"
+    last = max(int(name) for name in os.listdir(commits) if name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink()
+
+
+def test_arrival_windows_survive_a_restart(spark, stream, table, tmp_path):
+    out, turn = str(tmp_path), [0]
+
+    def now():  # another stamp at each call: a repeated batch must not use it
+        turn[0] += 1
+        return F.lit(5_000_000 * turn[0]).cast("bigint")
+
+    clock.stamp_arrivals(stream, out, now=now).awaitTermination()
+    before = clock.arrivals(spark, out).collect()
+    assert len(before) == table.count() and {r.ts_us for r in before} == {5_000_000 * k for k in range(1, 6)}
+    forget_last_commit(tmp_path / "arrivals-checkpoint")
+    clock.stamp_arrivals(stream, out, now=now).awaitTermination()
+    assert sorted(clock.arrivals(spark, out).collect()) == sorted(before)
+    plan = DetectionPlan(clock="ingress", threshold=0)
+    got, _ = run(spark, plan.detect_stream(clock.stream_arrivals(spark, out)), tmp_path / "windows")
+    want = sliding_bytes(clock.arrivals(spark, out))
+    assert got.count() and got.join(want, got.columns, "left_anti").count() == 0
+
+
+def test_run_totals(spark, stream, table, tmp_path):
+    observed = observe_detector(stream_pane_bytes(stream), threshold=1500)
+    with RunTotals(spark) as listener:
+        query = outputs.write_windows(observed, str(tmp_path))
+        totals = listener.wait(query).totals(query)
+        row = listener.row(query).first()
+    got = spark.read.parquet(f"{tmp_path}/windows")
+    assert (totals["rows"], totals["batches"]) == (table.count(), 5)
+    assert (row.processed, row.detected) == (got.count(), heavy_hitters(got).count())
+    assert row.rows_dropped_by_watermark == 0 and row.rows_per_busy_second > 0
+
+
+def test_alerts_carry_the_crossing_packet(spark, stream, table, tmp_path):
+    query = outputs.alert_crossings(stream, str(tmp_path), DELAY_US, 3000)
+    query.awaitTermination()
+    want = first_crossings(table, 3000)
+    assert same(outputs.alerts(spark, str(tmp_path)), want)
+    assert len(os.listdir(tmp_path / "open")) == 2
+    before = outputs.alerts(spark, str(tmp_path)).collect()
+    forget_last_commit(tmp_path / "checkpoint")
+    outputs.alert_crossings(stream, str(tmp_path), DELAY_US, 3000).awaitTermination()
+    assert sorted(outputs.alerts(spark, str(tmp_path)).collect()) == sorted(before)
+
+
+def test_late_packets_raise_no_alert_for_closed_windows(spark, packets, tmp_path):
+    a, b = "10.0.0.1", "10.0.0.2"
+    source = tmp_path / "in"
+    for at, rows in enumerate([[(100, a, b, 900)], [(200_000, a, b, 300), (9_000_000, a, b, 10)], [(150, a, b, 5000), (9_100_000, a, b, 4)]]):
+        packets(*rows).coalesce(1).write.mode("append").parquet(str(source))
+        for name in os.listdir(source):
+            if name.endswith(".parquet") and os.path.getmtime(source / name) > 1_700_000_100:
+                os.utime(source / name, (1_700_000_000 + at, 1_700_000_000 + at))
+    outputs.alert_crossings(stream_packets_parquet(spark, str(source), 1), str(tmp_path / "out"), DELAY_US, 1000).awaitTermination()
+    got = outputs.alerts(spark, str(tmp_path / "out"))
+    assert {(r.ts_us, r.acc_bytes) for r in got.collect()} == {(200_000, 1200)} and got.count() == 18
+
+
+def test_replayed_stream_restarts_where_it_was(spark, table, tmp_path):
+    packets = table.select("pkt_id", "ts_us", "pkt_len").limit(50)
+    turns = replay_stream(packets, rows_per_batch=30, generations=3, partitions=2)
+    for wanted in (2, 5):  # stop after some batches, then go on
+        query = outputs.write_windows(turns, str(tmp_path), trigger={"processingTime": "0 seconds"})
+        while max([p["batchId"] for p in query.recentProgress], default=-1) < wanted:
+            time.sleep(0.1)
+        query.stop()
+    got = spark.read.parquet(f"{tmp_path}/windows")
+    want = replay(packets, 3).select("pkt_id", F.col("gen").cast("bigint").alias("gen"), "ts_us", "pkt_len")
+    assert same(got.select(*want.columns), want)
 
 
 def test_observed_counts(spark, stream, table, tmp_path):
@@ -151,6 +234,33 @@ def test_running_peaks(spark, stream, table, tmp_path):
     outputs.keep_flow_peaks(hits, str(tmp_path)).awaitTermination()
     closed = sliding_bytes(table).filter(F.col("window_end_us") <= watermark(table))
     assert same(outputs.current_peaks(spark, str(tmp_path)), flow_peaks(heavy_hitters(closed)))
+    forget_last_commit(tmp_path / "checkpoint")
+    outputs.keep_flow_peaks(hits, str(tmp_path)).awaitTermination()
+    assert same(outputs.current_peaks(spark, str(tmp_path)), flow_peaks(heavy_hitters(closed)))
+
+
+def test_runs_of_peaks_are_a_binary_counter():
+    assert outputs._runs(0) == [] and outputs._runs(6) == [(0, 3), (4, 5)] and outputs._runs(8) == [(0, 7)]
+    written = 0
+    for n in range(1, 1025):
+        first, last = outputs._runs(n)[-1]
+        written += last - first + 1
+    assert written == 1024 * 6  # each batch is written again once per doubling, half of the time
+
+
+def test_latency_sketches_merge(spark, stream, table, tmp_path):
+    outputs.write_latency_stats(tag_flow(stream), str(tmp_path), 2, latency=F.col("pkt_len") / 1.0).awaitTermination()
+    got = {r.sink_id: r for r in outputs.live_latency_stats(spark, str(tmp_path)).collect()}
+    lengths = tag_flow(table).select(F.expr("cast(pmod(flow_id, 2) as int)").alias("sink"), "pkt_len").toPandas()
+    for sink, part in lengths.groupby("sink").pkt_len:
+        row, values = got[sink], sorted(part)
+        assert (row.samples, row.min_ms, row.max_ms) == (len(values), values[0], values[-1])
+        assert row.mean_ms == pytest.approx(part.mean())
+        for p in (5, 50, 95):
+            below, upto = (sum(test(v) for v in values) / len(values) for test in (row[f"p{p}_ms"].__gt__, row[f"p{p}_ms"].__ge__))
+            assert below - outputs.RANK_ERROR <= p / 100 <= upto + outputs.RANK_ERROR
+    outputs.write_latency_stats(heavy_hitters(stream_sliding_bytes(stream)), str(tmp_path / "live")).awaitTermination()
+    assert outputs.live_latency_stats(spark, str(tmp_path / "live")).first().min_ms > 0
 
 
 def test_result_sets_and_latency(spark, stream, table, tmp_path):

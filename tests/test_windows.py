@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -5,11 +6,14 @@ from pyspark.sql import functions as F
 
 from flowtusk import detect_heavy_flows
 from flowtusk.operators.count_windows import count_window_bytes
+from flowtusk.operators import windows
+from flowtusk.operators.crossings import first_crossings
 from flowtusk.operators.packets import heavy_hitters, non_empty_window, tag_flow
 from flowtusk.functions.keys import FlowKey
 from flowtusk.operators.windows import (
     _panes_of_flows,
-    sliding_bytes, sliding_bytes_microbatch, sliding_bytes_reduce, sliding_bytes_window, tumbling_bytes,
+    distinct, largest, sliding_bytes, sliding_bytes_microbatch, sliding_bytes_reduce, sliding_bytes_window, smallest, total,
+    tumbling_bytes, windows_of_panes,
 )
 
 S = 1_000_000
@@ -204,3 +208,51 @@ def test_filter_and_columns_reach_the_scan(spark, packets, tmp_path):
     assert "EqualTo(protocol,6)" in plan
     read = plan.split("ReadSchema:")[1]
     assert "pkt_len" in read and "seq" not in read and "win:" not in read
+
+
+EXTRAS = {"most": largest("pkt_len"), "least": smallest("pkt_len"), "sum": total("pkt_len"), "lengths": distinct("pkt_len"),
+          "hosts": distinct("dst_ip")}
+
+
+@pytest.mark.parametrize("length,slide,carry,key,blocks", [
+    (2 * S, S // 10, "first", "poly17", None), (2 * S, S // 10, "last", FlowKey(("dst_ip",), F.crc32), 20),
+    (S, S, "last", "poly17", 3), (6 * S // 10, S // 10, "first", "xor", 6), (S // 2, 3 * S // 10, "first", "poly17", None)])
+def test_extras_on_panes_equal_the_window_function(packets, length, slide, carry, key, blocks):
+    table = noisy(packets, 300, span=9 * S)
+    table = table.withColumn("dst_ip", F.when(F.col("pkt_id") % 11 == 0, F.lit(None)).otherwise(F.col("dst_ip"))) if key == "poly17" else table
+    want = sliding_bytes(table, length, slide, key=key, carry=carry, plan="direct", extras=EXTRAS)
+    if blocks is None:
+        got = sliding_bytes(table, length, slide, key=key, carry=carry, extras=EXTRAS)
+    else:
+        pane = math.gcd(length, slide)
+        got = windows_of_panes(windows._panes_of_flows(table, pane, key, carry, None, EXTRAS), length, slide, carry, blocks, EXTRAS,
+                               windows._values_of_panes(table, pane, key, EXTRAS))
+    assert same(got.select(*want.columns), want)
+
+
+def test_extras_expand_no_packets(packets):
+    plan = sliding_bytes(noisy(packets), extras={"most": largest("pkt_len")})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
+@pytest.mark.parametrize("length,slide,threshold,blocks", [
+    (2 * S, S // 10, 2000, None), (2 * S, S // 10, 5000, 3), (S, S, 900, 2), (S // 2, 3 * S // 10, 300, 1), (S // 10, S // 2, 50, 4)])
+def test_crossings_against_brute_force(packets, length, slide, threshold, blocks):
+    table = noisy(packets, 300, span=9 * S)
+    got = {(r.flow_id, r.window_start_us): (r.pkt_id, r.ts_us, r.acc_bytes)
+           for r in first_crossings(table, threshold, length, slide, windows_per_block=blocks).collect()}
+    flows, want = {}, {}
+    for r in tag_flow(table).orderBy("ts_us", "pkt_id").collect():
+        flows.setdefault(r.flow_id, []).append(r)
+    for flow, rows in flows.items():
+        for start in range(-length - slide, 10 * S, slide):
+            start, acc = start // slide * slide, 0
+            for r in rows:
+                if start <= r.ts_us < start + length:
+                    acc += r.pkt_len
+                    if acc > threshold:
+                        want[flow, start] = (r.pkt_id, r.ts_us, acc)
+                        break
+    assert got == want and want
+    with pytest.raises(ValueError):
+        first_crossings(table, -1)
