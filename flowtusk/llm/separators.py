@@ -2,8 +2,9 @@
 
 The files are plain rows of little-endian ids without an index; a separator id ends each document.
 Files are read in blocks, each by any task: one vectorised comparison gives a block's separators.
-A scan over the blocks of a file, one small row each, then says how many separators came before
-and where the last one was, which numbers the documents and completes those that cross blocks.
+A scan over the blocks of a file, one row of five numbers each, then says how many separators came before
+and where the last one was; joined back to the blocks this numbers the documents and completes those
+that cross blocks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from flowtusk.plans.storage import store
 
 #: Ids of a block.
 BLOCK_IDS = 1 << 20
+#: Bytes that a task reads of token files.
+TASK_BYTES = 64 << 20
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -75,7 +78,13 @@ def token_blocks(spark: SparkSession, folder: str, dtype: str = "<u2", block_ids
     return (listed.select("path", "total", block)
             .selectExpr("path", "block", f"block * {block_ids} AS begin",
                         f"least({block_ids}, total - block * {block_ids}) AS ids")
-            .repartition("path", "block"))
+            .repartition(_tasks(listed, width), "path", "block"))
+
+
+def _tasks(listed: DataFrame, width: int) -> int:
+    """How many tasks read the files: given as a number, as rows that are small stand for much to read."""
+    total = listed.agg(F.sum("total")).first()[0] or 0
+    return max(listed.sparkSession.sparkContext.defaultParallelism, min(total * width // TASK_BYTES, 10_000))
 
 
 def scan_separators(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
@@ -103,12 +112,13 @@ def documents_of(scanned: DataFrame) -> DataFrame:
     Ids after the last separator of a file are a document that is not `ended`. A file that begins
     with a separator, or has two in a row, has empty documents. No files give no rows.
     """
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last_end = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    stitched = scanned.withColumns({
-        "earlier": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).cast("bigint"),
-        "start": F.coalesce(F.last(last_end, True).over(before) + 1, F.lit(0).cast("bigint")),
-        "final": F.lead("block").over(Window.partitionBy("path").orderBy("block")).isNull()})
+    along = Window.partitionBy("path").orderBy("block")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    slim = scanned.select("path", "block", F.size("ends").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last_end"))
+    slim = slim.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("earlier"),
+                       F.coalesce(F.last("last_end", True).over(before) + 1, F.lit(0).cast("bigint")).alias("start"),
+                       F.lead("block").over(along).isNull().alias("final"))
+    stitched = scanned.join(slim, ["path", "block"])
     # The starts of a block's documents: the stitched one, then after each separator but the last.
     starts = F.concat(F.array("start"), F.transform("ends", lambda end: end + 1))
     rows = stitched.select("path", "earlier", "final", F.col("begin") + F.col("ids"), "ends", starts.alias("starts"))
