@@ -52,6 +52,32 @@ def arrow_slices(batches: Iterable, text: str, size: int = 4_000_000) -> Iterato
             begin = end
 
 
+def whole_runs(frames: Iterable[pd.DataFrame], key: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The batches of a sorted partition, cut so that runs of equal `key` stay whole, and where
+    runs begin (with the end of the last)."""
+    def cut(frame: pd.DataFrame) -> np.ndarray:
+        values = frame[key]
+        return np.flatnonzero((values.iloc[1:].to_numpy() != values.iloc[:-1].to_numpy()).any(axis=1)) + 1
+
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        begins = (held[-1][key].iloc[-1].to_numpy() != frame[key].iloc[0].to_numpy()).any() if held else False
+        cuts = cut(frame)
+        if not begins and not len(cuts):  # all of it belongs to the run before
+            held.append(frame)
+            continue
+        last = int(cuts[-1]) if len(cuts) else 0
+        ready = pd.concat([*held, frame.iloc[:last]], ignore_index=True)
+        if len(ready):
+            yield ready, np.array([0, *cut(ready), len(ready)])
+        held = [frame.iloc[last:]]
+    if held:
+        ready = pd.concat(held, ignore_index=True)
+        yield ready, np.array([0, *cut(ready), len(ready)])
+
+
 def sorted_runs(frames: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
     """The runs of equal `key` of a sorted partition, across its batches."""
     held = None

@@ -4,9 +4,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from flowtusk.llm import jaccard, queries, vectors
+from flowtusk.llm.common import whole_runs
 from flowtusk.llm.graph import components
 
 
@@ -142,6 +144,7 @@ def linked(rows):
 @pytest.mark.parametrize("block", [1024, 16])
 def test_vectors_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "SLIM_BLOCK", 4 * block)
     random_ = np.random.default_rng(2)
     bases = random_.normal(size=(30, 16))
     rows = [(i, (bases[k] + 0.12 * random_.normal(size=16)).astype(np.float32).tolist(), int(k) % 4)
@@ -167,5 +170,42 @@ def test_vectors_query_and_odd_rows(spark, folder):
 
 def test_vector_tables_reach_the_recall():
     for count in (10, 1000, 10 ** 9):
-        size, tables = vectors.plan(count)
-        assert 1 - (1 - vectors.collision((2 - 2 * 0.93) ** 0.5) ** size) ** tables >= vectors.RECALL
+        size, tables, step = vectors.plan(count)
+        assert 1 - (1 - vectors.collision((2 - 2 * 0.93) ** 0.5, step) ** size) ** tables >= vectors.RECALL
+
+
+@pytest.mark.parametrize("count", [500, 5_000, 100_000])
+def test_measured_recall_just_above_the_threshold(count):
+    """20,000 pairs at a cosine of 0.9301: share of a bucket and near sketches, by the plan for `count` vectors."""
+    random_ = np.random.default_rng(count)
+    one, other = random_.normal(size=(2, 20_000, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    (keys, sketch), (keys2, sketch2) = (vectors.signatures(v, *vectors.plan(count))
+                                        for v in (one, 0.9301 * one + (1 - 0.9301 ** 2) ** 0.5 * other))
+    near = np.bitwise_count((sketch ^ sketch2).view(np.uint64)).sum(axis=1) <= vectors.sketch_limit()
+    assert ((keys == keys2).any(axis=1) & near).mean() >= 0.9997
+
+
+def test_near_sketches_equal_all_comparisons():
+    random_ = np.random.default_rng(4)
+    sizes = [1, 2, 70, 1, 63, 64, 65, 300, 5]
+    edges = np.cumsum([0, *sizes])
+    sketch = random_.integers(-2 ** 63, 2 ** 63 - 1, (edges[-1], vectors.WORDS), dtype=np.int64)
+    for i in range(0, len(sketch) - 1, 7):
+        sketch[i + 1] = sketch[i] ^ 5
+    expected = np.zeros(len(sketch), dtype=bool)
+    for begin, end in zip(edges, edges[1:], strict=False):
+        for i in range(begin, end):
+            expected[i] = any(i != j and np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).sum() <= 40 for j in range(begin, end))
+    assert (vectors.near_sketches(edges, sketch, 40) == expected).all()
+
+
+def test_whole_runs_across_batches():
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 5]
+    for size in (1, 2, 3, 4, 11):
+        frames = [pd.DataFrame({"k": keys[i:i + size], "l": 0}) for i in range(0, len(keys), size)]
+        runs = [frame["k"].iloc[a:b].tolist() for frame, edges in whole_runs(iter(frames), ["k", "l"])
+                for a, b in zip(edges, edges[1:], strict=False)]
+        assert runs == [[1, 1], [2] * 5, [3], [4, 4], [5]]
