@@ -2,9 +2,8 @@
 
 A word is embedded as the sum of three hashed vectors: of the word and of its first four and five
 characters, so that inflected forms share what they begin with. Filters of widths 1, 2 and 3 run
-over the whole text; the maximum of each over all positions goes into a logistic output. The
-network starts from the sample's own evidence (how surely a hashed part occurs in more toxic than
-other texts) and is trained from there.
+over the whole text; the maximum of each over all positions goes into a logistic output. All
+embeddings and filters start from random values and are learned from the sample.
 
 A threshold is calibrated for each language, which is guessed from the text's own function words;
 scores are shifted so that every language's threshold is the common one.
@@ -27,6 +26,9 @@ DIMENSIONS = 6
 #: The sample: texts of each class, and characters of a text.
 PER_CLASS, MAX_CHARS = 2_000, 20_000
 EPOCHS = 4
+#: Least steps of 64 texts, for small samples; spread of the random start.
+STEPS = 60
+EMBEDDING_SPREAD, FILTER_SPREAD = 0.1, 0.3
 HELD_OUT = (4, 2)
 
 #: Function words that tell four languages apart.
@@ -40,7 +42,7 @@ LANGUAGE_WORDS = {
 _PUNCTUATION = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()),
                                b" " * sum(not chr(c).isalnum() for c in range(128)))
 _PARTS = 3
-_COLUMNS = FILTERS * sum(WIDTHS)
+_FILTERS = FILTERS * len(WIDTHS)
 
 
 def _words(text: str) -> list[bytes]:
@@ -115,6 +117,7 @@ def _pooled(tables: np.ndarray, bias: np.ndarray, parts: np.ndarray, starts: np.
             out.append(total)
             column += w * FILTERS
         values = np.concatenate(out, axis=1) + bias
+        values[some[:rows, 0] == 0] = 0  # from an empty word on a filter would reach into the next text
         first = np.searchsorted(starts, begin, side="right") - 1
         last = np.searchsorted(starts, begin + rows, side="left")
         cuts = np.maximum(starts[first:last] - begin, 0)
@@ -128,24 +131,6 @@ def _pooled(tables: np.ndarray, bias: np.ndarray, parts: np.ndarray, starts: np.
     return (best, place) if where else best
 
 
-def _evidence(parts: np.ndarray, starts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each hashed part: how surely it occurs in more texts of label 1 (a likelihood ratio
-    above what chance gives among so many parts), from 0 to about 3."""
-    owner = np.repeat(np.arange(len(y)), np.diff(starts))
-    counts = np.zeros((2, _PARTS, BUCKETS))
-    for k in range(_PARTS):
-        seen = np.unique(owner * BUCKETS + parts[:, k])
-        for label in (0, 1):
-            counts[label, k] = np.bincount(seen[y[seen // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
-    share = y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        n = counts.sum(axis=0)
-        ratio = 2 * (np.nan_to_num(counts[1] * np.log(counts[1] / (n * share)))
-                     + np.nan_to_num(counts[0] * np.log(counts[0] / (n * (1 - share)))))
-    surer = (counts[1] > n * share) & (counts[0] <= 0.2 * n * (1 - share))
-    return np.where(surer, np.clip((ratio - 12) / 12, 0, 3), 0)
-
-
 def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict:
     """Fit the network and the thresholds; without texts of both labels every score is 0.5
     (`fit` makes it 0)."""
@@ -153,22 +138,18 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
         return {"empty": True}
     random = np.random.default_rng(seed)
     parts, starts, whole = hashed_words(texts)
-    embeddings = random.normal(0, 0.02, (_PARTS, BUCKETS, DIMENSIONS))
-    embeddings[:, :, 0] = _evidence(parts, starts, y)
-    filters = {w: random.normal(0, 0.1, (w, DIMENSIONS, FILTERS)) for w in WIDTHS}
-    for w in WIDTHS:
-        filters[w][:, 0, :FILTERS // 2] = 1.0  # half of the filters start on the evidence
+    embeddings = random.normal(0, EMBEDDING_SPREAD, (_PARTS, BUCKETS, DIMENSIONS))
+    filters = {w: random.normal(0, FILTER_SPREAD, (w, DIMENSIONS, FILTERS)) for w in WIDTHS}
     net = {"embeddings": embeddings, "filters": filters}
-    values = {"bias": np.full(FILTERS * len(WIDTHS), -0.1), "head": np.zeros(FILTERS * len(WIDTHS)), "offset": np.zeros(1)}
-    for i, _ in enumerate(WIDTHS):
-        values["head"][i * FILTERS:i * FILTERS + FILTERS // 2] = 2.0 / (FILTERS // 2)
-    values["offset"][0] = -2.0
+    # Of four filters three begin as signs of label 1, one as a sign against it.
+    values = {"bias": np.full(_FILTERS, -0.1), "head": np.resize([0.5, 0.5, 0.5, -0.5], _FILTERS), "offset": np.full(1, -1.0)}
     values |= {"embeddings": embeddings} | {f"filter{w}": filters[w] for w in WIDTHS}
     optimiser, weight = Adam(values, 0.01), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     lengths = np.diff(starts)
-    for _ in range(epochs):
+    batches = max(1, len(y) // 64)
+    for _ in range(max(epochs, -(-STEPS // batches))):
         order = random.permutation(len(y))
-        for batch in np.array_split(order, max(1, len(y) // 64)):
+        for batch in np.array_split(order, batches):
             rows = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in batch])
             own = np.concatenate([[0], np.cumsum(lengths[batch])])
             local = parts[rows]

@@ -261,6 +261,15 @@ def test_networks_learn_and_score_any_text(spark, model, bad):
     assert set(model.score_texts(model.train(texts[:5], np.zeros(5)), ["a", ""])) == {0.5}
 
 
+def test_toxicity_scores_do_not_depend_on_neighbours():
+    texts, y = sample(1, lambda: random.choice(["zorkon", "zorking"]))
+    net = toxicity.train(texts, y, epochs=1)
+    some = ["", "zorkon", "", "zorkon zorking", "a b", "", "zorking a"]
+    together = toxicity.score_texts(net, some + some[::-1])
+    alone = np.concatenate([toxicity.score_texts(net, [t]) for t in some])
+    assert np.abs(together - np.concatenate([alone, alone[::-1]])).max() < 1e-6
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 255, 256, 257, 480, 481, 5000):
         data = bytes(1 + i % 250 for i in range(n)).decode("latin-1").encode("latin-1")
