@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowtusk.functions import addresses, headers, keys
@@ -33,7 +33,7 @@ from flowtusk.sinks import files
 from flowtusk.sources.captures import packets_from_captures, read_packets_pcap, to_tuple_dataset
 from flowtusk.sources.events import read_event_packets, stream_event_packets
 from flowtusk.sources.replay import replay, replay_stream, with_ingress_time
-from flowtusk.sources.text import parse_packet_lines, read_packets_csv, rejected_lines, stream_packets_csv, stream_packets_parquet
+from flowtusk.sources.text import PLACE_BITS, parse_packet_lines, read_packets_csv, rejected_lines, stream_packets_csv, stream_packets_parquet
 from flowtusk.streaming import clock, outputs
 from flowtusk.streaming import counts as stream_counts
 from flowtusk.streaming.totals import RunTotals
@@ -217,13 +217,18 @@ def s2_stream_ids(spark, folder):
     """Ids of streamed lines that are all alike but for the protocol: distinct, and growing with the line."""
     path, out = new_path(spark, "packet-lines"), new_path(spark, "packet-stream")
     line = F.concat(F.lit("7,10.0.0.1,10.0.0.2,"), F.col("protocol"), F.lit(",60,1,2,3,4,5,6,7,8,9,10,0"))
-    lines = read_event_packets(spark, folder).select(line.alias("value"), F.col("protocol"))
-    lines.repartitionByRange(3, "protocol").sortWithinPartitions("protocol").select("value").write.text(path)
+    lines = read_event_packets(spark, folder).select(line.alias("value"), F.col("protocol"), F.pmod(F.xxhash64("pkt_id"), F.lit(3)).alias("file"))
+    lines.repartition(3, "file").sortWithinPartitions("protocol").select("value").write.text(path)
     outputs.write_windows(stream_packets_csv(spark, path).select("pkt_id", "protocol"), out).awaitTermination()
-    found = spark.read.parquet(f"{out}/windows").groupBy("protocol").agg(
+    found = spark.read.parquet(f"{out}/windows").groupBy(F.shiftright("pkt_id", PLACE_BITS).alias("file"), "protocol").agg(
         F.count("*").alias("lines"), F.count_distinct("pkt_id").alias("ids"), F.min("pkt_id").alias("low"), F.max("pkt_id").alias("high"))
-    # Equal lines lie behind one another in one file, so their numbers have no gap.
-    return found.select("protocol", "lines", "ids", (F.col("high") - F.col("low") == F.col("lines") - 1).alias("in_order"))
+    # Files are in the order of protocols, so the ids of one lie above those of the one before. Where a file is read in
+    # several splits its numbers have gaps, but no line's is below its place or ahead of its byte: 49 a line at most.
+    along = Window.partitionBy("file").orderBy("protocol")
+    number, upto = F.col("high").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), F.sum("lines").over(along)
+    found = found.withColumn("in_order", number.between(upto - 1, upto * 49)
+                             & (F.col("low") > F.coalesce(F.lag("high").over(along), F.lit(-1))))
+    return found.groupBy("protocol").agg(F.sum("lines").alias("lines"), F.sum("ids").alias("ids"), F.bool_and("in_order").alias("in_order"))
 
 
 @query

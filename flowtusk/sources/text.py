@@ -83,8 +83,9 @@ PLACE_BITS, FILE_BITS = 33, 30
 def number_lines(lines: DataFrame) -> DataFrame:
     """Lines of files (a table or a stream) with `pkt_id`: the file's hash, then a number that grows with the line.
 
-    A line's number is the beginning of its split and its place there; as a line takes a byte at least,
-    numbers of a file's lines differ and follow their order. Two of n files share a hash with a chance of n² / 2^31.
+    A line's number is its place in its split, counted from the split's beginning, or from the byte behind it where the
+    split is not the first: a line that begins right there belongs to the split before. As a line takes a byte at
+    least, numbers of a file's lines differ and follow their order. Two of n files share a hash with a chance of n² / 2^31.
     """
     def number(batches) -> Iterator[pa.RecordBatch]:
         split, place = None, 0
@@ -95,7 +96,8 @@ def number_lines(lines: DataFrame) -> DataFrame:
                 if end > begin:
                     if split != (files[begin], begins[begin]):
                         split, place = (files[begin], begins[begin]), 0
-                    ids = (files[begin] << PLACE_BITS) | (begins[begin] + place + np.arange(end - begin))
+                    first = begins[begin] + (begins[begin] > 0) + place
+                    ids = (files[begin] << PLACE_BITS) | (first + np.arange(end - begin))
                     place += end - begin
                     yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("value").slice(begin, end - begin)], ["pkt_id", "value"])
 

@@ -3,9 +3,10 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from flowtusk.checks.queries import QUERIES
 from flowtusk.schema import PACKET_COLUMNS
 from flowtusk.sinks.files import write_packets_csv
-from flowtusk.sources import captures
+from flowtusk.sources import captures, text
 from flowtusk.sources.captures import read_packets_pcap, read_records_pcap, to_tuple_dataset
 from flowtusk.sources.events import read_event_packets
 from flowtusk.sources.replay import replay, with_ingress_time
@@ -173,6 +174,34 @@ def test_a_capture_beyond_two_gigabytes_is_ranged(spark, tmp_path):
     assert last.first_no + last.records == 2 + (at - 124) // block
 
 
+@pytest.fixture
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_ids_of_lines_of_several_splits(spark, small_splits, tmp_path):
+    """Lines of one byte, and one that begins where its split ends: the ids grow with the line all the same."""
+    (tmp_path / "x.txt").write_text("\n" * 100 + "a\n" + "\n" * 150 + "b\n" + "\n" * 40)
+    lines = text.number_lines(spark.read.text(str(tmp_path)))
+    ids = [r.pkt_id for r in lines.collect()]
+    assert len(set(ids)) == len(ids) == 292
+    assert [r.value for r in lines.filter("value <> ''").orderBy("pkt_id").collect()] == ["a", "b"]
+
+
+def test_stream_ids_of_several_splits(spark, small_splits, tmp_path):
+    events = spark.range(60).selectExpr("id AS event_id", "id AS user_id", "'click' AS event_type", "1.0D AS value",
+                                        "timestamp_ntz'2024-01-01' AS ts")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    rows = QUERIES["s2_stream_ids"](spark, str(tmp_path)).collect()
+    assert sorted((r.protocol, r.lines, r.ids, r.in_order) for r in rows) == [(6, 54, 54, True), (17, 6, 6, True)]
+
+
 def test_replay(packets):
     table = packets((100, "a", "b", 1), (150, "a", "b", 2))
     times = [r.ts_us for r in replay(table, 3).orderBy("ts_us").collect()]
