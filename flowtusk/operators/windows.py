@@ -192,7 +192,7 @@ def _first_occurrences(rows: DataFrame, forwards: bool) -> DataFrame:
     order = [F.col(c).asc() if forwards else F.col(c).desc() for c in ("enter", "leave")]
     before = F.lag("leave").over(Window.partitionBy("flow_id", "block", "what", "value").orderBy(*order))
     enter = (F.greatest if forwards else F.least)(F.col("enter"), before)
-    rows = rows.withColumn("enter", F.when(F.col("what").isNull(), F.col("enter")).otherwise(enter))
+    rows = rows.withColumn("enter", enter)
     return rows.filter(F.col("enter") < F.col("leave") if forwards else F.col("enter") > F.col("leave"))
 
 
@@ -217,35 +217,38 @@ def windows_of_panes(panes: DataFrame, length_us: int, slide_us: int, carry: str
         windows_per_block = -(-windows_per_block // stretch) * stretch
     block_us = slide_us * windows_per_block
     pane = F.col("pane")
-    if values is not None:
-        panes = panes.withColumns({"what": F.lit(None).cast("string"), "value": F.lit(None).cast("string")})
-        panes = panes.unionByName(values, allowMissingColumns=True)
-    spans = panes.withColumns({
-        "low": floor_to(pane - F.lit(length_us).cast("bigint"), slide_us) + F.lit(slide_us),
-        "high": floor_to(pane, slide_us),
-    })
-    if slide_us > length_us:  # panes between two windows belong to none
-        spans = spans.filter(F.col("low") <= F.col("high"))
-    blocks = spans.withColumn("block", F.explode(F.sequence(
-        floor_to(F.col("low"), block_us), floor_to(F.col("high"), block_us), F.lit(block_us).cast("bigint"))))
-    low = F.greatest("low", "block")
-    high = F.least(F.col("high"), F.col("block") + F.lit(block_us - slide_us))
     forwards = carry == "last"
     step = slide_us if forwards else -slide_us
-    enter, leave = (low, high + F.lit(slide_us)) if forwards else (high, low - F.lit(slide_us))
-    # A pane whose sweep begins in another block counts towards that block's stretches.
-    begins = low == F.col("low") if forwards else high == F.col("high")
-    summed = _summed(extras)
-    swept = blocks.select("flow_id", "block", "src_ip", "dst_ip", "bytes", "packets", "edge_ts", "edge_pkt",
-                          *(["what", "value"] if values is not None else []), *summed, begins.alias("begins"),
-                          enter.alias("enter"), leave.alias("leave")).repartition("flow_id", "block")
+
+    def swept_of(rows: DataFrame) -> DataFrame:
+        spans = rows.withColumns({
+            "low": floor_to(pane - F.lit(length_us).cast("bigint"), slide_us) + F.lit(slide_us),
+            "high": floor_to(pane, slide_us),
+        })
+        if slide_us > length_us:  # panes between two windows belong to none
+            spans = spans.filter(F.col("low") <= F.col("high"))
+        blocks = spans.withColumn("block", F.explode(F.sequence(
+            floor_to(F.col("low"), block_us), floor_to(F.col("high"), block_us), F.lit(block_us).cast("bigint"))))
+        low = F.greatest("low", "block")
+        high = F.least(F.col("high"), F.col("block") + F.lit(block_us - slide_us))
+        enter, leave = (low, high + F.lit(slide_us)) if forwards else (high, low - F.lit(slide_us))
+        # A pane whose sweep begins in another block counts towards that block's stretches.
+        begins = low == F.col("low") if forwards else high == F.col("high")
+        return blocks.select("flow_id", "block", *[c for c in rows.columns if c not in ("flow_id", "pane")], begins.alias("begins"),
+                             enter.alias("enter"), leave.alias("leave"))
+
+    swept = swept_of(panes)
     if values is not None:
-        swept = _first_occurrences(swept, forwards)
+        # Values are dealt over tasks by value; to a block go only the numbers of those that enter and leave alike.
+        counted = _first_occurrences(swept_of(values), forwards).groupBy("flow_id", "block", "what", "enter", "leave").agg(
+            F.count(F.lit(1)).alias("times"))
+        swept = swept.unionByName(counted, allowMissingColumns=True)
+    swept = swept.repartition("flow_id", "block")
     entering, sign = F.col("sign") == 1, F.col("sign")
     change = [(sign * F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("bytes", "packets")]
     for name, extra in extras.items():
         if extra.kind == "distinct":
-            change.append(F.when(F.col("what") == name, sign).otherwise(0).cast("bigint").alias(name))
+            change.append(F.when(F.col("what") == name, sign * F.col("times")).otherwise(0).cast("bigint").alias(name))
         elif extra.kind == "total":
             change.append((sign * F.coalesce(F.col(name), F.lit(0))).alias(name))
         else:
@@ -288,19 +291,35 @@ def _tumbling(packets: DataFrame, length_us: int, key, carry: str, pkt_id_bound)
     return _as_result(panes, "pane", length_us)
 
 
+def packet_order(ts: str = "ts_us", pkt: str = "pkt_id") -> Column:
+    """The order (time, id) as one fixed-width number; no id sorts first."""
+    return F.expr(f"cast({ts} as decimal(19,0)) * cast({_WIDE} as decimal(20,0)) + coalesce(cast({pkt} as decimal(20,0)), {-(1 << 63) - 1})")
+
+
 def _direct(packets: DataFrame, length_us: int, slide_us: int, key, carry: str, aggs: Sequence[Column]) -> DataFrame:
-    """The built-in window function: every packet is expanded to all its windows."""
+    """The built-in window function: every packet is expanded to all its windows.
+
+    Without further aggregates the expanded packets go into sums per address pair, whose buffers have fixed
+    width, so they are hashed and never sorted; only these sums are merged by flow.
+    """
     extreme, at_extreme = _edge(carry)
-    stamped = packets.withColumn("flow_id", flow_key(key).column())
+    spec, pair = flow_key(key), F.struct("src_ip", "dst_ip")
     window = F.window(F.timestamp_micros(F.col("ts_us")), f"{length_us} microseconds", f"{slide_us} microseconds")
-    pair = F.struct("src_ip", "dst_ip")
-    return (stamped.groupBy("flow_id", window.alias("w"))
-            .agg(F.sum("pkt_len").cast("bigint").alias("acc_bytes"), extreme("ts_us").alias("ts_us"),
-                 at_extreme(pair, F.struct("ts_us", "pkt_id")).alias("pair"),
-                 F.count(F.lit(1)).alias("packets"), F.struct(*(aggs or [F.lit(0)])).alias("extra"))
-            .select("flow_id", F.unix_micros("w.start").alias("window_start_us"),
-                    F.unix_micros("w.end").alias("window_end_us"), "pair.src_ip", "pair.dst_ip",
-                    "acc_bytes", "ts_us", "packets", *(["extra.*"] if aggs else [])))
+    if aggs:
+        grouped = packets.withColumn("flow_id", spec.column()).groupBy("flow_id", window.alias("w")).agg(
+            F.sum("pkt_len").cast("bigint").alias("acc_bytes"), extreme("ts_us").alias("ts_us"),
+            at_extreme(pair, F.struct("ts_us", "pkt_id")).alias("pair"), F.count(F.lit(1)).alias("packets"), F.struct(*aggs).alias("extra"))
+    else:
+        inputs = list(dict.fromkeys((*PAIR, *spec.inputs)))
+        sums = packets.withColumn("edge", packet_order()).groupBy(*inputs, window.alias("w")).agg(
+            F.sum("pkt_len").cast("bigint").alias("bytes"), extreme("ts_us").alias("ts_us"), extreme("edge").alias("edge"),
+            F.count(F.lit(1)).alias("packets"))
+        grouped = sums.withColumn("flow_id", spec.column()).groupBy("flow_id", "w").agg(
+            F.sum("bytes").alias("acc_bytes"), extreme("ts_us").alias("ts_us"), at_extreme(pair, "edge").alias("pair"),
+            F.sum("packets").alias("packets"))
+    return grouped.select(
+        "flow_id", F.unix_micros("w.start").alias("window_start_us"), F.unix_micros("w.end").alias("window_end_us"),
+        "pair.src_ip", "pair.dst_ip", "acc_bytes", "ts_us", "packets", *(["extra.*"] if aggs else []))
 
 
 def sliding_bytes(packets: DataFrame, length_us: int = WINDOW_US, slide_us: int = SLIDE_US,

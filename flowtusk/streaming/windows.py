@@ -9,12 +9,12 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtusk.functions.keys import FlowKey, flow_key
-from flowtusk.operators.windows import _edge, sliding_bytes
+from flowtusk.operators.windows import _edge, packet_order, sliding_bytes
 from flowtusk.schema import SLIDE_US, WINDOW_US
 
 
@@ -27,19 +27,49 @@ def _us(n: int) -> str:
     return f"{n} microseconds"
 
 
+#: Bytes of an address that fit into two numbers, beside its length.
+ADDRESS_BYTES = 15
+
+
+def _packed(address: str, half: int) -> Column:
+    """Half of the bytes of a text of up to ADDRESS_BYTES, with its length in front, as a number; NULL stays NULL."""
+    digits = F.concat(F.lpad(F.hex(F.octet_length(address)), 2, "0"), F.rpad(F.hex(F.encode(address, "UTF-8")), 2 * ADDRESS_BYTES, "0"))
+    number = F.conv(F.substring(digits, 1 + 16 * half, 16), 16, -10).cast("bigint")
+    return F.when(F.octet_length(address) <= ADDRESS_BYTES, number).when(F.col(address).isNotNull(), F.raise_error(
+        F.lit(f"an address has more than {ADDRESS_BYTES} bytes: pass long_addresses=True")).cast("bigint"))
+
+
+def _unpacked(halves: list[str]) -> Column:
+    digits = F.concat(*[F.lpad(F.hex(half), 16, "0") for half in halves])
+    length = F.conv(F.substring(digits, 1, 2), 16, 10).cast("int")
+    return F.decode(F.unhex(F.substring(digits, F.lit(3), 2 * length)), "UTF-8")
+
+
 def stream_sliding_bytes(packets: DataFrame, delay: str = "1 second", length_us: int = WINDOW_US,
                          slide_us: int = SLIDE_US, key: str | FlowKey = "poly17",
-                         carry: str = "first") -> DataFrame:
-    """Bytes per flow and window; columns as in the batch operator."""
+                         carry: str = "first", long_addresses: bool = False) -> DataFrame:
+    """Bytes per flow and window; columns as in the batch operator.
+
+    A packet counts in every window it lies in. The carried addresses travel as numbers, so that the sums have a
+    fixed width and a task hashes packets into them: it holds its flow windows, not its packets. Addresses of more than
+    ADDRESS_BYTES bytes (a dotted quad never has) fail the query, unless `long_addresses` carries texts of any
+    length, for which a task sorts its packets once per window.
+    """
     extreme, at_extreme = _edge(carry)
     timed = with_event_time(packets, delay).withColumn("flow_id", flow_key(key).column())
+    if long_addresses:
+        pair = [at_extreme(F.struct("src_ip", "dst_ip"), F.struct("ts_us", "pkt_id")).alias("pair")]
+        addresses = [F.col("pair.src_ip"), F.col("pair.dst_ip")]
+    else:
+        halves = {f"{name}_{half}": _packed(name, half) for name in ("src_ip", "dst_ip") for half in (0, 1)}
+        timed = timed.withColumns({**halves, "edge": packet_order()})
+        pair = [at_extreme(name, "edge").alias(name) for name in halves]
+        addresses = [_unpacked([f"{name}_0", f"{name}_1"]).alias(name) for name in ("src_ip", "dst_ip")]
     return (timed.groupBy("flow_id", F.window("event_time", _us(length_us), _us(slide_us)).alias("w"))
-            .agg(F.sum("pkt_len").cast("bigint").alias("acc_bytes"), extreme("ts_us").alias("ts_us"),
-                 at_extreme(F.struct("src_ip", "dst_ip"), F.struct("ts_us", "pkt_id")).alias("pair"),
+            .agg(F.sum("pkt_len").cast("bigint").alias("acc_bytes"), extreme("ts_us").alias("ts_us"), *pair,
                  F.count(F.lit(1)).alias("packets"))
             .select("flow_id", F.unix_micros("w.start").alias("window_start_us"),
-                    F.unix_micros("w.end").alias("window_end_us"), "pair.src_ip", "pair.dst_ip",
-                    "acc_bytes", "ts_us", "packets"))
+                    F.unix_micros("w.end").alias("window_end_us"), *addresses, "acc_bytes", "ts_us", "packets"))
 
 
 def stream_pane_bytes(packets: DataFrame, delay: str = "1 second", batch_us: int | None = None,

@@ -256,3 +256,26 @@ def test_crossings_against_brute_force(packets, length, slide, threshold, blocks
     assert got == want and want
     with pytest.raises(ValueError):
         first_crossings(table, -1)
+
+
+def above_expand(plan: str) -> str:
+    """The operator that takes the packets expanded to windows."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "Expand " in line)
+    return next(line for line in reversed(lines[:at]) if "Project" not in line and "Filter" not in line)
+
+
+def test_direct_hashes_expanded_packets(packets):
+    table = packets(*[(S + i * 1000, A, B, 1 + i) for i in range(20)])
+    plan = sliding_bytes(table, plan="direct")._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in above_expand(plan)
+
+
+def test_values_are_counted_before_they_meet_their_block(packets):
+    """What reaches the sweep follows panes and windows, not the number of different values."""
+    table = packets(*[(S + i % 10, A, B, i) for i in range(300)])
+    sums = sliding_bytes(table, extras={"lengths": distinct("pkt_len")})
+    assert {r.lengths for r in sums.collect()} == {300}
+    plan = sums._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sweep = next(i for i, line in enumerate(plan) if "RepartitionByExpression [flow_id" in line)
+    assert any("Aggregate [flow_id" in line and "what" in line for line in plan[sweep:])
