@@ -661,15 +661,24 @@ def _tcp_stream(spark: SparkSession, folder: str) -> DataFrame:
     return tcp_only(stream_event_packets(spark, folder))
 
 
+#: Rows of a file of packets, and how many files a micro-batch has at most.
+FILE_ROWS, BATCH_FILES = 50_000, 64
+
+
 def _tcp_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """The TCP packets as a stream of several micro-batches, one file each, in the order of time."""
+    """The TCP packets as a stream of several micro-batches, in the order of time, equally many files each: one, or more
+    where all of them have the rows for it."""
     path, packets = new_path(spark, "packet-files"), _tcp(spark, folder)
     low, high = packets.agg(F.min("ts_us"), F.max("ts_us")).first()
+    part = F.least(F.expr(f"(ts_us - {low}) * {BATCHES} div {high - low + 1}"), F.lit(BATCHES - 1))
+    least = min(packets.agg(*[F.count_if(part == k) for k in range(BATCHES)]).first())
+    files_ = max(1, min(least // FILE_ROWS, BATCH_FILES))
     for k in range(BATCHES):
-        # Files are taken in the order of their writing.
-        part = F.least(F.expr(f"(ts_us - {low}) * {BATCHES} div {high - low + 1}"), F.lit(BATCHES - 1))
-        packets.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-    return stream_packets_parquet(spark, path, max_files_per_trigger=1)
+        # Files are taken in the order of their writing; rows are dealt in turn, so that none is empty.
+        rows = packets.filter(part == k)
+        rows = rows.coalesce(1) if files_ == 1 else rows.repartition(files_)
+        rows.write.mode("append").parquet(path)
+    return stream_packets_parquet(spark, path, max_files_per_trigger=files_)
 
 
 def _written(spark: SparkSession, rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from flowtusk.checks import queries
+from flowtusk.functions.keys import FlowKey
 from flowtusk.operators.count_windows import count_window_bytes
 from flowtusk.operators.crossings import first_crossings
 from flowtusk.operators.metrics import observe_detector
@@ -19,7 +21,7 @@ from flowtusk.streaming import clock, outputs
 from flowtusk.streaming.counts import count_window_batches, count_window_results, stream_count_window_bytes
 from flowtusk.streaming.totals import RunTotals
 from flowtusk.streaming.windows import (
-    closing_windows, final_watermark_us, finish, stream_pane_bytes, stream_sliding_bytes,
+    _packed, _unpacked, closing_windows, final_watermark_us, finish, stream_pane_bytes, stream_sliding_bytes,
 )
 
 DELAY_US = 1_000_000
@@ -341,3 +343,34 @@ def test_passing_tables_are_deleted(spark):
         path = kept.inputFiles()[0].removeprefix("file:").replace("///", "/")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_stream_hashes_expanded_packets(spark, packets, tmp_path):
+    """Sums have a fixed width, and carried addresses come back as they were; longer ones go as texts."""
+    rows = packets((0, "10.0.0.1", "", 10), (1, "host-ä", None, 7), (2, "255.255.255.255", "b", 5))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = stream_packets_parquet(spark, str(tmp_path / "in"))
+    query = outputs.write_result_sets(stream_sliding_bytes(stream, key=FlowKey(("pkt_id",), F.col)), str(tmp_path / "out"))
+    query.processAllAvailable()
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False).splitlines()
+    at = next(i for i, line in enumerate(plan) if "Expand " in line)
+    assert "HashAggregate" in next(line for line in reversed(plan[:at]) if "Project" not in line and "Filter" not in line)
+    halves = {f"{c}_{h}": _packed(c, h) for c in ("src_ip", "dst_ip") for h in (0, 1)}
+    back = rows.withColumns(halves).select("pkt_id", *[_unpacked([f"{c}_0", f"{c}_1"]).alias(c) for c in ("src_ip", "dst_ip")])
+    assert sorted(map(tuple, back.collect())) == [
+        (0, "10.0.0.1", ""), (1, "host-ä", None), (2, "255.255.255.255", "b")]
+    with pytest.raises(Exception, match="long_addresses"):
+        packets((0, "2001:db8:0:0:0:0:0:1", "b", 1)).select(_packed("src_ip", 0)).collect()
+
+
+def test_batches_of_several_files(spark, folder, monkeypatch):
+    """Large micro-batches are written and read as several files each; the number of batches stays."""
+    monkeypatch.setattr(queries, "FILE_ROWS", 50)
+    stream = queries._tcp_batches(spark, folder)
+    seen = []
+    stream.writeStream.foreachBatch(lambda batch, _: seen.append(batch.agg(
+        F.min("ts_us"), F.max("ts_us"), F.lit(len(batch.inputFiles())), F.count("*")).first())).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == queries.BATCHES and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+    assert len({row[2] for row in seen}) == 1 and seen[0][2] > 1
+    assert sum(row[3] for row in seen) == queries._tcp(spark, folder).count()
