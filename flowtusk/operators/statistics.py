@@ -181,23 +181,39 @@ def pearson_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None =
     return _matrix(df, list(product(xs, ys or xs)), _corr)
 
 
+#: Columns of up to about so many different values have a table of ranks that is sent to every task.
+BROADCAST_RANKS = 1_000_000
+
+
 def column_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`columns` of the rows that have all of them, each replaced by its rank from 0, ties averaged.
 
-    All columns are stacked and sorted at once: two shuffles whatever their number. Of equal values the
+    The ranks of a column with few different values come from their counts, and its rows are not shuffled. All
+    other columns are stacked and sorted at once: two shuffles whatever their number. Of equal values the
     places ascend by row in one half of the sort and descend in the other; the mean of both is the
-    average rank, so equal values need not meet and may be split over tasks. Runs two jobs.
+    average rank, so equal values need not meet and may be split over tasks. Runs jobs.
     """
     rows = store(df.select(*columns).dropna().withColumn("__at", F.monotonically_increasing_id()), "complete")
-    count = rows.count()
-    stacked = rows.select("__at", F.posexplode(F.array(*columns)).alias("__which", "__value"))
-    both = stacked.select("__which", "__value", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("__at").alias("turn")),
-                                                                 F.struct(F.lit(1).alias("half"), (-F.col("__at")).alias("turn")))).alias("e"))
-    placed = with_global_position(both.select("e.*", "__which", "__value"), ["half", "__which", "__value", "turn"])
+    count, *different = rows.agg(F.count("*"), *[F.approx_count_distinct(c) for c in columns]).first()
+    few = [c for c, n in zip(columns, different, strict=True) if n <= BROADCAST_RANKS]
+    many = [c for c in columns if c not in few]
+    for c in few:
+        ranks = average_ranks(rows.select(F.col(c).alias("__value")), "__value")
+        rows = rows.join(F.broadcast(ranks), F.col(c) == F.col("__value")).drop("__value", c).withColumnRenamed("rank", c)
+    if not many:
+        return rows.select(*columns)
+    stacked = rows.select("__at", *few, F.posexplode(F.array(*many)).alias("__which", "__value"))
+    both = stacked.select("__at", *few, "__which", "__value", F.explode(F.array(
+        F.struct(F.lit(0).alias("half"), F.col("__at").alias("turn")), F.struct(F.lit(1).alias("half"), (-F.col("__at")).alias("turn")))).alias("e"))
+    # The ranks known already go with one row of each.
+    own_row = (F.col("__which") == 0) & (F.col("e.half") == 0)
+    both = both.select("e.*", "__which", "__value", *[F.when(own_row, F.col(c)).alias(c) for c in few])
+    placed = with_global_position(both, ["half", "__which", "__value", "turn"])
     # Every column has as many places, so its first one is known.
-    own = (F.col("position") - (F.col("half") * len(columns) + F.col("__which")) * F.lit(count)) / 2.0
+    own = (F.col("position") - (F.col("half") * len(many) + F.col("__which")) * F.lit(count)) / 2.0
     return placed.groupBy(F.abs("turn").alias("__at")).agg(
-        *[F.sum(F.when(F.col("__which") == at, own)).alias(c) for at, c in enumerate(columns)]).drop("__at")
+        *[F.sum(F.when(F.col("__which") == at, own)).alias(c) for at, c in enumerate(many)],
+        *[F.max(c).alias(c) for c in few]).select(*columns)
 
 
 def spearman_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str] | None = None) -> DataFrame:

@@ -123,3 +123,17 @@ def test_weighted_percentiles(spark):
     df = spark.createDataFrame([(1.0, 3), (5.0, 1), (9.0, 2)], "x double, n bigint")
     row = st.sample_percentile(df, "x", [0.0, 0.5, 0.9, 1.0], weight="n").first()
     assert list(row) == pytest.approx(list(np.quantile([1, 1, 1, 5, 9, 9], [0.0, 0.5, 0.9, 1.0])))
+
+
+@pytest.mark.parametrize("limit, ranged", [(0, True), (40, True), (1_000_000, False)])
+def test_matrix_ranks_by_counts_or_by_sorting(spark, monkeypatch, limit, ranged):
+    rows = [(float(i % 7), float(i * 37 % 101), float("nan") if i % 50 == 0 else float(i % 3)) for i in range(200)] + [(None, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, "a double, b double, c double")
+    want = sorted(map(tuple, st.column_ranks(table, ["a", "b", "c"]).collect()))
+    monkeypatch.setattr(st, "BROADCAST_RANKS", limit)
+    ranks = st.column_ranks(table, ["a", "b", "c"])
+    assert sorted(map(tuple, ranks.collect())) == want and len(want) == 196  # no null, no NaN
+    assert min(r[0] for r in want) == (len([r for r in rows if r[0] == 0.0 and r[2] == r[2]]) - 1) / 2
+    # Without columns of many values no row is shuffled.
+    plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+    assert ("__turn" in plan or "turn" in plan) == ranged
