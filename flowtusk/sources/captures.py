@@ -283,9 +283,10 @@ def read_packets_pcap(spark: SparkSession, glob: str, range_bytes: int = RANGE_B
 
 def _cut_content(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content, file_no in zip(*[batch.column(c).to_pylist() for c in ("path", "content", "file_no")], strict=True):
-            capture = _Capture(path, pa.BufferReader(content))
-            yield from _with_file(capture.records(FILE_HEAD, capture.size, 0), file_no)
+        for at in range(batch.num_rows):  # contents are read where they lie, not copied
+            path, content, file_no = (batch.column(c)[at] for c in ("path", "content", "file_no"))
+            capture = _Capture(path.as_py(), pa.BufferReader(content.as_buffer()))
+            yield from _with_file(capture.records(FILE_HEAD, capture.size, 0), file_no.as_py())
 
 
 def packets_from_captures(captures: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import struct
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,18 @@ def test_long_records_and_small_reads(tmp_path, monkeypatch):
     assert opened.count(24, 100, True)[1:] == (573, 3)
 
 
+def test_contents_are_not_copied():
+    """A batch of capture files is read where it lies: memory for one of them, not for all."""
+    content = capture([b"\x05" * 84] * 20_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}" for i in range(32)]), pa.array([content] * 32), pa.array(range(32))],
+                                       ["path", "content", "file_no"])
+    tracemalloc.start()
+    records = next(captures._cut_content([batch])).num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert records == 20_000 and len(content) > 2_000_000 and peak < 32 * len(content) / 2
+
+
 def test_a_capture_beyond_two_gigabytes_is_ranged(spark, tmp_path):
     """A sparse file of 2.2 GB: only its ends hold bytes, the middle is one long hole of empty records."""
     size, block = (1 << 31) + (200 << 20), 1 << 20
