@@ -25,23 +25,8 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(column if isinstance(column, Column) else F.col(column), F.lit(""))
 
 
-def slices(frames: Iterable[pd.DataFrame], text: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Cut Arrow batches so that one slice holds few long texts: memory stays bounded by
-    `chars` plus one text."""
-    for frame in frames:
-        sizes = frame[text].str.len().fillna(0).to_numpy()
-        begin, held = 0, 0
-        for i, size in enumerate(sizes):
-            if i > begin and held + size > chars:
-                yield frame.iloc[begin:i]
-                begin, held = i, 0
-            held += size
-        if begin < len(frame):
-            yield frame.iloc[begin:]
-
-
 def arrow_slices(batches: Iterable, text: str, size: int = 4_000_000) -> Iterator:
-    """Like `slices`, for Arrow record batches; `size` counts bytes."""
+    """Cut Arrow batches so that one slice holds few long texts: memory stays bounded by `size` bytes plus one text."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         begin = 0

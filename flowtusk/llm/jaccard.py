@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtusk.llm.common import arrow_slices, slices, sorted_runs, text_or_empty
+from flowtusk.llm.common import arrow_slices, sorted_runs, text_or_empty
 from flowtusk.llm.graph import components, connected
 from flowtusk.plans.storage import delete_path, store
 
@@ -111,14 +111,16 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
     def packed(counts: np.ndarray) -> bytes:
         return zlib.compress(counts.astype("<u4").tobytes(), 1)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Arrow batches: only a slice of a batch becomes Python texts at once.
+    def count(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, dtype=np.uint32)
-        for frame in slices(frames, "text", 1_000_000):
-            sets = [ngram_set(text, words) for text in frame["text"]]
+        for batch in arrow_slices(batches, "text", 1_000_000):
+            sets = [ngram_set(text, words) for text in batch.column("text").to_pylist()]
             seen, times = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             total[seen.astype(np.int64)] += times.astype(np.uint32)
         if total.any():
-            yield pd.DataFrame({"slab": np.arange(_SLABS), "counts": [packed(part) for part in total.reshape(_SLABS, slab)]})
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLABS), pa.int32()), pa.array(
+                [packed(part) for part in total.reshape(_SLABS, slab)], pa.binary())], ["slab", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(slab, dtype=np.int64)
@@ -126,7 +128,7 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(counts), dtype="<u4")
         return pd.DataFrame({"slab": frame["slab"].iloc[:1], "counts": [packed(np.minimum(total, 2 ** 31 - 1))]})
 
-    parts = docs.select("text").mapInPandas(count, "slab int, counts binary").withColumn("branch", F.spark_partition_id() % 64)
+    parts = docs.select("text").mapInArrow(count, "slab int, counts binary").withColumn("branch", F.spark_partition_id() % 64)
     sums = parts.groupBy("slab", "branch").applyInPandas(add, "slab int, counts binary")
     rows = sums.groupBy("slab").applyInPandas(add, "slab int, counts binary").collect()  # _SLABS rows of fixed size
     total = np.zeros((_SLABS, slab), dtype=np.int32)
@@ -244,14 +246,15 @@ class _Checker:
         """node, grams (bytes of the sorted set) of the given nodes."""
         words = self.words
 
-        def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in slices(frames, "text", 1_000_000):
-                yield pd.DataFrame({"node": frame["doc_id"], "grams": [ngram_set(t, words).tobytes() for t in frame["text"]]})
+        def build(batches) -> Iterator[pa.RecordBatch]:
+            for batch in arrow_slices(batches, "text", 1_000_000):
+                grams = [ngram_set(t, words).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(grams, pa.binary())], ["node", "grams"])
 
         wanted = store(nodes, "nodes")
         few = wanted.count() <= BROADCAST_IDS
         texts = self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi")
-        return store(texts.mapInPandas(build, f"node {self.kind}, grams binary"), "sets")
+        return store(texts.mapInArrow(build, f"node {self.kind}, grams binary"), "sets")
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose wide sketches differ in few enough bits."""

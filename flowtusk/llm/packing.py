@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtusk.llm.common import arrow_slices, text_or_empty
-from flowtusk.llm.tokens import encode_words
+from flowtusk.llm.tokens import encode_words, word_cache
 from flowtusk.plans.storage import store
 
 CAPACITY = 4096
@@ -30,6 +30,8 @@ SLACK = 16
 #: Items that a task packs at once.
 TASK_ITEMS = 20_000
 FAN_IN = 8
+#: Text that a worker encodes at once.
+SLICE_BYTES = 1_000_000
 
 _PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -42,7 +44,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     repeated rows give repeated pieces; ids may be of any type. Other columns are not read.
     """
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_slices(batches, "text"):
+        for batch in arrow_slices(batches, "text", SLICE_BYTES):
             ids, offsets = encode_words(vocabulary, batch.column("text"))
             docs, pieces, starts, lengths, sums = [], [], [], [], []
             for row in range(batch.num_rows):
@@ -55,6 +57,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
                 [batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()),
                  pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+        word_cache(vocabulary).forget()  # the worker lives on, beside the tasks of other steps
 
     named = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     return named.mapInArrow(cut, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, {_PIECES}")

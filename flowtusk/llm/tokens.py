@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: control characters that only the library's quicker splitting takes for white space.
 _SPACES = "[\\t-\\r\x85\\p{Z}]+"
 _SEPARATORS = "[\\x1c-\\x1f]"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 CACHED_CHARS = 48
 
 
@@ -38,10 +38,14 @@ class PieceCache:
     def __init__(self, split, encode, limit: int = CACHE_PIECES):
         self.split, self.encode, self.limit, self.known = split, encode, limit, {"": b""}
 
+    def forget(self) -> None:
+        """Give the memory of the held pieces back."""
+        self.known = {"": b""}
+
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's ids begin (one more entry than texts)."""
         if len(self.known) > self.limit:
-            self.known = {"": b""}
+            self.forget()
         lists = self.split(texts)
         coded = lists.flatten().dictionary_encode()
         pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -144,24 +148,29 @@ def word_cache(path: str) -> PieceCache:
 
 
 @functools.lru_cache(maxsize=4)
-def _added_tokens(path: str):
-    """A pattern that finds the vocabulary's added tokens, and the library with its defaults."""
+def _added_tokens(path: str) -> str:
+    """A pattern that finds the vocabulary's added tokens."""
+    with open(path, encoding="utf-8") as file:
+        return "|".join(re.escape(token["content"]) for token in json.load(file)["added_tokens"])
+
+
+@functools.lru_cache(maxsize=4)
+def _library(path: str):
+    """The library with its defaults; loaded only where a text holds an added token."""
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as file:
-        names = [token["content"] for token in json.load(file)["added_tokens"]]
-    return "|".join(map(re.escape, names)), Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
 
 
 def encode_words(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """As `PieceCache.encode_texts`, but texts that hold an added token go to the library as they
     are: there, such a token has an id of its own."""
     ids, ends = word_cache(path).encode_texts(texts)
-    pattern, library = _added_tokens(path)
+    pattern = _added_tokens(path)
     special = np.flatnonzero(pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)) if pattern else []
     if not len(special):
         return ids, ends
     parts = np.split(ids, ends[1:-1])
     for i in special:
-        parts[i] = np.array(library.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=ids.dtype)
+        parts[i] = np.array(_library(path).encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=ids.dtype)
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(part) for part in parts])])

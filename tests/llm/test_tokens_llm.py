@@ -173,6 +173,18 @@ def test_packing_in_rounds(spark, sizes):
         assert bins == 1
 
 
+def test_packing_gives_its_words_back(spark):
+    """Workers outlive their tasks and serve other steps: they keep no words of a task that ended."""
+    words = spark.range(0, 400, 1, 4).selectExpr("id AS doc_id", "concat('own', id, ' word', id) AS text")
+    packing.cut_pieces(words, queries.WORDS).collect()
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"known": [len(tokens.word_cache(queries.WORDS).known)]})
+
+    assert {row.known for row in words.mapInArrow(held, "known bigint").collect()} == {1}
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins[0] == bins[2] and bins[1] == bins[3] == bins[4]
