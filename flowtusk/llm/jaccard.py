@@ -41,6 +41,8 @@ SMALL = 24
 CHECK_COST = 4.0
 #: Ids up to this number are sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
+#: Rows of two to four numbers that are sent to every task to be joined; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: A list with more members outside its largest component is compared in blocks of so many members.
 SHORT, BLOCK = 32, 1024
 #: Chance that the sketch rejects a pair just at the threshold.
@@ -52,6 +54,11 @@ HOT = 50_000
 _SLABS = 64
 
 
+def _sent(stored: DataFrame) -> DataFrame:
+    """A stored table for a join: sent to every task if it is small enough, so that the other side stays where it is."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def ngram_set(text: str, words: int) -> np.ndarray:
     """Sorted hashes of the distinct n-grams: words between ASCII white space, A-Z in lower case.
     Fewer words than `words` are one n-gram; no words, none."""
@@ -108,8 +115,12 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
     cells = 1 << SKETCH_BITS
     slab = cells // _SLABS
 
+    # Low bytes first, then the others, nearly all zero: half the size of whole numbers in a row.
     def packed(counts: np.ndarray) -> bytes:
-        return zlib.compress(counts.astype("<u4").tobytes(), 1)
+        return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+    def unpacked(data: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
     # Arrow batches: only a slice of a batch becomes Python texts at once.
     def count(batches) -> Iterator[pa.RecordBatch]:
@@ -125,15 +136,15 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(slab, dtype=np.int64)
         for counts in frame["counts"]:
-            total += np.frombuffer(zlib.decompress(counts), dtype="<u4")
+            total += unpacked(counts)
         return pd.DataFrame({"slab": frame["slab"].iloc[:1], "counts": [packed(np.minimum(total, 2 ** 31 - 1))]})
 
-    parts = docs.select("text").mapInArrow(count, "slab int, counts binary").withColumn("branch", F.spark_partition_id() % 64)
+    parts = docs.select("text").mapInArrow(count, "slab int, counts binary").withColumn("branch", F.expr("spark_partition_id() div 64"))
     sums = parts.groupBy("slab", "branch").applyInPandas(add, "slab int, counts binary")
     rows = sums.groupBy("slab").applyInPandas(add, "slab int, counts binary").collect()  # _SLABS rows of fixed size
     total = np.zeros((_SLABS, slab), dtype=np.int32)
     for row in rows:
-        total[row["slab"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype="<u4")
+        total[row["slab"]] = unpacked(row["counts"])
     return total.ravel()
 
 
@@ -294,17 +305,19 @@ class _Checker:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
         pairs = store(self._likely(pairs), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = self.sets(nodes)
-        partners = pairs.join(sets.withColumnRenamed("node", "a"), "a").select("a", "b", F.lit(False).alias("own"), "grams")
-        own = pairs.select("b").distinct().join(sets.withColumnRenamed("node", "b"), "b").select(
-            F.col("b").alias("a"), "b", F.lit(True).alias("own"), "grams")
-        # A node with very many partners is dealt over several tasks, with its own set in each.
+        # A node with very many partners is dealt over several tasks, with its own set in each. Where a set is needed
+        # is settled before the sets are read, so that each goes there in one step.
         salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
-        partners = partners.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-        own = own.join(salts, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        rows = partners.unionByName(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("own"), "a")
+        partners = pairs.join(salts, "b").select(
+            F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("own"))
+        own = salts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                           F.lit(True).alias("own"))
+        routes = store(partners.unionByName(own), "routes")
+        sets = self.sets(routes.select("node").distinct())
+        rows = sets.join(_sent(routes), "node").withColumnRenamed("node", "a")
+        rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("own"), "a")
         found = store(rows.select("a", "b", "own", "grams").mapInPandas(compare, f"a {self.kind}, b {self.kind}"), "checked")
+        drop_path(routes)
         drop_path(sets)
         drop_path(pairs)
         return found
@@ -358,36 +371,40 @@ def _near(grams: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, limit:
 def _list_links(lists: DataFrame, boundary: int, limit: Threshold, checker: _Checker, known: DataFrame, traits: DataFrame) -> DataFrame:
     """Links `known`, and those that connect all sets larger than the boundary that link.
 
-    What travels per list row is gram, node and places only; `traits` (node, n, s1, s2) are joined to
+    `lists` has its rows by gram, each with the list's head. What travels per list row is gram, node and component only; `traits` (node, n, s1, s2) are joined to
     pairs and to members once each is there once.
     """
     def with_traits(rows: DataFrame, node: str, suffix: str) -> DataFrame:
         return rows.join(traits.toDF(node, *[f"{c}{suffix}" for c in ("n", "s1", "s2")]), node)
 
     members = lists.filter(F.col("n") > boundary)
-    head = members.groupBy("gram").agg(F.count("*").alias("c"), F.min(F.struct(
-        F.xxhash64("node").alias("h"), "node", "n", "at")).alias("p")).filter("c > 1")
-    pairs = members.toDF(*[c if c == "gram" else f"{c}_own" for c in members.columns]).join(
-        head.select("gram", *[F.col(f"p.{c}").alias(f"{c}_head") for c in ("node", "n", "at")]), "gram")
-    pairs = pairs.filter((F.col("node_own") != F.col("node_head")) & _places_allow(limit, "_own", "_head"))
-    pairs = pairs.select(F.col("node_own").alias("a"), F.col("node_head").alias("b")).distinct()
+    pairs = members.filter((F.col("n_head") > boundary) & (F.col("node") != F.col("head")) & _places_allow(limit, "", "_head"))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     # The head is the `b` of its pairs, so that its set is held once for all of them.
     pairs = with_traits(with_traits(pairs, "a", "_a"), "b", "_b").filter(_may_link(limit, "_a", "_b"))
     first = checker.links(pairs.select("a", "b"))
     links = known.unionByName(first)
 
-    labels = components(links)
-    part = F.coalesce("component", "node")
-    labelled = store(members.select("gram", "node").join(labels, "node", "left").select("gram", "node", part.alias("part")), "labelled")
-    sizes = labelled.groupBy("gram", "part").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("gram").agg(F.max_by("part", F.struct("c", "part")).alias("major"),
-                                      (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
+    labels = store(components(links), "labels")
+    labelled = members.join(_sent(labels), "node", "left").select("gram", "node", F.coalesce("component", "node").alias("part"), "hot")
+    # Of each list its largest component; lists of one component are done with. Short lists meet in one place.
+    columns, gram = ["gram", "node", "part", "major"], Window.partitionBy("gram")
+    cold = labelled.filter("NOT hot").drop("hot").repartition("gram")
+    cold = cold.withColumn("c", F.count("*").over(Window.partitionBy("gram", "part")))
+    cold = cold.select("gram", "node", "part", F.max(F.struct("c", "part")).over(gram)["part"].alias("major"),
+                       F.min("part").over(gram).alias("low"), F.max("part").over(gram).alias("high"))
+    cold = cold.filter("low <> high").select(*columns)
+    hot = labelled.filter("hot")
+    sizes = hot.groupBy("gram", "part").agg(F.count("*").alias("c"))
+    major = sizes.groupBy("gram").agg(F.max_by("part", F.struct("c", "part")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
+    several = cold.unionByName(hot.join(major, "gram").select(*columns))
     # The lists of a group of copies have the same largest component: they are one list from here
     # on, so that no pair is met, and no set sent, once for each n-gram that the copies share.
-    merged = labelled.join(major.select("gram", "major"), "gram").select("major", "node", "part").distinct()
+    merged = store(several.select("major", "node", "part").distinct(), "merged")
     apart = merged.groupBy("major").agg(F.count_if(F.col("part") != F.col("major")).alias("outside"))
     marked = store(merged.join(apart, "major"), "marked")
-    drop_path(labelled)
+    drop_path(merged)
+    drop_path(labels)
     short = with_traits(marked.filter(F.col("outside") <= SHORT), "node", "")
     columns = ["node", "n", "s1", "s2", "part"]
     outside = short.filter("part <> major").select("major", *[F.col(c).alias(f"{c}_a") for c in columns])
@@ -422,31 +439,41 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                  .filter("c > 1").drop("c"), "same")
     members = store(usable.select("doc_id", "n", "mark").join(same, ["n", "mark"])
                     .select("doc_id", "node").distinct(), "members")
-    moved = members.filter("doc_id <> node")
-
-    # Inverted lists of the rarest n-grams, those of two documents at least. N-grams in no hot cell have short lists,
+    # A copy's rows in lists would only repeat those of its node; left in are ids of several texts, or whose node has several.
+    mark = F.xxhash64("n", "mark")
+    mixed = store(usable.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+                  .filter("low <> high").select("doc_id", F.lit(True).alias("mixed")), "mixed")
+    moved = store(members.filter("doc_id <> node").join(mixed, "doc_id", "left").join(mixed.toDF("node", "mixed_node"), "node", "left")
+                  .select("doc_id", "node", F.expr("mixed IS NULL AND mixed_node IS NULL").alias("copy")), "moved")
+    listed = usable.join(_sent(moved), "doc_id", "left").filter("copy IS NULL OR NOT copy")
+
+    # Inverted lists of the rarest n-grams, those of two documents at least, each with a head to check its members
+    # against: a set above any boundary if there is one, else the largest. N-grams in no hot cell have short lists,
     # so their rows travel once, to be counted and kept in one place; hot ones are counted first.
-    grams = usable.select("doc_id", "n", "cold", F.posexplode("first").alias("at", "gram")).filter(
+    grams = listed.select(F.coalesce("node", "doc_id").alias("node"), "n", "cold", F.posexplode("first").alias("at", "gram")).filter(
         F.expr(f"at < n - ceil({limit.num} * n / {limit.den}) + 1"))
-    columns = ["gram", "doc_id", F.expr("shiftleft(cast(n AS bigint), 32) | at").alias("place")]
-    cold = grams.filter("at < cold").select(*columns).repartition("gram")
-    cold = cold.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).filter("c > 1").drop("c")
+    columns = ["gram", "node", F.expr("shiftleft(cast(n AS bigint), 32) | at").alias("place")]
+    size = F.shiftright("place", 32)
+    head = F.min(F.struct(F.greatest(F.lit(0), SMALL + 1 - size).alias("small"), F.xxhash64("node").alias("h"), "node", "place"))
+    gram = Window.partitionBy("gram")
+    cold = grams.filter("at < cold").select(*columns).repartition("gram").withColumn("c", F.count("*").over(gram)).filter("c > 1")
+    cold = cold.withColumn("p", head.over(gram)).withColumn("hot", F.lit(False)).distinct()
     hot = grams.filter("at >= cold").select(*columns)
-    several = hot.groupBy("gram").count().filter("count > 1").select("gram")
-    lists = cold.unionByName(hot.join(several, "gram")).join(moved, "doc_id", "left")
-    lists = lists.select("gram", F.coalesce("node", "doc_id").alias("node"), F.expr("cast(shiftright(place, 32) as int)").alias("n"),
-                         F.expr("cast(place & 4294967295 as int)").alias("at")).distinct()
-    lists = store(lists, "lists")
+    several = hot.groupBy("gram").agg(F.count("*").alias("c"), head.alias("p")).filter("c > 1")
+    hot = hot.join(several, "gram").withColumn("hot", F.lit(True)).distinct()
+    number, at = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    lists = store(cold.unionByName(hot).select(
+        "gram", "node", number("place").alias("n"), at("place").alias("at"), F.col("p.node").alias("head"),
+        number("p.place").alias("n_head"), at("p.place").alias("at_head"), "c", "hot"), "lists")
     traits = usable.select(F.col("doc_id").alias("node"), "n", "s1", "s2").dropDuplicates(["node"])
     wide = usable.select(F.col("doc_id").alias("node"), "wide").dropDuplicates(["node"])
 
     sizes = {r["n"]: r["c"] for r in usable.filter(F.col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     # How long the lists of small sets are, which enumeration would spare them.
-    met = lists.groupBy("gram").agg(F.count("*").alias("c"), F.count_if(F.col("n") <= SMALL).alias("s"))
-    mean = met.agg(F.try_divide(F.sum(F.col("c") * F.col("s")), F.sum("s"))).first()[0]
+    mean = lists.filter(F.col("n") <= SMALL).agg(F.avg("c")).first()[0]
     boundary = _boundary(sizes, float(mean or 1), limit)
 
-    nodes = usable.join(moved, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
+    nodes = usable.join(_sent(moved), "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
     small = store(_small_links(nodes, kind, boundary, limit), "small")
     checker = _Checker(named, kind, words, limit, wide)
     links = _list_links(lists, boundary, limit, checker, small, traits)

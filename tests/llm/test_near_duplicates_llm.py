@@ -99,6 +99,37 @@ def test_jaccard_keeps_large_ids(spark):
     assert found == brute_force(texts, 4, 85, 100) | {None: (3, None)}
 
 
+def test_jaccard_rows_travel_once(spark, monkeypatch):
+    """List rows go to their n-gram and sets to their comparison in one shuffle, also when Spark broadcasts nothing by itself."""
+    plans, stored = defaultdict(list), jaccard.store
+
+    def store(rows, name):
+        plans[name].append(rows._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0])
+        return stored(rows, name)
+
+    monkeypatch.setattr(jaccard, "store", store)
+    texts = variants(400)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == brute_force(texts, 4, 85, 100)
+    assert not any(f"hashpartitioning({c}" in plan for c in ("doc_id", "node") for plan in plans["lists"])
+    assert [plan.count("Exchange hashpartitioning") for plan in plans["checked"]] == [1, 1]
+
+
+def test_jaccard_without_broadcasts_and_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    texts = variants(400)
+    docs = spark.createDataFrame([*texts.items(), *list(texts.items())[::3]], "doc_id bigint, text string").repartition(3)
+    rows = jaccard.jaccard_components(docs).collect()
+    assert len(rows) == docs.count()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_force(texts, 4, 85, 100)
+
+
 def test_sketch_loses_no_links_at_low_thresholds(spark):
     allowed = [jaccard.sketch_difference(jaccard.Threshold(num, 100)) for num in (100, 85, 80, 50, 40)]
     assert allowed[0] == 0 and 30 < allowed[1] <= 40 < allowed[2] < 64 and allowed[3:] == [None, None]
