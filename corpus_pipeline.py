@@ -35,13 +35,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates, that with the smallest id. Of rows of one id
     one stays; rows without id have no group and stay."""
     groups = jaccard.jaccard_components(docs, words=WORDS_OF_NGRAM, numerator=SIMILARITY, denominator=100)
-    heads = store(groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "heads")
+    # Of most ids every row stays. Those of which none or one of several stays are fewer, and sent to the rows.
+    heads = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("count"))
+    others = store(heads.filter("count <> 1"), "others")
+    others = F.broadcast(others) if others.count() <= jaccard.BROADCAST_IDS else others
     # Rows travel as one struct, so that no column of theirs can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.withColumn("doc_id", F.col("row.doc_id")).join(heads, "doc_id")
-    once = kept.filter("count = 1").select("row")
-    repeated = kept.filter("count > 1").dropDuplicates(["doc_id"]).select("row")
-    out = once.unionByName(repeated).unionByName(rows.filter("row.doc_id IS NULL"))
+    marked = rows.withColumn("doc_id", F.col("row.doc_id")).join(others, "doc_id", "left")
+    repeated = marked.filter("count > 1").dropDuplicates(["doc_id"]).select("row")
+    out = marked.filter("count IS NULL").select("row").unionByName(repeated)
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -336,3 +336,16 @@ def test_near_duplicate_stage_of_odd_rows(spark, folder):
     wide = docs.selectExpr("doc_id", "text", "1 AS __rows", "2 AS count", "3 AS row", "4 AS component_id", "5 AS node", "6 AS n")
     got = corpus_pipeline.drop_near_duplicates(spark, wide, folder)
     assert got.columns == wide.columns and got.count() == len(kept)
+
+
+def test_near_duplicates_leave_the_rows_in_place(spark):
+    """Rows with their texts are joined where they are, also when Spark broadcasts nothing by itself."""
+    texts = [(i, " ".join(f"w{i // 2}_{j}" for j in range(30))) for i in range(20)] + [(None, "w0_1"), (4, "another text")]
+    docs, before = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, *range(0, 20, 2)], key=str)
